@@ -1,0 +1,117 @@
+"""What a part of a transcript is and who sees it: visibility masks, segments for search, and exports' default fields."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The visibility bits.
+USER, AGENT, TOOL_CALL, TOOL_RESULT, PROJECT_DOCS, SKILL, INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_RESULT, AGENT_THINKING = (1 << k for k in range(10))
+
+
+@dataclass(frozen=True)
+class Display:
+    """Which kinds of parts are hidden."""
+
+    hide_user: bool = False
+    hide_agent: bool = False
+    hide_tool_calls: bool = False
+    hide_tool_results: bool = False
+    hide_project_docs: bool = True
+    hide_skills: bool = False
+    hide_internal_context: bool = True
+    hide_user_tool_calls: bool = False
+    hide_user_tool_results: bool = False
+    hide_agent_thinking: bool = True
+
+    def hidden(self) -> int:
+        return sum(1 << k for k, f in enumerate(fields(self)) if getattr(self, f.name))
+
+
+SHOW_ALL = Display(*[False] * 10)
+
+
+def visible(mask: Column, display: Display) -> Column:
+    """A part is seen if none of the bits it needs is hidden."""
+    return mask.bitwiseAND(F.lit(display.hidden())) == 0
+
+
+def is_project_docs(text: Column) -> Column:
+    return text.rlike(r"(?is)^\s*(?:# AGENTS\.md instructions|<project-docs>|<user_instructions>)")
+
+
+def is_skill(text: Column) -> Column:
+    return text.rlike(r"(?is)^\s*(?:<skill>|base directory for this skill:)")
+
+
+def is_internal(text: Column) -> Column:
+    return text.rlike(r"(?is)^\s*<(?:environment_context|system-reminder|permissions instructions|turn_context|ide_context|internal_context)\b")
+
+
+def is_task_notification(text: Column) -> Column:
+    return text.rlike(r"(?s)^\s*<task-notification>.*</task-notification>\s*$")
+
+
+def message_mask(role: Column, text: Column, compact_summary: Column) -> Column:
+    """Bits a message needs: summaries and notifications first, then documents, skills and context, then its role."""
+    t = F.coalesce(text, F.lit(""))
+    return (
+        F.when(F.coalesce(compact_summary, F.lit(False)), INTERNAL_CONTEXT).when(is_task_notification(t), INTERNAL_CONTEXT).when(is_project_docs(t), PROJECT_DOCS)
+        .when(is_skill(t), SKILL).when(is_internal(t), INTERNAL_CONTEXT).when(role == "user", USER).when(role.isin("assistant", "agent"), AGENT)
+        .when(role == "tool_call", TOOL_CALL).when(role == "tool_result", TOOL_RESULT).when(role == "thinking", AGENT_THINKING).otherwise(INTERNAL_CONTEXT)
+    )
+
+
+def block_mask(kind: Column, role: Column) -> Column:
+    return (
+        F.when(kind == "thinking", AGENT_THINKING).when(kind == "tool_use", TOOL_CALL).when(kind == "tool_result", TOOL_RESULT)
+        .when(role == "user", USER).otherwise(AGENT)
+    )
+
+
+def masks() -> list[int]:
+    """The masks that segments can have; each is a search field of its own."""
+    return [0, USER, AGENT, TOOL_CALL, TOOL_RESULT, TOOL_CALL | TOOL_RESULT, PROJECT_DOCS, SKILL, INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_RESULT, USER_TOOL_CALL | USER_TOOL_RESULT, AGENT_THINKING]
+
+
+def default_masks(mode: str, display: Display) -> list[int]:
+    """Masks searched without a field prefix: all, those visible, or exactly the others."""
+    hidden = display.hidden()
+    return [m for m in masks() if mode == "all" or ((m & hidden) == 0) == (mode == "visible")]
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """(row_id, session, part, kind, mask, text) of the blocks of nested lines; blank parts are left out."""
+    role = F.coalesce("message.role", "type")
+    blocks = rows.select("row_id", F.lower("sessionId").alias("session"), role.alias("role"), F.posexplode("message.content").alias("part", "b")).where("b IS NOT NULL")
+    kind = F.coalesce("b.type", F.lit("text"))
+    result = F.array_join(F.filter(F.transform("b.content", lambda c: c["text"]), lambda x: x.isNotNull()), "\n\n")
+    parts = F.array(
+        F.struct(F.lit("text").alias("name"), F.coalesce("b.text", "b.thinking").alias("text")), F.struct(F.lit("name"), F.col("b.name")),
+        F.struct(F.lit("input"), F.col("b.input")), F.struct(F.lit("output"), result),
+    )
+    out = blocks.select("row_id", "session", "part", kind.alias("kind"), block_mask(kind, F.col("role")).alias("mask"), F.inline(parts))
+    return out.where("text IS NOT NULL AND trim(text) <> ''")
+
+
+def search_fields(rows: DataFrame) -> DataFrame:
+    """(session, mask, text): the text of each session by mask, joined in delivery order with blank lines."""
+    s = segments(rows).where("session IS NOT NULL")
+    grouped = s.groupBy("session", "mask").agg(F.sort_array(F.collect_list(F.struct("row_id", "part", "name", "text"))).alias("t"))
+    return grouped.select("session", "mask", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def preview(first_user: Column, first: Column, last: Column) -> Column:
+    """The text by which a session is listed."""
+    blank = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return F.coalesce(blank(first_user), blank(first), blank(last))
+
+
+def citation_footer(text: Column) -> Column:
+    """struct(body, footer): a complete citation block at the end, unless a code fence is left open before it."""
+    pattern = r"(?s)\s*(<oai-mem-citation>.*</oai-mem-citation>)\s*$"
+    body = F.regexp_replace(text, pattern, "")
+    has = text.rlike(pattern) & (F.regexp_count(body, F.lit("(?m)^\\s*```")) % 2 == 0)
+    return F.struct(F.when(has, body).otherwise(text).alias("body"), F.when(has, F.regexp_extract(text, pattern, 1)).alias("footer"))
