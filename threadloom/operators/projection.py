@@ -88,10 +88,8 @@ def segments(rows: DataFrame) -> DataFrame:
     blocks = rows.select("row_id", F.lower("sessionId").alias("session"), role.alias("role"), F.posexplode("message.content").alias("part", "b")).where("b IS NOT NULL")
     kind = F.coalesce("b.type", F.lit("text"))
     result = F.array_join(F.filter(F.transform("b.content", lambda c: c["text"]), lambda x: x.isNotNull()), "\n\n")
-    parts = F.array(
-        F.struct(F.lit("text").alias("name"), F.coalesce("b.text", "b.thinking").alias("text")), F.struct(F.lit("name"), F.col("b.name")),
-        F.struct(F.lit("input"), F.col("b.input")), F.struct(F.lit("output"), result),
-    )
+    named = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("text"))
+    parts = F.array(named("text", F.coalesce("b.text", "b.thinking")), named("name", F.col("b.name")), named("input", F.col("b.input")), named("output", result))
     out = blocks.select("row_id", "session", "part", kind.alias("kind"), block_mask(kind, F.col("role")).alias("mask"), F.inline(parts))
     return out.where("text IS NOT NULL AND trim(text) <> ''")
 

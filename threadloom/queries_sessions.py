@@ -1,4 +1,359 @@
+"""Queries of the session operators over the driver's tables, and the SQL that must give the same rows."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom import rules, sinks
+from threadloom.functions import text as tx
+from threadloom.operators import history, lineage, projection, sessions, sync
+from threadloom.streaming import ingest
+from threadloom.util import table
+
+
+def _basic(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "basic_session")
+
+
+def _rollout(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.rollout_lines(table(spark, sf, "new_format"))
+
+
+def parse_transcript_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """P2, P26, P27, A1-A3, A9."""
+    s = sessions.transcript_sessions(_basic(spark, sf))
+    return s.select("session_id", "cwd", "branch", "model", "slug", "lines", "user_turns", "agent_turns", "is_sidechain", "modified_ts", "derivation_type", tx.compact(F.col("first_user_msg_content"), 60).alias("first_user"), "last_msg_role")
+
+
+def parse_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """P3, JN3."""
+    rows = _basic(spark, sf).select("row_id", "uuid", "parentUuid", F.col("message.content").alias("text"))
+    return sessions.without_noise(rows).select("row_id")
+
+
+def parse_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Adjacent text blocks merged."""
+    return sessions.block_text(table(spark, sf, "rich_content"))
+
+
+def parse_rollout_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """P8, P9, P17."""
+    return sessions.rollout_sessions(_rollout(spark, sf)).drop("created", "modified")
+
+
+def pair_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """P10, JN1."""
+    return sessions.paired_calls(_rollout(spark, sf)).select("file_id", "call_id", "call_line", "name", "output_line", "status")
+
+
+def redundant_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: outputs after their call's end event."""
+    return sessions.redundant_outputs(sessions.rollout_lines(table(spark, sf, "latest_format"))).select("file_id", "line_no", F.col("payload.call_id").alias("call_id"))
+
+
+def adjacent_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """P24, W1."""
+    rows = _basic(spark, sf).where("sessionId IS NOT NULL").select("row_id", F.lower("sessionId").alias("session_id"), "type", F.col("message.content").alias("content"))
+    return sessions.adjacent_distinct(rows, ["session_id"], ["row_id"], ["type", "content"]).select("row_id")
+
+
+def carried_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool results with the name of the call before them."""
+    blocks = table(spark, sf, "rich_content").select("row_id", F.lower("sessionId").alias("session_id"), F.posexplode("message.content").alias("place", "b")).where("b IS NOT NULL AND session_id IS NOT NULL")
+    kind = F.when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").otherwise("message")
+    rows = blocks.select("row_id", "place", "session_id", kind.alias("kind"), F.col("b.name").alias("name"))
+    return sessions.carried_calls(rows, ["session_id"], ["row_id", "place"], F.col("kind"), F.col("name")).where("kind = 'tool_result'").select("row_id", "place", "call_summary")
+
+
+def user_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """W5."""
+    rows = _rollout(spark, sf).select("file_id", "line_no", F.col("payload.type").alias("kind"))
+    return sessions.user_turns(rows, ["file_id"], ["line_no"], F.col("kind") == "user_message").groupBy("file_id", "turn").agg(F.count(F.lit(1)).alias("rows"), F.max("line_no").alias("last_line"))
+
+
+def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each line of a file begins."""
+    lines = table(spark, sf, "rollout_raw").groupBy("file_id", "line_no").agg(F.min_by("line", "row_id").alias("line"))
+    return sessions.running_offsets(lines).select("file_id", "line_no", "byte_start", "byte_end")
+
+
+def ordinal_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    """W4."""
+    rows = table(spark, sf, "latest_format").select("row_id", "file_id", "line_no", "ordinal", "ingested_at")
+    return sessions.ordinal_regressions(rows, order="row_id").select("row_id", "ordinal", "highest")
+
+
+def history_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """H1, H2: the thread of each file."""
+    lines = table(spark, sf, "rollout_raw").select(F.col("file_id").cast("string").alias("path"), "line_no", "line")
+    return history.headers(lines).select("path", "thread_id", "base_id", "base_end_ordinal", "mode")
+
+
+def history_tips(spark: SparkSession, sf: str) -> DataFrame:
+    """H3: current version of each thread."""
+    lines = table(spark, sf, "rollout_raw").select(F.col("file_id").cast("string").alias("path"), "line_no", "line")
+    members = history.headers(lines).select("thread_id", F.col("thread_id").alias("rollout_id"), "path", "base_id", F.lit(False).alias("trashed"))
+    return history.tips(members).select("thread_id", "path", "status")
+
+
+def thread_names(spark: SparkSession, sf: str) -> DataFrame:
+    """SC10: the last slug of each session."""
+    rows = _basic(spark, sf).where("slug IS NOT NULL").select(F.lower("sessionId").alias("id"), F.col("slug").alias("thread_name"), F.col("row_id").alias("line_no"))
+    return history.thread_names(rows)
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    return rows.where("sessionId IS NOT NULL").groupBy(F.lower("sessionId").alias("path")).agg(
+        F.unix_timestamp(F.max("timestamp")).alias("mtime"), F.count(F.lit(1)).alias("size"), F.lit("transcript").alias("agent"), F.lit(False).alias("trashed"),
+        F.lit(None).cast("string").alias("original_path"), F.lit(None).cast("string").alias("signature"),
+    )
+
+
+def sync_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """JN9, I1: the first five batches against all but the first."""
+    rows = _basic(spark, sf)
+    return sync.detect(_state(rows.where("batch_id > 1")), _state(rows.where("batch_id <= 5")))
+
+
+def sync_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """A11."""
+    return sync.statistics(sync_changes(spark, sf))
+
+
+def session_families(spark: SparkSession, sf: str) -> DataFrame:
+    """Connected components of sessions by their forks."""
+    rows = _basic(spark, sf).where("sessionId IS NOT NULL")
+    edges = rows.where("forkedFrom.sessionId IS NOT NULL").select(F.lower("sessionId").alias("a"), F.lower("forkedFrom.sessionId").alias("b")).distinct()
+    v = rows.select(F.lower("sessionId").alias("v")).distinct()
+    return lineage.components(v, edges.join(v.select(F.col("v").alias("b")), "b", "left_semi")).select(F.col("v").alias("session_id"), F.col("root").alias("family"))
+
+
+def supersession(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that a fork stands for."""
+    rows = _basic(spark, sf).where("sessionId IS NOT NULL AND uuid IS NOT NULL").withColumn("s", F.lower("sessionId"))
+    inherited = F.lower("forkedFrom.messageUuid")
+    s = rows.groupBy("s").agg(
+        F.array_sort(F.collect_set(F.lower("uuid"))).alias("events"), F.array_sort(F.collect_set(inherited)).alias("inherited"), F.count_if(inherited.isNull()).alias("own"),
+        F.array_sort(F.collect_set(F.lower("forkedFrom.sessionId"))).alias("fork_parents"), F.unix_timestamp(F.max("timestamp")).alias("modified"),
+    )
+    aborted = F.lit(None).cast("struct<events:array<string>,active:boolean,lines:string>")
+    s = s.select(
+        F.col("s").alias("key"), F.lit("transcript").alias("agent"), F.col("s").alias("session_id"), "fork_parents", F.lit(False).alias("trashed"), F.lit(True).alias("safe"), "modified", "events", "inherited", "own",
+        F.array().cast("array<string>").alias("activity"), aborted.alias("aborted"), F.array().cast("array<struct<lines:string,last:string>>").alias("turns"),
+    )
+    return lineage.superseded(s)
+
+
+def visibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by mask, and whether they show by default."""
+    s = projection.segments(table(spark, sf, "rich_content"))
+    return s.groupBy("mask").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"), F.bool_and(projection.visible(F.col("mask"), projection.Display())).alias("shown"))
+
+
+def search_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of each session by mask."""
+    return projection.search_fields(table(spark, sf, "rich_content"))
+
+
+def message_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """J4."""
+    rows = _basic(spark, sf).where("message IS NOT NULL")
+    mask = projection.message_mask(F.coalesce("message.role", "type"), F.col("message.content"), F.col("isCompactSummary"))
+    return rows.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def tool_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """P29."""
+    names = table(spark, sf, "rich_content").select(F.explode("message.content").alias("b")).where("b.name IS NOT NULL")
+    return names.groupBy(tx.tool_label(F.col("b.name")).alias("label")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def line_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of the multiset of lines of each text."""
+    return table(spark, sf, "documents").select("doc_id", tx.line_fingerprint(F.split("text", "\n")).alias("hash"))
+
+
+def query_history(spark: SparkSession, sf: str) -> DataFrame:
+    """O3: latest entry of each query."""
+    h = table(spark, sf, "documents").where("title IS NOT NULL").select(F.col("title").alias("query"), F.col("created_at").alias("saved_at"))
+    return sinks.history_updated(h, h, 100).select("query", F.unix_timestamp("saved_at").alias("saved_at"))
+
+
+def export_names(spark: SparkSession, sf: str) -> DataFrame:
+    """K4."""
+    d = table(spark, sf, "documents").select("doc_id", sinks.file_stem(F.col("created_at"), F.split_part("source", F.lit("/"), F.lit(1)), F.coalesce("session_id", F.lit("none")), F.col("title")).alias("stem"))
+    return sinks.file_names(d, "doc_id")
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _basic(spark, sf).where("sessionId IS NOT NULL AND type IN ('user', 'assistant')")
+    return rows.select(F.lower("sessionId").alias("session_id"), F.col("row_id").alias("turn_no"), F.coalesce("message.role", "type").alias("speaker"), F.col("message.content").alias("content"), "timestamp")
+
+
+def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: a document for each session."""
+    return sinks.markdown(_messages(spark, sf))
+
+
+def export_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """K1."""
+    return sinks.compact_json(sessions.transcript_sessions(_basic(spark, sf)).select("session_id", "cwd", "branch", "first_user_msg_content", "lines"))
+
+
+def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    """Short sessions proposed for the trash by a rule."""
+    r = rules.Rules()
+
+    @r.rule("short", max_turns=3)
+    def short(context: dict) -> dict:
+        return rules.trash(f"{context['user_turns']} user turns")
+
+    m = _messages(spark, sf)
+    s = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
+    return rules.report(rules.evaluate(s, m, r))["proposals"].select("rule", "session_id", "action", "reason")
+
+
+def activity_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of activity closed after 30 minutes, the batch form of the streaming operator."""
+    a = ingest.activity(_basic(spark, sf))
+    return a.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), F.col("rows"))
+
+
+def step_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """P19, JN2: the latest format and the records of the new format whose (file, line) is not in it, by a shared step number."""
+    a = table(spark, sf, "latest_format").select("row_id", (F.col("file_id") % 1_000_000 * 1000 + F.col("line_no")).alias("step_index"), F.lit("full").alias("src"))
+    b = table(spark, sf, "new_format").select("row_id", (F.col("file_id") % 1_000_000 * 1000 + F.col("line_no")).alias("step_index"), F.lit("regular").alias("src"))
+    return sessions.two_source_merge(a, b)
+
+
+_ALL = (
+    parse_transcript_sessions, parse_noise, parse_blocks, parse_rollout_sessions, pair_calls, redundant_outputs, adjacent_distinct, carried_calls, user_turns, running_offsets, ordinal_regressions,
+    history_headers, history_tips, thread_names, sync_changes, sync_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
+    query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_LINES = "SELECT DISTINCT ON (file_id, line_no) * FROM {t} ORDER BY file_id, line_no, ingested_at, row_id"
+_ROLE = "coalesce(message.role, type)"
+_SAID = "(type IN ('user', 'assistant') AND NOT coalesce(isMeta, false) AND trim(coalesce(message.content, '')) <> '')"
+
+_SEGMENTS = """
+WITH e AS (SELECT row_id, lower(sessionId) AS session, coalesce(message.role, type) AS role, unnest(message.content) AS b, unnest(range(1, len(message.content) + 1)) - 1 AS part FROM rich_content),
+k AS (SELECT row_id, session, part, role, coalesce(b.type, 'text') AS kind, b FROM e WHERE b IS NOT NULL),
+p AS (SELECT *, unnest(['text', 'name', 'input', 'output']) AS name,
+  unnest([coalesce(b.text, b.thinking), b.name, b.input, array_to_string(list_filter(list_transform(b.content, lambda c: c.text), lambda c: c IS NOT NULL), chr(10) || chr(10))]) AS text FROM k),
+s AS (SELECT row_id, session, part, kind, name, text, CASE kind WHEN 'thinking' THEN 512 WHEN 'tool_use' THEN 4 WHEN 'tool_result' THEN 8 ELSE CASE role WHEN 'user' THEN 1 ELSE 2 END END AS mask
+  FROM p WHERE text IS NOT NULL AND trim(text) <> '')"""
+
+ORACLE = {
+    "parse_transcript_sessions": f"""
+WITH s AS (SELECT lower(sessionId) AS session_id, arg_min(cwd, row_id) FILTER (cwd IS NOT NULL) AS cwd, arg_min(gitBranch, row_id) FILTER (gitBranch IS NOT NULL) AS branch,
+  arg_min(message.model, row_id) FILTER (message.model IS NOT NULL) AS model, arg_max(slug, row_id) FILTER (slug IS NOT NULL) AS slug, count(*) AS lines,
+  count(*) FILTER ({_SAID} AND {_ROLE} = 'user') AS user_turns, count(*) FILTER ({_SAID} AND {_ROLE} = 'assistant') AS agent_turns,
+  bool_and(coalesce(isSidechain, false)) AS is_sidechain, greatest(coalesce(CAST(floor(epoch(max(timestamp))) AS BIGINT), 0), 0) AS modified_ts,
+  arg_min(message.content, row_id) FILTER ({_SAID} AND {_ROLE} = 'user' AND NOT coalesce(isCompactSummary, false)) AS fu,
+  arg_max({_ROLE}, row_id) FILTER ({_SAID}) AS last_msg_role
+  FROM basic_session WHERE sessionId IS NOT NULL GROUP BY 1),
+f AS (SELECT *, trim(regexp_replace(fu, '\\s+', ' ', 'g')) AS t, lower(coalesce(cwd, session_id)) AS p FROM s WHERE user_turns + agent_turns > 0)
+SELECT session_id, cwd, branch, model, slug, lines, user_turns, agent_turns, is_sidechain, modified_ts,
+  CASE WHEN is_sidechain OR regexp_matches(p, '(^|/)subagents(/|$)') THEN 'sub_agent' WHEN contains(p, 'trimmed') THEN 'trimmed' WHEN contains(p, 'continued') THEN 'continued'
+       WHEN contains(p, 'rollover') THEN 'rollover' ELSE 'original' END AS derivation_type,
+  CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS first_user, last_msg_role FROM f""",
+    "parse_noise": r"""
+WITH b AS (SELECT row_id, uuid, parentUuid, coalesce(message.content, '') AS t FROM basic_session),
+x AS (SELECT uuid, min(row_id) AS at FROM b WHERE regexp_matches(t, '^\s*<command-name>/exit</command-name>') AND uuid IS NOT NULL GROUP BY 1)
+SELECT row_id FROM b WHERE NOT regexp_matches(t, '^\s*<local-command-caveat>') AND NOT regexp_matches(t, '^\s*<command-name>/exit</command-name>')
+AND NOT (regexp_matches(t, '^\s*<local-command-stdout>') AND EXISTS (SELECT 1 FROM x WHERE x.uuid = b.parentUuid AND x.at < b.row_id))""",
+    "parse_blocks": """
+WITH e AS (SELECT row_id, unnest(message.content) AS b, unnest(range(1, len(message.content) + 1)) AS place FROM rich_content),
+k AS (SELECT row_id, place, coalesce(b.type, 'unknown') AS kind,
+  coalesce(b.text, b.thinking, CASE WHEN b.content IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(list_transform(b.content, lambda c: c.text), lambda c: c IS NOT NULL), chr(10) || chr(10)), '') END, b.input) AS text FROM e WHERE b IS NOT NULL),
+i AS (SELECT *, CASE WHEN kind = 'text' AND lag(kind) OVER (PARTITION BY row_id ORDER BY place) = 'text' THEN 0 ELSE 1 END AS starts FROM k),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY row_id ORDER BY place) AS part FROM i)
+SELECT row_id, CAST(part AS BIGINT) AS part, min(kind) AS kind, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place), '') AS text FROM g GROUP BY 1, 2""",
+    "parse_rollout_sessions": f"""
+WITH r AS ({_LINES.format(t="new_format")}), k AS (SELECT *, coalesce(payload.type, type) AS kind, TRY_CAST(timestamp AS TIMESTAMPTZ) AS ts FROM r)
+SELECT file_id, arg_min(payload.id, line_no) FILTER (type = 'session_meta' AND payload.id IS NOT NULL) AS session_id, arg_min(payload.cwd, line_no) FILTER (type = 'session_meta' AND payload.cwd IS NOT NULL) AS cwd,
+  arg_min(payload.originator, line_no) FILTER (type = 'session_meta' AND payload.originator IS NOT NULL) AS originator, arg_max(payload.model, line_no) FILTER (type = 'turn_context' AND payload.model IS NOT NULL) AS model,
+  arg_max(payload.effort, line_no) FILTER (type = 'turn_context' AND payload.effort IS NOT NULL) AS effort, count(*) AS lines, count(*) FILTER (kind = 'user_message') AS user_messages,
+  count(*) FILTER (kind = 'agent_message') AS agent_messages, count(*) FILTER (kind IN ('function_call', 'custom_tool_call')) AS tool_calls,
+  count(*) FILTER (kind IN ('function_call_output', 'custom_tool_call_output')) AS tool_outputs, count(*) FILTER (kind = 'exec_command_end') AS exec_ends,
+  arg_max(payload.info.total_token_usage.total_tokens, line_no) FILTER (payload.info.total_token_usage.total_tokens IS NOT NULL) AS total_tokens,
+  CASE WHEN epoch_ms(max(ts)) > epoch_ms(min(ts)) THEN epoch_ms(max(ts)) - epoch_ms(min(ts)) END AS wall_ms FROM k GROUP BY 1""",
+    "pair_calls": f"""
+WITH r AS ({_LINES.format(t="new_format")}),
+c AS (SELECT DISTINCT ON (file_id, payload.call_id) file_id, payload.call_id AS call_id, line_no AS call_line, payload.name AS name FROM r WHERE payload.type IN ('function_call', 'custom_tool_call') AND payload.call_id IS NOT NULL ORDER BY file_id, payload.call_id, line_no, row_id),
+o AS (SELECT file_id, payload.call_id AS call_id, min(line_no) AS output_line FROM r WHERE payload.type IN ('function_call_output', 'custom_tool_call_output') AND payload.call_id IS NOT NULL GROUP BY 1, 2)
+SELECT c.file_id, c.call_id, call_line, name, output_line, CASE WHEN output_line IS NULL THEN 'pending' ELSE 'done' END AS status FROM c LEFT JOIN o ON c.file_id = o.file_id AND c.call_id = o.call_id""",
+    "redundant_outputs": f"""
+WITH r AS ({_LINES.format(t="latest_format")}),
+e AS (SELECT file_id, payload.call_id AS call_id, min(line_no) AS ended FROM r WHERE payload.type IN ('exec_command_end', 'patch_apply_end', 'web_search_end') GROUP BY 1, 2)
+SELECT r.file_id, r.line_no, r.payload.call_id AS call_id FROM r JOIN e ON r.file_id = e.file_id AND r.payload.call_id = e.call_id AND r.line_no > e.ended WHERE r.payload.type IN ('function_call_output', 'custom_tool_call_output')""",
+    "adjacent_distinct": """
+WITH b AS (SELECT row_id, type, message.content AS c, lag(type) OVER w AS t0, lag(message.content) OVER w AS c0, lag(row_id) OVER w AS r0 FROM basic_session WHERE sessionId IS NOT NULL WINDOW w AS (PARTITION BY lower(sessionId) ORDER BY row_id))
+SELECT row_id FROM b WHERE r0 IS NULL OR t0 IS DISTINCT FROM type OR c0 IS DISTINCT FROM c""",
+    "carried_calls": """
+WITH e AS (SELECT row_id, lower(sessionId) AS s, unnest(message.content) AS b, unnest(range(1, len(message.content) + 1)) - 1 AS place FROM rich_content WHERE sessionId IS NOT NULL),
+k AS (SELECT row_id, s, place, CASE WHEN b.type = 'tool_use' THEN 'tool_call' WHEN b.type = 'tool_result' THEN 'tool_result' ELSE 'message' END AS kind, b.name AS name FROM e WHERE b IS NOT NULL),
+g AS (SELECT *, sum(CASE WHEN kind = 'message' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY row_id, place) AS reset FROM k),
+l AS (SELECT *, last_value(CASE WHEN kind = 'tool_call' THEN name END IGNORE NULLS) OVER (PARTITION BY s, reset ORDER BY row_id, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS call_summary FROM g)
+SELECT row_id, CAST(place AS INT) AS place, call_summary FROM l WHERE kind = 'tool_result'""",
+    "user_turns": f"""
+WITH r AS ({_LINES.format(t="new_format")}), t AS (SELECT file_id, line_no, CAST(sum(CASE WHEN payload.type = 'user_message' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS BIGINT) AS turn FROM r)
+SELECT file_id, turn, count(*) AS rows, max(line_no) AS last_line FROM t GROUP BY 1, 2""",
+    "running_offsets": """
+WITH l AS (SELECT file_id, line_no, arg_min(line, row_id) AS line FROM rollout_raw GROUP BY 1, 2)
+SELECT file_id, line_no, CAST(sum(strlen(line) + 1) OVER w AS BIGINT) - (strlen(line) + 1) AS byte_start, CAST(sum(strlen(line) + 1) OVER w AS BIGINT) AS byte_end FROM l WINDOW w AS (PARTITION BY file_id ORDER BY line_no)""",
+    "ordinal_regressions": """
+WITH o AS (SELECT row_id, ordinal, max(ordinal) OVER (PARTITION BY file_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM latest_format)
+SELECT row_id, ordinal, highest FROM o WHERE ordinal <= highest""",
+    "thread_names": "SELECT lower(sessionId) AS id, arg_max(slug, row_id) AS thread_name FROM basic_session WHERE slug IS NOT NULL AND sessionId IS NOT NULL GROUP BY 1",
+    "sync_changes": """
+WITH a AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id > 1 GROUP BY 1),
+b AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id <= 5 GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN a.m IS DISTINCT FROM b.m OR a.n <> b.n THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL OUTER JOIN b ON a.path = b.path""",
+    "session_families": """
+WITH RECURSIVE v AS (SELECT DISTINCT lower(sessionId) AS v FROM basic_session WHERE sessionId IS NOT NULL),
+e0 AS (SELECT DISTINCT lower(sessionId) AS a, lower(forkedFrom.sessionId) AS b FROM basic_session WHERE sessionId IS NOT NULL AND forkedFrom.sessionId IS NOT NULL),
+e AS (SELECT a, b FROM e0 WHERE b IN (SELECT v FROM v) UNION SELECT b, a FROM e0 WHERE b IN (SELECT v FROM v)),
+r AS (SELECT v AS s, v AS x FROM v UNION SELECT r.s, e.b FROM r JOIN e ON r.x = e.a)
+SELECT s AS session_id, min(x) AS family FROM r GROUP BY 1""",
+    "message_masks": r"""
+SELECT CASE WHEN coalesce(isCompactSummary, false) THEN 64 WHEN regexp_matches(t, '(?s)^\s*<task-notification>.*</task-notification>\s*$') THEN 64
+  WHEN regexp_matches(t, '(?is)^\s*(?:# AGENTS\.md instructions|<project-docs>|<user_instructions>)') THEN 16 WHEN regexp_matches(t, '(?is)^\s*(?:<skill>|base directory for this skill:)') THEN 32
+  WHEN regexp_matches(t, '(?is)^\s*<(?:environment_context|system-reminder|permissions instructions|turn_context|ide_context|internal_context)\b') THEN 64
+  WHEN role = 'user' THEN 1 WHEN role IN ('assistant', 'agent') THEN 2 ELSE 64 END AS mask, count(*) AS rows
+FROM (SELECT isCompactSummary, coalesce(message.content, '') AS t, coalesce(message.role, type) AS role FROM basic_session WHERE message IS NOT NULL) GROUP BY 1""",
+    "query_history": """
+SELECT query, CAST(floor(epoch(saved_at)) AS BIGINT) AS saved_at FROM (SELECT title AS query, max(created_at) AS saved_at FROM documents WHERE title IS NOT NULL GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 100)""",
+    "rule_proposals": f"""
+SELECT 'short' AS rule, lower(sessionId) AS session_id, 'trash' AS action, count(*) FILTER ({_ROLE} = 'user') || ' user turns' AS reason FROM basic_session
+WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant') GROUP BY lower(sessionId) HAVING count(*) FILTER ({_ROLE} = 'user') <= 3""",
+    "line_fingerprints": """
+SELECT doc_id, sha256(array_to_string(list_transform(list_sort(list_filter(string_split(text, chr(10)), lambda x: x <> '')), lambda x: strlen(x) || ':' || x), '')) AS hash FROM documents""",
+    "activity_spans": """
+WITH b AS (SELECT lower(sessionId) AS s, epoch_us(timestamp) AS t FROM basic_session WHERE sessionId IS NOT NULL AND timestamp IS NOT NULL),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY s ORDER BY t) <= 1800000000 THEN 0 ELSE 1 END AS starts FROM b),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT s AS session_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS rows FROM i GROUP BY s, k""",
+    "step_merge": """
+WITH a AS (SELECT row_id, file_id % 1000000 * 1000 + line_no AS step_index, 'full' AS src FROM latest_format), b AS (SELECT row_id, file_id % 1000000 * 1000 + line_no AS step_index, 'regular' AS src FROM new_format)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE step_index NOT IN (SELECT step_index FROM a)""",
+    "tool_labels": "SELECT CASE lower(trim(name)) "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.TOOL_LABELS.items())
+    + " ELSE trim(name) END AS label, count(*) AS calls FROM (SELECT unnest(message.content).name AS name FROM rich_content) WHERE name IS NOT NULL GROUP BY 1",
+    "sync_statistics": """
+WITH a AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id > 1 GROUP BY 1),
+b AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id <= 5 GROUP BY 1),
+c AS (SELECT a.path AS p, b.path AS q, a.m IS DISTINCT FROM b.m OR a.n <> b.n AS differs FROM a FULL OUTER JOIN b ON a.path = b.path)
+SELECT count(*) FILTER (p IS NOT NULL) AS scanned, count(*) FILTER (p IS NOT NULL AND (q IS NULL OR differs)) AS updated,
+  count(*) FILTER (p IS NOT NULL AND q IS NOT NULL AND NOT differs) AS skipped, count(*) FILTER (p IS NULL) AS removed FROM c""",
+    "visibility": _SEGMENTS + """ SELECT mask, count(*) AS parts, CAST(sum(length(text)) AS BIGINT) AS chars, (mask & 592) = 0 AS shown FROM s GROUP BY 1""",
+    "search_fields": _SEGMENTS + """ SELECT session, mask, string_agg(text, chr(10) || chr(10) ORDER BY row_id, part, name) AS text FROM s WHERE session IS NOT NULL GROUP BY 1, 2""",
+    "history_headers": """
+WITH j AS (SELECT CAST(file_id AS VARCHAR) AS path, line_no, TRY_CAST(line AS JSON) AS v FROM rollout_raw),
+m AS (SELECT path, line_no, v ->> '$.type' AS type, coalesce(v ->> '$.payload.id', CASE WHEN line_no = 1 THEN v ->> '$.id' END) AS thread_id, v ->> '$.payload.history_base.thread_id' AS base_id,
+  CAST(v ->> '$.payload.history_base.end_ordinal_exclusive' AS BIGINT) AS base_end_ordinal, v ->> '$.payload.history_mode' AS mode FROM j WHERE v IS NOT NULL)
+SELECT DISTINCT ON (path) path, thread_id, base_id, base_end_ordinal, mode FROM m WHERE thread_id IS NOT NULL AND (type = 'session_meta' OR type IS NULL) ORDER BY path, line_no""",
+}
