@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.hierarchy import hierarchy
+from threadloom.operators.lineage import followed
 from threadloom.util import checkpoint, numbered
 
 SAID, BROKEN, UNANSWERED = 1, 2, 4
@@ -52,19 +53,9 @@ def _answered(said: DataFrame, table: DataFrame) -> DataFrame:
     """(uuid, session): what assistant messages that are not blank hang on, directly or through system and meta rows."""
     through = _rows(table).where("uuid IS NOT NULL AND session IS NOT NULL AND NOT side AND (type = 'system' OR meta)")
     through = checkpoint(through.groupBy("uuid").agg(F.min_by(F.struct("session", "parent"), "row_id").alias("t")).select("uuid", "t.session", F.col("t.parent").alias("up")).where("up IS NOT NULL"))
-    # Pointer doubling: where each such row leads, past all others of its session.  Rows in a loop lead nowhere.
-    open_, done = through, None
-    while True:
-        step = open_.join(through.select(F.col("uuid").alias("up"), "session", F.col("up").alias("up2")), ["up", "session"], "left")
-        step = checkpoint(step.select("uuid", "session", "up", "up2"))
-        ended = step.where("up2 IS NULL").select("uuid", "session", "up")
-        done = ended if done is None else done.unionByName(ended)
-        moved = step.where("up2 IS NOT NULL")
-        if ended.isEmpty() or moved.isEmpty():
-            break
-        through = checkpoint(moved.select("uuid", "session", F.col("up2").alias("up")).unionByName(done))
-        open_ = through.join(done.select("uuid", "session"), ["uuid", "session"], "left_anti")
-        # ``through`` now leads two, four, ... rows up; rows that ended keep their end.
+    # Where each such row leads, past all others of its session; rows in a loop lead nowhere.
+    ends = followed(through.select(F.struct("session", "uuid").alias("v"), F.struct(F.col("session"), F.col("up").alias("uuid")).alias("to"))).where("last IS NOT NULL")
+    done = ends.select(F.col("v.session").alias("session"), F.col("v.uuid").alias("uuid"), F.col("last.uuid").alias("up"))
     hung = said.where("role = 'assistant' AND NOT blank AND parent IS NOT NULL").select("session", F.col("parent").alias("on")).distinct()
     past = hung.join(done.select(F.col("uuid").alias("on"), "session", "up"), ["on", "session"], "left")
     return past.select("session", F.coalesce("up", "on").alias("uuid")).distinct()

@@ -59,6 +59,7 @@ def _underscored(pattern: re.Pattern, text: str):
 def label(text: str) -> list[tuple[int, int, int]]:
     """(start, end, type index) of every labelled span, without overlaps; e-mails and addresses win over names."""
     spans: list[tuple[int, int, int]] = []
+    text = re.sub(r"\\[nrt]", "  ", text)  # an escape within JSON text ends a word; the length stays
     for k, pattern in enumerate((EMAIL, PHONE, ID, ADDRESS, NAME)):
         for m in _underscored(pattern, text):
             s, e = m.span()
