@@ -208,13 +208,30 @@ def hierarchy(rows: DataFrame, node: str = "uuid", parent: str = "parentUuid", o
     return inside.groupBy("block").cogroup(notes.unionByName(solved).groupBy("block")).applyInArrow(_finish, _NODES)
 
 
+def _stabbed(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of one root where outer's interval holds inner's, as an equi-join on aligned buckets.
+
+    An interval lies in at most two buckets of the power of two next above its length, so outer gives two rows at most and inner one for each
+    power; pairs are made only where the sizes fit, never over all nodes of a root.
+    """
+    power = F.ceil(F.log2(F.greatest(F.col("exit") - F.col("entry"), F.lit(1)).cast("double"))).cast("int")
+    bucket = lambda at, k: F.floor(at / F.pow(F.lit(2.0), k)).cast("bigint")
+    held = outer.withColumn("__k", power).withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col("entry"), F.col("__k")), bucket(F.col("exit"), F.col("__k"))))))
+    asked = inner.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(48)))).withColumn("__b", bucket(F.col("entry"), F.col("__k")))
+    a, b = asked.alias("a"), held.alias("b")
+    on = (F.col("a.root_uuid") == F.col("b.root_uuid")) & (F.col("a.__k") == F.col("b.__k")) & (F.col("a.__b") == F.col("b.__b"))
+    return a.join(b, on & (F.col("b.entry") <= F.col("a.entry")) & (F.col("b.exit") >= F.col("a.exit")))
+
+
+def _asked(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    return tree.join(wanted.select(F.lower("uuid").alias("uuid")).distinct(), "uuid", "left_semi").where("depth >= 0")
+
+
 def ancestors(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uuid, ancestor, ancestor_depth) for the ids in ``wanted.uuid``, the node itself included: nodes of the same root whose
-    interval holds the wanted one.  Nodes on or below loops have no ancestors."""
-    asked = tree.join(wanted.select(F.lower("uuid").alias("uuid")).distinct(), "uuid", "left_semi").where("depth >= 0")
-    a, b = asked.alias("a"), tree.where("depth >= 0").alias("b")
-    on = (F.col("a.root_uuid") == F.col("b.root_uuid")) & (F.col("b.entry") <= F.col("a.entry")) & (F.col("b.exit") >= F.col("a.exit"))
-    return a.join(b, on).select(F.col("a.uuid"), F.col("b.uuid").alias("ancestor"), F.col("b.depth").alias("ancestor_depth"))
+    """(uuid, ancestor, ancestor_depth) for the ids in ``wanted.uuid``, the node itself included: nodes whose interval holds the
+    wanted one.  Nodes on or below loops have no ancestors."""
+    pairs = _stabbed(_asked(tree, wanted), tree.where("depth >= 0"))
+    return pairs.select(F.col("a.uuid"), F.col("b.uuid").alias("ancestor"), F.col("b.depth").alias("ancestor_depth"))
 
 
 def paths(tree: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,7 +242,5 @@ def paths(tree: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(uuid, descendant, distance) of the wanted nodes, without the nodes themselves."""
-    asked = tree.join(wanted.select(F.lower("uuid").alias("uuid")).distinct(), "uuid", "left_semi").where("depth >= 0")
-    a, b = asked.alias("a"), tree.where("depth > 0").alias("b")
-    on = (F.col("a.root_uuid") == F.col("b.root_uuid")) & (F.col("b.entry") > F.col("a.entry")) & (F.col("b.exit") < F.col("a.exit"))
-    return a.join(b, on).select(F.col("a.uuid"), F.col("b.uuid").alias("descendant"), (F.col("b.depth") - F.col("a.depth")).alias("distance"))
+    pairs = _stabbed(tree.where("depth > 0"), _asked(tree, wanted)).where(F.col("a.uuid") != F.col("b.uuid"))
+    return pairs.select(F.col("b.uuid").alias("uuid"), F.col("a.uuid").alias("descendant"), (F.col("a.depth") - F.col("b.depth")).alias("distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import normal_path
+from threadloom.operators import scans
 from threadloom.operators.sessions import first_value
 from threadloom.util import checkpoint
 
@@ -91,10 +92,9 @@ def bounded(records: DataFrame, segments: DataFrame) -> DataFrame:
 
     records: path, line_no, line.  flaw: malformed, missing ordinal where its file has ordinals, or an ordinal that goes back.
     """
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     v = F.try_parse_json("line")
-    sized = records.withColumn("byte_end", F.sum(F.octet_length("line") + 1).over(w)).withColumn("ordinal", F.try_variant_get(v, "$.ordinal", "bigint")).withColumn("good", v.isNotNull())
-    sized = sized.withColumn("highest", F.max("ordinal").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    sized = scans.running_sum(records, "path", ["line_no"], F.octet_length("line") + 1, "byte_end").withColumn("ordinal", F.try_variant_get(v, "$.ordinal", "bigint")).withColumn("good", v.isNotNull())
+    sized = scans.running_max(sized, "path", ["line_no"], "ordinal", "highest")
     paged = sized.groupBy("path").agg((F.count("ordinal") > 0).alias("paginated"))
     s = segments.select(F.col("path").alias("history"), "seg", F.col("segment_path").alias("path"), "end_ordinal", "end_byte")
     rows = s.join(sized, "path").join(paged, "path")

@@ -81,7 +81,8 @@ def equivalence_key(sessions: DataFrame) -> Column:
     """Sorted event set without an aborted last turn that did nothing; for copied forks the inherited events too."""
     idle = F.coalesce(~F.col("aborted.active"), F.lit(False))
     kept = F.when(idle, F.array_except("events", F.coalesce("aborted.events", F.array().cast("array<string>")))).otherwise(F.array_distinct("events"))
-    return F.array_sort(F.when(F.col("agent") == "rollout", kept).otherwise(F.array_union(F.coalesce("inherited", F.array().cast("array<string>")), "events")))
+    copied = F.array_union(F.coalesce("inherited", F.array().cast("array<string>")), "events")
+    return F.array_sort(F.when(F.col("agent") == "rollout", kept).when(F.col("agent") == "transcript", copied).otherwise(F.array().cast("array<string>")))
 
 
 def superseded(sessions: DataFrame) -> DataFrame:

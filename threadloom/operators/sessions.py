@@ -1,7 +1,7 @@
 """Transcript rows to typed sessions, messages and cells: the ordered per-session folds as aggregates, joins and windows.
 
 First and last values are ``min_by`` / ``max_by`` over the line number (with a unique tiebreak), so whole sessions are folded with partial
-aggregation; only operators that need a neighbour (adjacent repeats, turns, offsets) use a window over one session's rows.
+aggregation; operators that need a neighbour (adjacent repeats, turns, offsets) use the chunked scans of :mod:`threadloom.operators.scans`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import derivation
+from threadloom.operators import scans
 
 
 def first_value(value: Column, order: Column) -> Column:
@@ -76,25 +77,23 @@ def block_text(rows: DataFrame) -> DataFrame:
     return grouped.select("row_id", F.col("part").cast("bigint").alias("part"), "kind", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def adjacent_distinct(rows: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
+def adjacent_distinct(rows: DataFrame, by: str, order: list[str], same: list[str]) -> DataFrame:
     """Drops a row that equals the row before it (null-safe, on ``same``); an equal run collapses to its first row."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("__before", F.lag(F.struct(*same)).over(w)).where(~F.col("__before").eqNullSafe(F.struct(*same))).drop("__before")
+    marked = scans.running_last(rows, by, order, F.struct(*same), "__before", strict=True)
+    return marked.where(~F.col("__before").eqNullSafe(F.struct(*same))).drop("__before")
 
 
-def carried_calls(rows: DataFrame, by: list[str], order: list[str], kind: Column, summary: Column) -> DataFrame:
+def carried_calls(rows: DataFrame, by: str, order: list[str], kind: Column, summary: Column) -> DataFrame:
     """``call_summary`` of each tool result: that of the call before it; rows of other kinds reset it."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    reset = F.sum(F.when(kind.isin("tool_call", "tool_result"), 0).otherwise(1)).over(w)
-    marked = rows.withColumn("__reset", reset).withColumn("__call", F.when(kind == "tool_call", summary))
-    inside = Window.partitionBy(*by, "__reset").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("call_summary", F.when(kind == "tool_result", F.last("__call", ignorenulls=True).over(inside))).drop("__reset", "__call")
+    event = F.when(kind == "tool_call", F.struct(summary.alias("name"))).when(kind != "tool_result", F.struct(F.lit(None).cast("string").alias("name")))
+    named = F.when((kind == "tool_call") & summary.isNull(), F.lit(None)).otherwise(event)
+    marked = scans.running_last(rows, by, order, named, "__call")
+    return marked.withColumn("call_summary", F.when(kind == "tool_result", F.col("__call.name"))).drop("__call")
 
 
-def user_turns(rows: DataFrame, by: list[str], order: list[str], opens: Column) -> DataFrame:
+def user_turns(rows: DataFrame, by: str, order: list[str], opens: Column) -> DataFrame:
     """``turn``: number of the user message that opened the row's turn (0 before the first)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("turn", F.sum(F.when(opens, 1).otherwise(0)).over(w).cast("bigint"))
+    return scans.running_sum(rows, by, order, F.when(opens, 1).otherwise(0), "turn")
 
 
 def trailing_aborted(turned: DataFrame, by: list[str], aborted: Column) -> DataFrame:
@@ -107,15 +106,12 @@ def trailing_aborted(turned: DataFrame, by: list[str], aborted: Column) -> DataF
 def running_offsets(lines: DataFrame, by: str = "file_id", order: str = "line_no", text: str = "line") -> DataFrame:
     """``byte_start`` and ``byte_end`` of each line in its file, the line break counted."""
     size = F.octet_length(text) + 1
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(size).over(w)
-    return lines.withColumn("byte_end", end).withColumn("byte_start", F.col("byte_end") - size)
+    return scans.running_sum(lines, by, [order], size, "byte_end").withColumn("byte_start", F.col("byte_end") - size)
 
 
 def ordinal_regressions(rows: DataFrame, by: str = "file_id", order: str = "line_no", ordinal: str = "ordinal") -> DataFrame:
     """Rows whose ordinal is not above all before it in the file."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("highest", F.max(ordinal).over(w)).where(F.col(ordinal) <= F.col("highest"))
+    return scans.running_max(rows, by, [order], ordinal, "highest").where(F.col(ordinal) <= F.col("highest"))
 
 
 # --- second producer: rollout records --------------------------------------------------------------------------------

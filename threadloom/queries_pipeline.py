@@ -96,6 +96,14 @@ ORACLE = {
 ), d AS (SELECT p AS uuid, count(*) AS k FROM up GROUP BY 1)
 SELECT t.uuid, root_uuid, depth, CAST(coalesce(k, 0) AS BIGINT) AS n_descendants FROM t LEFT JOIN d ON t.uuid = d.uuid
 UNION ALL SELECT uuid, '' AS root_uuid, -1 AS depth, CAST(0 AS BIGINT) AS n_descendants FROM n2 WHERE uuid NOT IN (SELECT uuid FROM t)""",
+    "p1_paths": _TREE
+    + """, k AS (SELECT DISTINCT p FROM n2 WHERE p IS NOT NULL), leaves AS (
+  SELECT DISTINCT lower(uuid) AS uuid FROM basic_session WHERE isSidechain AND uuid IS NOT NULL AND lower(uuid) IN (SELECT uuid FROM t) AND lower(uuid) NOT IN (SELECT p FROM k)
+), w AS (
+  SELECT uuid, uuid AS at, uuid AS path FROM leaves
+  UNION ALL SELECT w.uuid, n2.p, n2.p || '/' || w.path FROM w JOIN n2 ON w.at = n2.uuid WHERE n2.p IS NOT NULL
+)
+SELECT uuid, arg_max(path, length(path)) AS path FROM w GROUP BY 1""",
     "p2_found": _IDENTS + " SELECT ident, id_kind FROM i WHERE ident <> '' GROUP BY 1, 2 HAVING count(*) > 1",
     "p4_blocks": """
 SELECT row_id, 'content[' || (place - 1) || ']' AS node_path, CAST(place - 1 AS INT) AS place, b.type AS type, b.text AS text, b.thinking AS thinking, b.name AS name, b.id AS id,

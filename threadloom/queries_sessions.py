@@ -55,7 +55,7 @@ def redundant_outputs(spark: SparkSession, sf: str) -> DataFrame:
 def adjacent_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """P24, W1."""
     rows = _basic(spark, sf).where("sessionId IS NOT NULL").select("row_id", F.lower("sessionId").alias("session_id"), "type", F.col("message.content").alias("content"))
-    return sessions.adjacent_distinct(rows, ["session_id"], ["row_id"], ["type", "content"]).select("row_id")
+    return sessions.adjacent_distinct(rows, "session_id", ["row_id"], ["type", "content"]).select("row_id")
 
 
 def carried_calls(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,13 +63,13 @@ def carried_calls(spark: SparkSession, sf: str) -> DataFrame:
     blocks = table(spark, sf, "rich_content").select("row_id", F.lower("sessionId").alias("session_id"), F.posexplode("message.content").alias("place", "b")).where("b IS NOT NULL AND session_id IS NOT NULL")
     kind = F.when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").otherwise("message")
     rows = blocks.select("row_id", "place", "session_id", kind.alias("kind"), F.col("b.name").alias("name"))
-    return sessions.carried_calls(rows, ["session_id"], ["row_id", "place"], F.col("kind"), F.col("name")).where("kind = 'tool_result'").select("row_id", "place", "call_summary")
+    return sessions.carried_calls(rows, "session_id", ["row_id", "place"], F.col("kind"), F.col("name")).where("kind = 'tool_result'").select("row_id", "place", "call_summary")
 
 
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:
     """W5."""
     rows = _rollout(spark, sf).select("file_id", "line_no", F.col("payload.type").alias("kind"))
-    return sessions.user_turns(rows, ["file_id"], ["line_no"], F.col("kind") == "user_message").groupBy("file_id", "turn").agg(F.count(F.lit(1)).alias("rows"), F.max("line_no").alias("last_line"))
+    return sessions.user_turns(rows, "file_id", ["line_no"], F.col("kind") == "user_message").groupBy("file_id", "turn").agg(F.count(F.lit(1)).alias("rows"), F.max("line_no").alias("last_line"))
 
 
 def running_offsets(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,7 +58,11 @@ def scan_files(spark: SparkSession, roots: dict[str, list[str]], trash: str | No
 
 def scan_bundles(spark: SparkSession, directory: str) -> DataFrame:
     """(id, transcript, full, mtime, size): one row for each bundle that has a transcript; time is the latest, size the sum."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "transcript*.jsonl").load(directory)
+    # The directory's name begins with a dot, which listings pass over unless it is named.
+    have = _have([f"{directory}/brain/*/.system_generated/logs"])
+    if not have:
+        return spark.createDataFrame([], "id string, transcript string, full string, mtime bigint, size bigint")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "transcript*.jsonl").load(have)
     f = files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), "length", F.regexp_extract("path", r"/brain/([^/]+)/\.system_generated/logs/transcript(?:_full)?\.jsonl$", 1).alias("id")).where("id <> ''")
     full = F.col("path").endswith("_full.jsonl")
     out = f.groupBy("id").agg(F.max(F.when(~full, F.col("path"))).alias("transcript"), F.max(F.when(full, F.col("path"))).alias("full"), F.max("mtime").alias("mtime"), F.sum("length").alias("size"))
@@ -67,7 +71,7 @@ def scan_bundles(spark: SparkSession, directory: str) -> DataFrame:
 
 def conversation_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(id, cwd, title, preview) of a JSON map of conversations; the first workspace is the working directory."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     text.createOrReplaceTempView("__tl_conversations")
     rows = spark.sql("SELECT e.key AS id, e.value AS c FROM __tl_conversations, LATERAL variant_explode(variant_get(v, '$.conversations', 'variant')) AS e")
     get = lambda p: F.try_variant_get("c", p, "string")
@@ -110,15 +114,16 @@ def rollout_summaries(spark: SparkSession, directory: str) -> DataFrame:
     schema = "thread_id string, rollout_path string, updated_at string, body string"
     if not have:
         return spark.createDataFrame([], schema)
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(have).select(F.regexp_replace("value", "\r\n", "\n").alias("t"))
-    head, key = F.regexp_extract("t", r"(?s)^(.*?)\n[ \t]*\n", 1), lambda k: F.nullif(F.trim(F.regexp_extract(F.regexp_extract("t", r"(?s)^(.*?)\n[ \t]*\n", 1), rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
-    body = F.nullif(F.trim(F.regexp_replace("t", r"(?s)^.*?\n[ \t]*\n", "")), F.lit(""))
+    text = spark.read.option("pathGlobFilter", "*.md").text(have, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("t"))
+    head = F.regexp_extract("t", r"(?s)^(.*?)\n[ \t]*\n", 1)
+    key = lambda k: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
+    body = F.nullif(F.regexp_replace(F.regexp_replace("t", r"(?s)^.*?\n[ \t]*\n", ""), r"^\s+|\s+$", ""), F.lit(""))
     return text.where(head != "").select(key("thread_id").alias("thread_id"), key("rollout_path").alias("rollout_path"), key("updated_at").alias("updated_at"), body.alias("body")).where("thread_id IS NOT NULL AND rollout_path IS NOT NULL AND body IS NOT NULL").orderBy("updated_at", "thread_id")
 
 
 def summary_sidecars(spark: SparkSession, directory: str) -> DataFrame:
     """(path, fingerprint, lines, body) of sidecars with front matter between '---' lines."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(directory).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("t"))
+    text = spark.read.option("pathGlobFilter", "*.md").text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("t"))
     front = F.regexp_extract("t", r"(?s)^---\n(.*?)\n---\n", 1)
     key = lambda k: F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
     return text.where(front != "").select("path", key("fingerprint").alias("fingerprint"), key("lines").try_cast("bigint").alias("lines"), F.regexp_replace("t", r"(?s)^---\n.*?\n---\n", "").alias("body"))
@@ -130,5 +135,5 @@ def search_history(spark: SparkSession, path: str) -> DataFrame:
     schema = "query string, saved_at timestamp"
     if not have:
         return spark.createDataFrame([], schema)
-    rows = spark.read.option("wholetext", "true").text(have).select(F.explode(F.from_json("value", "array<struct<query:string,saved_at:string>>")).alias("e"))
+    rows = spark.read.text(have, wholetext=True).select(F.explode(F.from_json("value", "array<struct<query:string,saved_at:string>>")).alias("e"))
     return rows.select(F.trim("e.query").alias("query"), F.col("e.saved_at").try_cast("timestamp").alias("saved_at")).where("query <> '' AND saved_at IS NOT NULL")
