@@ -20,9 +20,22 @@ def words(text: Column) -> Column:
 
 
 def normal_form(text: Column) -> Column:
-    """' t1 t2 … ' of the analyzed text, so that terms and phrases are plain substring searches; long tokens leave a gap."""
+    """' t1 t2 … ' of the analyzed text, so that terms and phrases are plain substring searches; long tokens leave a gap.
+
+    One replacement for the whole text; only texts with a word that may have 40 bytes go through the array form.
+    """
+    flat = F.lower(F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), "^ | $", ""), F.lit(" ")))
     kept = F.transform(words(text), lambda t: F.when(F.octet_length(t) < LONG_TOKEN_BYTES, t).otherwise(F.lit(GAP)))
-    return F.concat(F.lit(" "), F.array_join(kept, " "), F.lit(" "))
+    # 10 characters at least (4 bytes each), with one beyond ASCII among them, or 40 of any kind.
+    may_be_long = text.rlike(r"[\p{L}\p{N}]{40}") | (text.rlike(r"[^\x00-\x7F]") & text.rlike(r"[\p{L}\p{N}]{10}"))
+    return F.when(may_be_long, F.concat(F.lit(" "), F.array_join(kept, " "), F.lit(" "))).otherwise(flat)
+
+
+def token_count(norm: Column) -> Column:
+    """Number of indexed tokens of a normal form."""
+    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+    gaps = F.length(norm) - F.length(F.replace(norm, F.lit(GAP), F.lit("")))
+    return F.when(norm == "  ", 0).otherwise(spaces - 1 - gaps).cast("bigint")
 
 
 def compact(text: Column, limit: int) -> Column:

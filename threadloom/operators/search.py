@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import normal_form, normal_path, path_suffixes, tokens, words
+from threadloom.functions.text import normal_form, normal_path, path_suffixes, token_count, words
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
@@ -87,10 +87,11 @@ def parse_dir(raw: str, branch: str | None = None) -> tuple[str, str | None]:
 
 def indexed(documents: DataFrame, text_fields: dict[str, str], path_fields: dict[str, str] | None = None) -> DataFrame:
     """Adds ``norm_<field>`` and ``len_<field>`` for text columns and ``paths_<field>`` for columns with arrays of paths."""
-    out = documents
-    for name, column in text_fields.items():
-        out = out.withColumn(f"norm_{name}", normal_form(F.coalesce(F.col(column), F.lit(""))))
-        out = out.withColumn(f"len_{name}", F.size(tokens(F.col(column))).cast("bigint"))
+    forms = F.struct(*[normal_form(F.coalesce(F.col(c), F.lit(""))).alias(f"norm_{n}") for n, c in text_fields.items()])
+    # Generated columns are evaluated once: conditions on them cannot be pushed below, where each would analyze the text again.
+    out = documents.select("*", F.inline(F.array(forms)))
+    for name in text_fields:
+        out = out.withColumn(f"len_{name}", token_count(F.col(f"norm_{name}")))
     for name, column in (path_fields or {}).items():
         out = out.withColumn(f"paths_{name}", F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), path_suffixes))))
     return out
