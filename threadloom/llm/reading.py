@@ -13,6 +13,7 @@ pair every level is null; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ _FUNCTION = {
 }
 
 
-def prose(text: str | None, quoted: frozenset[str] | set[str] = frozenset()) -> list[list[str]]:
+def prose(text: str | None, quoted: Passages | None = None) -> list[list[str]]:
     """Sentences of prose as lists of words in lower case."""
     if not text or text.isspace():
         return []
@@ -62,48 +63,75 @@ def prose(text: str | None, quoted: frozenset[str] | set[str] = frozenset()) ->
             continue
         for sentence in _SENTENCE.split(_LEAD.sub("", line, count=1)):
             w = [x.lower() for x in _WORD.findall(sentence)]
-            if not w or (quoted and _is_quoted(sentence, quoted)):
+            if not w or (quoted is not None and quoted.hold(sentence, w)):
                 continue
             w.append("," * sentence.count(","))
             out.append(w)
     return out
 
 
-def _is_quoted(sentence: str, quoted: frozenset[str] | set[str]) -> bool:
-    """Whether a good part of the sentence runs along a passage."""
-    w = words(sentence)
-    hits = sum(" ".join(w[k : k + GRAM]) in quoted for k in range(max(0, len(w) - GRAM + 1)))
-    return hits > 0 and (hits + GRAM - 1) >= 0.3 * len(w)
+class Passages:
+    """Word sequences of evaluation passages."""
+
+    def __init__(self, passages: list[str]):
+        self.grams: set[str] = set()
+        self.vocabulary: set[str] = set()
+        for p in passages:
+            w = words(p)
+            self.vocabulary.update(w)
+            self.grams.update(" ".join(w[k : k + GRAM]) for k in range(max(0, len(w) - GRAM + 1)))
+
+    def hold(self, sentence: str, rough: list[str]) -> bool:
+        """Whether a good part of the sentence runs along a passage; ``rough``: its words, for a test that most sentences fail."""
+        if sum(x in self.vocabulary for x in rough) < max(2, 0.25 * len(rough)):
+            return False
+        w = words(sentence)
+        hits = sum(" ".join(w[k : k + GRAM]) in self.grams for k in range(max(0, len(w) - GRAM + 1)))
+        return hits > 0 and (hits + GRAM - 1) >= 0.3 * len(w)
+
+
+_KNOWN: dict[str, tuple] = {}
+
+
+def _traits(word: str) -> tuple:
+    """What the features need of a word; kept, since texts share their words."""
+    got = _KNOWN.get(word)
+    if got is None:
+        if len(_KNOWN) > 500_000:
+            _KNOWN.clear()
+        n = len(word)
+        got = _KNOWN[word] = (
+            n, n >= 7, n >= 11, n <= 3, n > 6 and _NOMINAL.search(word) is not None, n > 7 and _VERBAL.search(word) is not None, word in _CONNECTIVE, word in _PREPOSITION,
+            *(word in v for v in _FUNCTION.values()),
+        )
+    return got
 
 
 def features(sentences: list[list[str]]) -> tuple[bool, int, list[float] | None]:
     """(is English, words, features) of sentences of :func:`prose`."""
-    every = [x for s in sentences for x in s[:-1]]
-    n = len(every)
+    count: Counter[str] = Counter()
+    commas = 0
+    for s in sentences:
+        count.update(s)
+        commas += len(s[-1])
+        count[s[-1]] -= 1
+    pairs = [(c, _traits(x)) for x, c in count.items() if c > 0 and x and x[0] != ","]
+    n = sum(c for c, _ in pairs)
     if not n:
         return False, 0, None
-    votes = {k: sum(x in v for x in every) for k, v in _FUNCTION.items()}
+    total = [sum(c * t[k] for c, t in pairs) for k in range(8 + len(_FUNCTION))]
+    votes = dict(zip(_FUNCTION, total[8:]))
     english = votes["en"] == max(votes.values()) and votes["en"] >= 0.02 * n
-    lengths = np.fromiter((len(x) for x in every), float, n)
     k = len(sentences)
-    share = lambda test: sum(map(test, every)) / n
-    f = [
-        float(np.log1p(n / k)), float(lengths.mean()) / 10, float((lengths >= 7).mean()), float((lengths >= 11).mean()), float((lengths <= 3).mean()),
-        sum(any(x in _SUBORDINATE for x in s) for s in sentences) / k, sum(len(s[-1]) for s in sentences) / n,
-        share(lambda x: len(x) > 6 and _NOMINAL.search(x) is not None), share(lambda x: len(x) > 7 and _VERBAL.search(x) is not None),
-        share(lambda x: x in _CONNECTIVE), share(lambda x: x in _PREPOSITION),
-    ]
-    return english, n, f
+    subordinate = sum(not _SUBORDINATE.isdisjoint(s) for s in sentences) / k
+    chars, long_, very, short, nominal, verbal, connective, preposition = (x / n for x in total[:8])
+    return english, n, [float(np.log1p(n / k)), chars / 10, long_, very, short, subordinate, commas / n, nominal, verbal, connective, preposition]
 
 
 def profiled(documents: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(doc_id, english, n_words, features) of every document; passages of ``items`` (a stated, bounded set) are no prose."""
-    quoted: set[str] = set()
-    if items is not None:
-        for row in items.select("passage").where("passage IS NOT NULL").toLocalIterator():
-            w = words(row["passage"])
-            quoted |= {" ".join(w[k : k + GRAM]) for k in range(max(0, len(w) - GRAM + 1))}
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(quoted))
+    passages = [] if items is None else [r["passage"] for r in items.select("passage").where("passage IS NOT NULL").toLocalIterator()]
+    shared = documents.sparkSession.sparkContext.broadcast(Passages(passages) if passages else None)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
