@@ -64,8 +64,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         left = histogram[length]
         while left:
             most = max((r for r, packs in room.items() if packs and r >= length), default=None)
-            if most is None:  # new containers for all that is left
-                room[capacity - length].append((Counter({length: 1}), left))
+            if most is None:  # new containers for all that is left, as many in each as fit
+                each = capacity // length
+                for times, count in ((each, left // each), (left % each, 1)):
+                    if times and count:
+                        room[capacity - times * length].append((Counter({length: times}), count))
                 break
             pattern, count = room[most].pop()
             used = min(count, left)
