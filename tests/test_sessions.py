@@ -217,3 +217,9 @@ def test_sinks(spark):
     assert [r.query for r in sinks.fuzzy_recall(h.where("saved_at > 1"), "abc").collect()] == ["ab c", "abxc"] and sinks.fuzzy_recall(h, "ABC").count() == 0
     long = spark.createDataFrame([("x " * 600,)], "t string")
     assert len(sinks.compact_json(long).first().value) < 530 < len(sinks.full_json(long).first().value)
+
+
+def test_native_summaries(spark):
+    rows = [(1, "S", "summary", None, "a"), (2, "s", "system", "away_summary", "b"), (3, "s", "system", "other", "c"), (4, "s", "summary", None, " "), (5, None, "summary", None, "d")]
+    df = spark.createDataFrame(rows, "row_id int, sessionId string, type string, subtype string, summary string")
+    assert [tuple(r) for r in sessions.summaries(df).collect()] == [("s", "b")]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import normal_form, normal_path, path_suffixes, token_count, words
+from threadloom.functions.text import compact, normal_form, normal_path, path_suffixes, token_count, words
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
@@ -297,3 +297,25 @@ def with_snippets(hits: DataFrame, text: str, column: str = "text", limit: int =
 def bm25(tf: float, df: float, n: float, length: float, average: float) -> float:
     """The score of one word, for tests."""
     return math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def projected(hits: DataFrame, origins: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, field, source, start, end): ranges of hits in a field, as ranges of the parts the field was joined from.
+
+    hits: key, field, start, end.  origins: key, field, source, start, end (the part's place in the field).  Interval overlap within one
+    document's field; a hit across two parts gives one range in each.
+    """
+    h, o = hits.alias("h"), origins.alias("o")
+    on = (F.col(f"h.{key}") == F.col(f"o.{key}")) & (F.col("h.field") == F.col("o.field")) & (F.col("h.start") < F.col("o.end")) & (F.col("h.end") > F.col("o.start"))
+    start, end = F.greatest("h.start", "o.start") - F.col("o.start"), F.least("h.end", "o.end") - F.col("o.start")
+    return h.join(o, on).select(F.col(f"h.{key}"), F.col("h.field"), "o.source", start.alias("start"), end.alias("end"))
+
+
+DISCOVERY = ("session_id", "agent", "project", "branch", "cwd", "created", "modified", "lines", "first_msg_role", "first_user_msg_content", "last_msg_role", "last_msg_content", "derivation_type", "is_sidechain", "slug")
+
+
+def discovery(hits: DataFrame, cap: int = 512) -> DataFrame:
+    """The compact record of each hit: the session columns it has, snippet, score and is_live; texts collapsed and cut."""
+    kinds = dict(hits.dtypes)
+    extra = [c for c in ("snippet", "score", "is_live") if c in kinds]
+    return hits.select(*[compact(F.col(c), cap).alias(c) if kinds[c] == "string" else F.col(c) for c in DISCOVERY if c in kinds], *extra)

@@ -65,6 +65,13 @@ def transcript_sessions(rows: DataFrame, order: str = "row_id") -> DataFrame:
     )
 
 
+def summaries(rows: DataFrame, text: str = "summary") -> DataFrame:
+    """(session_id, summary): the last native summary of each session, from summary lines and away summaries of the system."""
+    native = (F.col("type") == "summary") | ((F.col("type") == "system") & (F.col("subtype") == "away_summary"))
+    kept = rows.where(native & F.col("sessionId").isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
+    return kept.groupBy(F.lower("sessionId").alias("session_id")).agg(F.max_by(text, "row_id").alias("summary"))
+
+
 def block_text(rows: DataFrame) -> DataFrame:
     """(row_id, part, kind, text): content blocks in order, adjacent text blocks merged with a blank line (gaps and islands by row)."""
     blocks = rows.select("row_id", F.posexplode("message.content").alias("place", "b")).where("b IS NOT NULL")

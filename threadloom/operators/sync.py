@@ -78,3 +78,21 @@ class Store:
         """Removes the index with its state."""
         fs, path = self._fs()
         fs.delete(path(self.directory), True)
+
+
+def fingerprints(lines: DataFrame, by: str = "path") -> DataFrame:
+    """(by, lines, last_hash): number of lines that are not blank and the hash of the last of them; order in line_no."""
+    kept = lines.where(F.trim("line") != "")
+    return kept.groupBy(by).agg(F.count(F.lit(1)).alias("lines"), F.sha2(F.max_by("line", "line_no"), 256).alias("last_hash"))
+
+
+def content_checksums(files: DataFrame) -> DataFrame:
+    """(path, crc): checksum of path, content and signature of binary files."""
+    return files.select("path", F.crc32(F.concat(F.encode("path", "utf-8"), F.col("content"), F.encode(F.coalesce("signature", F.lit("")), "utf-8"))).alias("crc"))
+
+
+def still_valid(relations: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """Relations (child, parent) both of whose fingerprints are unchanged since they were found."""
+    same = before.join(now, ["path", "fingerprint"], "left_semi").select("path")
+    kept = relations.join(same.select(F.col("path").alias("child")), "child", "left_semi")
+    return kept.join(same.select(F.col("path").alias("parent")), "parent", "left_semi").select(relations.columns)

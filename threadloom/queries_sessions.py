@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import rules, sinks
 from threadloom.functions import text as tx
-from threadloom.operators import history, lineage, projection, sessions, sync
+from threadloom.operators import history, lineage, projection, search, sessions, sync, tools
 from threadloom.streaming import ingest
 from threadloom.util import table
 
@@ -227,7 +227,35 @@ def step_merge(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.two_source_merge(a, b)
 
 
+def _tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = table(spark, sf, "rich_content").select("row_id", F.posexplode("message.content").alias("place", "b")).where("b.type = 'tool_use'")
+    return blocks.select("row_id", "place", F.col("b.name").alias("name"), F.col("b.input").alias("arguments"))
+
+
+def tool_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """What each tool call does, in a line."""
+    return tools.with_summaries(_tool_calls(spark, sf)).select("row_id", "place", "summary")
+
+
+def readable_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain values of each tool input."""
+    return _tool_calls(spark, sf).select("row_id", "place", tools.over(lambda v: tools.readable(tools.loads(v)), "string", F.col("arguments")).alias("text"))
+
+
+def captured_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path written in a tool input, with its kind."""
+    found = tools.with_paths(_tool_calls(spark, sf), "arguments", "transcript")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"captured.{k}").alias("p")) for k in ("dirs", "files", "paths")])
+    return found.select("row_id", "place", F.inline(kinds)).select("row_id", "place", "kind", F.explode("p").alias("path"))
+
+
+def discovery_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Compact records of sessions."""
+    return search.discovery(sessions.transcript_sessions(_basic(spark, sf))).drop("created", "modified")
+
+
 _ALL = (
+    tool_summaries, readable_inputs, captured_paths, discovery_records,
     parse_transcript_sessions, parse_noise, parse_blocks, parse_rollout_sessions, pair_calls, redundant_outputs, adjacent_distinct, carried_calls, user_turns, running_offsets, ordinal_regressions,
     history_headers, history_tips, thread_names, sync_changes, sync_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
     query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
