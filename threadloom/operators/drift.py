@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators import scans
 from threadloom.util import checkpoint
 
 TYPES = ("string", "number", "boolean", "object", "array")
@@ -89,10 +90,11 @@ def tags(lines: DataFrame) -> DataFrame:
 def changes(lines: DataFrame) -> DataFrame:
     """(file_id, record_kind, field_path, change), one row for each change against the producer's earlier file."""
     tagged = checkpoint(tags(lines))
-    # The files of a kind in order, and for each the one before: a window over (producer, kind) whose rows are files, not records.
-    files = tagged.groupBy("producer", "record_kind", "file_seq").agg(F.max("file_id").alias("file_id"), F.collect_set("file_id").alias("files"))
-    order = Window.partitionBy("producer", "record_kind").orderBy("file_seq")
-    pairs = files.withColumn("before", F.lag("file_id").over(order)).where("before IS NOT NULL").select("record_kind", F.explode("files").alias("file_id"), "before")
+    # The files of a kind in order, and for each the one before.
+    files = tagged.groupBy("producer", "record_kind", "file_seq").agg(F.max("file_id").alias("file_id"), F.collect_set("file_id").alias("files")).where("file_seq IS NOT NULL")
+    keyed = files.withColumn("__of", F.to_json(F.struct("producer", "record_kind")))
+    before = scans.running_last(keyed, "__of", ["file_seq"], F.col("file_id"), "before", strict=True)
+    pairs = before.where("before IS NOT NULL").select("record_kind", F.explode("files").alias("file_id"), "before")
     pairs = checkpoint(pairs)
     fields = tagged.where("field IS NOT NULL").groupBy("file_id", "record_kind", "parent", "field").agg(F.sort_array(F.collect_set("json_type")).alias("types"))
     fields = checkpoint(fields)

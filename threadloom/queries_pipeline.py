@@ -109,4 +109,35 @@ SELECT uuid, arg_max(path, length(path)) AS path FROM w GROUP BY 1""",
 SELECT row_id, 'content[' || (place - 1) || ']' AS node_path, CAST(place - 1 AS INT) AS place, b.type AS type, b.text AS text, b.thinking AS thinking, b.name AS name, b.id AS id,
        b.tool_use_id AS tool_use_id, b.is_error AS is_error, b.input AS input
 FROM (SELECT row_id, unnest(message.content) AS b, unnest(range(1, len(message.content) + 1)) AS place FROM rich_content) WHERE b IS NOT NULL""",
+    "p4_found": r"""
+WITH e AS (SELECT row_id, unnest(message.content) AS b, unnest(range(len(message.content))) AS i FROM rich_content),
+k AS (SELECT * FROM e WHERE b IS NOT NULL),
+c AS (SELECT row_id, i, unnest(range(len(b.content))) AS j, unnest(b.content) AS x FROM k),
+o AS (SELECT row_id, i, t.fullkey AS f FROM (SELECT row_id, i, b.input AS raw FROM k WHERE json_valid(b.input)) v, json_tree(v.raw) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]'),
+q AS (SELECT row_id, i, substr(f, 2) AS f, substr(regexp_extract(regexp_replace(f, '\[\d+\]$', ''), '^(.*\])', 1), 2) AS up FROM o)
+SELECT row_id, 'content[' || i || ']' AS node_path, '' AS parent_path FROM k
+UNION ALL SELECT row_id, 'content[' || i || '].content[' || j || ']', 'content[' || i || ']' FROM c WHERE x IS NOT NULL
+UNION ALL SELECT row_id, 'content[' || i || '].input' || f, 'content[' || i || ']' || CASE WHEN up = '' THEN '' ELSE '.input' || up END FROM q""",
+    "p3_found": r"""
+WITH l AS (SELECT file_id, producer, file_seq, CAST(line AS JSON) AS j FROM rollout_raw WHERE json_valid(line)),
+r AS (SELECT file_id, producer, file_seq, coalesce(nullif(j ->> '$.payload.type', ''), nullif(j ->> '$.type', ''), nullif(j ->> '$.record_type', ''), 'session_meta') AS kind,
+  CASE WHEN json_type(j, '$.payload') = 'OBJECT' THEN j -> '$.payload' ELSE j END AS body FROM l WHERE json_type(j) = 'OBJECT'),
+g AS (SELECT DISTINCT r.file_id, r.kind, substr(t.fullkey, 3) AS f, regexp_replace(substr(t.fullkey, 3), '[^.]*$', '') AS up, t.atom AS v,
+  CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS ty
+  FROM r, json_tree(r.body) t WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.type <> 'NULL' AND t.fullkey NOT IN ('$.type', '$.record_type')),
+fk AS (SELECT producer, kind, file_seq, max(file_id) AS file_id FROM r GROUP BY 1, 2, 3),
+p AS (SELECT kind, file_id, lag(file_id) OVER (PARTITION BY producer, kind ORDER BY file_seq) AS before FROM fk),
+d AS (SELECT file_id, kind, f, up, array_to_string(list_sort(list(DISTINCT ty)), ',') AS ty FROM g GROUP BY 1, 2, 3, 4),
+m AS (SELECT coalesce(n.kind, o.kind) AS kind, coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.before, o.before) AS before, coalesce(n.f, o.f) AS f, coalesce(n.up, o.up) AS up, n.ty AS nt, o.ty AS ot
+  FROM (SELECT p.kind, p.file_id, p.before, d.f, d.up, d.ty FROM p JOIN d ON d.file_id = p.file_id AND d.kind = p.kind WHERE p.before IS NOT NULL) n
+  FULL OUTER JOIN (SELECT p.kind, p.file_id, p.before, d.f, d.up, d.ty FROM p JOIN d ON d.file_id = p.before AND d.kind = p.kind) o ON n.kind = o.kind AND n.file_id = o.file_id AND n.f = o.f),
+c AS (SELECT m.*, CASE WHEN ot IS NULL THEN 'added' WHEN nt IS NULL THEN 'removed' WHEN nt <> ot THEN 'retyped' END AS change FROM m
+  WHERE up = '' OR EXISTS (SELECT 1 FROM m x WHERE x.kind = m.kind AND x.file_id = m.file_id AND x.f || '.' = m.up AND contains(x.nt, 'object') AND contains(x.ot, 'object'))),
+s AS (SELECT a.kind, a.file_id, a.f AS new_f, b.f AS old_f, count(*) AS n FROM c a JOIN c b ON a.kind = b.kind AND a.file_id = b.file_id AND a.up = b.up AND a.change = 'added' AND b.change = 'removed'
+  JOIN g x ON x.file_id = a.file_id AND x.kind = a.kind AND x.f = a.f JOIN g y ON y.file_id = a.before AND y.kind = a.kind AND y.f = b.f AND y.ty = x.ty AND y.v = x.v WHERE x.ty IN ('string', 'number') GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, row_number() OVER (PARTITION BY kind, file_id, new_f ORDER BY n DESC, old_f) AS i, row_number() OVER (PARTITION BY kind, file_id, old_f ORDER BY n DESC, new_f) AS k FROM s),
+u AS (SELECT * FROM w WHERE i = 1 AND k = 1)
+SELECT file_id, kind AS record_kind, f AS field_path, change FROM c WHERE change IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM u WHERE u.kind = c.kind AND u.file_id = c.file_id AND (u.new_f = c.f AND change = 'added' OR u.old_f = c.f AND change = 'removed'))
+UNION ALL SELECT file_id, kind, new_f, 'renamed' FROM u""",
 }
