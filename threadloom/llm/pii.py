@@ -67,7 +67,7 @@ def tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
 
 
 _SHAPE = {
-    "email": re.compile(r"[\w.+-]+(?:@|%40|\s+@\s+|\s*[\[(]at[\])]\s*)[\w-]+(?:\.|\s*\(dot\)\s*)\w", re.I),
+    "email": re.compile(r"[\w.+-]+(?:@|%40|\s+@\s+|\s*[\[(]at[\])]\s*)[a-z][\w-]*(?:\.|\s*\(dot\)\s*)\w", re.I),
     "phone": re.compile(r"(?:\D*\d){7,15}\D*$"),
     "id_number": re.compile(r"(?:\D*\d){6,14}\D*$"),
     "street_address": re.compile(r"(?=.*(?<!\w)\d+[a-z]?(?!\w))(?=.*[^\W\d_]{3}).*[ ,]", re.S),
