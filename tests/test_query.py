@@ -114,3 +114,19 @@ def test_snippet():
     out = search.snippet(text, ["needle", "in"])
     assert out.startswith("…") and out.endswith("…") and "&lt;<b>Needle</b>&gt; <b>in</b>" in out
     assert search.snippet("a b", []) == "a b" and search.snippet(None, ["a"]) == ""
+
+
+def test_snippets_of_columns_equal_the_plain_ones(spark):
+    texts = ["x " * 100 + "the <Needle> in\n\n hay " + "y " * 200, "needle", "a & b <lt> in in", "", None, "  no  hit ", "Needle " * 60, "inneedle needle2 (needle)"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for query in ("needle in", "lt amp", "*"):
+        got = [r.snippet for r in search.with_snippets(df, query).orderBy("i").collect()]
+        assert got == [search.snippet(t, ql.highlight_terms(query)) for t in texts]
+
+
+def test_long_words_leave_gaps(spark):
+    texts = ["a " + "z" * 39 + " b", "a " + "z" * 40 + " b", "é" * 19 + " x", "é" * 20 + " x", "ü" + "z" * 38 + " q", "漢" * 14 + " q", "!!", ""]
+    df = search.indexed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), {"content": "text"})
+    for r in df.orderBy("i").collect():
+        want = ql.analyze(r.text)
+        assert r.norm_content.split() == want and r.len_content == sum(t != "\u0001" for t in want)

@@ -19,23 +19,29 @@ def words(text: Column) -> Column:
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0), F.array().cast("array<string>")), F.lower)
 
 
-def normal_form(text: Column) -> Column:
-    """' t1 t2 … ' of the analyzed text, so that terms and phrases are plain substring searches; long tokens leave a gap.
+def raw_form(text: Column) -> Column:
+    """' t1 t2 … ' of all words of the text in lower case: one replacement, no arrays.  ' ' for a text without words."""
+    return F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^\p{L}\p{N}]++", " "))
+
 
-    One replacement for the whole text; only texts with a word that may have 40 bytes go through the array form.
-    """
-    flat = F.lower(F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), "^ | $", ""), F.lit(" ")))
+def with_gaps(raw: Column, text: Column) -> Column:
+    """The raw form with long words replaced by a gap; only texts that may hold one go through the array form."""
+    extra = F.octet_length(raw) - F.length(raw)  # bytes beyond one for each character
+    may_be_long = raw.rlike(" [^ ]{40}") | F.when(extra == 0, False).when(extra < 20, raw.rlike(" [^ ]{20}")).otherwise(raw.rlike(" [^ ]{10}"))
     kept = F.transform(words(text), lambda t: F.when(F.octet_length(t) < LONG_TOKEN_BYTES, t).otherwise(F.lit(GAP)))
-    # 10 characters at least (4 bytes each), with one beyond ASCII among them, or 40 of any kind.
-    may_be_long = text.rlike(r"[\p{L}\p{N}]{40}") | (text.rlike(r"[^\x00-\x7F]") & text.rlike(r"[\p{L}\p{N}]{10}"))
-    return F.when(may_be_long, F.concat(F.lit(" "), F.array_join(kept, " "), F.lit(" "))).otherwise(flat)
+    return F.when(may_be_long, F.concat(F.lit(" "), F.array_join(kept, " "), F.lit(" "))).otherwise(raw)
+
+
+def normal_form(text: Column) -> Column:
+    """' t1 t2 … ' of the analyzed text, so that terms and phrases are plain substring searches; long tokens leave a gap."""
+    return with_gaps(raw_form(text), text)
 
 
 def token_count(norm: Column) -> Column:
     """Number of indexed tokens of a normal form."""
     spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
     gaps = F.length(norm) - F.length(F.replace(norm, F.lit(GAP), F.lit("")))
-    return F.when(norm == "  ", 0).otherwise(spaces - 1 - gaps).cast("bigint")
+    return (spaces - 1 - gaps).cast("bigint")
 
 
 def compact(text: Column, limit: int) -> Column:

@@ -2,7 +2,7 @@
 
 A document row has a key, text fields, path fields and catalog columns; ``indexed`` adds the analyzed forms.  The relevance order is the
 exact global order of score times recency, not a re-rank of the pages fetched.  Statistics for BM25 are one row (documents, average
-lengths, document frequencies of the query's terms), computed with partial aggregation and used as a scalar subquery; so a search is two scans
+lengths, document frequencies of the query's terms), computed with partial aggregation; so a search is two scans
 and a top-k without a shuffle of documents.  The postings form of the index answers the same queries by semi joins on terms.
 """
 
@@ -14,11 +14,10 @@ import re
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime, time, tzinfo
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact, normal_form, normal_path, path_suffixes, token_count, words
+from threadloom.functions.text import compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
@@ -87,9 +86,10 @@ def parse_dir(raw: str, branch: str | None = None) -> tuple[str, str | None]:
 
 def indexed(documents: DataFrame, text_fields: dict[str, str], path_fields: dict[str, str] | None = None) -> DataFrame:
     """Adds ``norm_<field>`` and ``len_<field>`` for text columns and ``paths_<field>`` for columns with arrays of paths."""
-    forms = F.struct(*[normal_form(F.coalesce(F.col(c), F.lit(""))).alias(f"norm_{n}") for n, c in text_fields.items()])
     # Generated columns are evaluated once: conditions on them cannot be pushed below, where each would analyze the text again.
-    out = documents.select("*", F.inline(F.array(forms)))
+    once = lambda df, forms: df.select("*", F.inline(F.array(F.struct(*forms))))
+    out = once(documents, [raw_form(F.coalesce(F.col(c), F.lit(""))).alias(f"__raw_{n}") for n, c in text_fields.items()])
+    out = once(out, [with_gaps(F.col(f"__raw_{n}"), F.col(c)).alias(f"norm_{n}") for n, c in text_fields.items()]).drop(*[f"__raw_{n}" for n in text_fields])
     for name in text_fields:
         out = out.withColumn(f"len_{name}", token_count(F.col(f"norm_{name}")))
     for name, column in (path_fields or {}).items():
@@ -168,22 +168,16 @@ def scored(documents: DataFrame, text: str, defaults: tuple[str, ...] = ("conten
         boosts += [(ql.Leaf("phrase", f, tuple(ql.analyze(q.text))), PHRASE_BOOST) for f in defaults]
     # A phrase's idf is the sum over its words, as for the words alone.
     words_ = sorted({(x.field, w) for x, _ in boosts for w in x.values})
-    stats = corpus.agg(
-        F.struct(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in sorted({x.field for x, _ in boosts})],
-            *[F.count_if(F.col(f"norm_{f}").contains(f" {w} ")).cast("double").alias(f"df{k}") for k, (f, w) in enumerate(words_)],
-        ).alias("s")
-    )
-    one = stats.scalar()
+    one = corpus.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in sorted({x.field for x, _ in boosts})],
+        *[F.count_if(F.col(f"norm_{f}").contains(f" {w} ")).alias(f"df{k}") for k, (f, w) in enumerate(words_)],
+    ).first()  # one row of numbers; as literals they let the scoring scan stay one generated stage
     score = F.lit(0.0)
     for leaf, boost in boosts:
         tf = _count(leaf)
-        idf = F.lit(0.0)
-        for w in leaf.values:
-            df = one.getField(f"df{words_.index((leaf.field, w))}")
-            idf = idf + F.log(1 + (one.getField("n") - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * F.col(f"len_{leaf.field}") / one.getField(f"avg_{leaf.field}"))
+        idf = sum(math.log(1 + (one["n"] - df + 0.5) / (df + 0.5)) for df in (one[f"df{words_.index((leaf.field, w))}"] for w in leaf.values))
+        norm = K1 * (1 - B + B * F.col(f"len_{leaf.field}") / (one[f"avg_{leaf.field}"] or 1.0))
         score = score + F.when(tf > 0, boost * idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
     for leaf in positive:
         if leaf not in exact:
@@ -284,14 +278,19 @@ def snippet(text: str | None, terms: list[str], limit: int = SNIPPET) -> str:
 
 
 def with_snippets(hits: DataFrame, text: str, column: str = "text", limit: int = SNIPPET) -> DataFrame:
-    """Adds ``snippet`` to the (few) hits that are shown."""
-    terms = ql.highlight_terms(text)
-
-    @F.pandas_udf("string")
-    def mark(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: snippet(v, terms, limit))
-
-    return hits.withColumn("snippet", mark(F.col(column)))
+    """Adds ``snippet`` (see :func:`snippet`, which gives the same text) to the hits that are shown."""
+    terms = sorted(ql.highlight_terms(text), key=len, reverse=True)
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"\s+", " "))
+    pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(terms) + r")(?![\p{L}\p{N}])"  # words of letters and digits need no quoting
+    first = F.regexp_instr(flat, F.lit(pattern)) if terms else F.lit(0)
+    start = F.greatest(first - LEAD, F.lit(1))
+    part = F.substr(flat, start, F.lit(limit))
+    marked = F.regexp_replace(part, pattern, "\u0002$1\u0003") if terms else part
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    joined = F.regexp_replace(escaped, "\u0003( ?)\u0002", "$1")
+    shown = F.regexp_replace(F.regexp_replace(joined, "\u0002", "<b>"), "\u0003", "</b>")
+    cut = lambda c: F.when(c, "…").otherwise("")
+    return hits.withColumn("snippet", F.concat(cut(start > 1), shown, cut(start + limit - 1 < F.length(flat))))
 
 
 def bm25(tf: float, df: float, n: float, length: float, average: float) -> float:
