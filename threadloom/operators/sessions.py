@@ -124,8 +124,10 @@ def ordinal_regressions(rows: DataFrame, by: str = "file_id", order: str = "line
 # --- second producer: rollout records --------------------------------------------------------------------------------
 
 
-def rollout_lines(rows: DataFrame) -> DataFrame:
-    """Each (file_id, line_no) once: the row delivered first."""
+def rollout_lines(rows: DataFrame, payload: tuple[str, ...] | None = None) -> DataFrame:
+    """Each (file_id, line_no) once: the row delivered first.  ``payload``: the fields of it that are wanted; others are not read."""
+    if payload is not None:
+        rows = rows.withColumn("payload", F.struct(*[F.col(f"payload.{p}").alias(p) for p in payload]))
     columns = rows.columns
     return rows.groupBy("file_id", "line_no").agg(F.min_by(F.struct(*columns), F.struct("ingested_at", "row_id")).alias("r")).select("r.*")
 

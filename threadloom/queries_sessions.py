@@ -16,8 +16,8 @@ def _basic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "basic_session")
 
 
-def _rollout(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.rollout_lines(table(spark, sf, "new_format"))
+def _rollout(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
+    return sessions.rollout_lines(table(spark, sf, "new_format"), payload)
 
 
 def parse_transcript_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,17 +39,17 @@ def parse_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_rollout_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """P8, P9, P17."""
-    return sessions.rollout_sessions(_rollout(spark, sf)).drop("created", "modified")
+    return sessions.rollout_sessions(_rollout(spark, sf, "type", "id", "cwd", "originator", "model", "effort", "info")).drop("created", "modified")
 
 
 def pair_calls(spark: SparkSession, sf: str) -> DataFrame:
     """P10, JN1."""
-    return sessions.paired_calls(_rollout(spark, sf)).select("file_id", "call_id", "call_line", "name", "output_line", "status")
+    return sessions.paired_calls(_rollout(spark, sf, "type", "call_id", "name", "arguments", "output")).select("file_id", "call_id", "call_line", "name", "output_line", "status")
 
 
 def redundant_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """P10: outputs after their call's end event."""
-    return sessions.redundant_outputs(sessions.rollout_lines(table(spark, sf, "latest_format"))).select("file_id", "line_no", F.col("payload.call_id").alias("call_id"))
+    return sessions.redundant_outputs(sessions.rollout_lines(table(spark, sf, "latest_format"), ("type", "call_id"))).select("file_id", "line_no", F.col("payload.call_id").alias("call_id"))
 
 
 def adjacent_distinct(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def carried_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:
     """W5."""
-    rows = _rollout(spark, sf).select("file_id", "line_no", F.col("payload.type").alias("kind"))
+    rows = _rollout(spark, sf, "type").select("file_id", "line_no", F.col("payload.type").alias("kind"))
     return sessions.user_turns(rows, "file_id", ["line_no"], F.col("kind") == "user_message").groupBy("file_id", "turn").agg(F.count(F.lit(1)).alias("rows"), F.max("line_no").alias("last_line"))
 
 
