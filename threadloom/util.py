@@ -32,6 +32,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew where a scan has far fewer partitions than there are cores (a small file of one row group), so that costly
+    work on its rows uses them; a larger scan is left as it is and not shuffled.  Rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 in a global order, without a single-task window.
 
