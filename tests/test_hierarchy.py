@@ -85,3 +85,27 @@ def test_defined_results(spark):
     assert h.hierarchy(frame(spark, [(None, None, 1), (None, "a", 2)])).count() == 0
     got = {r.uuid: (r.root_uuid, r.depth) for r in h.hierarchy(frame(spark, [("A", "a", 1), ("b", "A", 2), ("c", None, 3), ("C", "b", 4)])).collect()}
     assert got == {"a": ("", -1), "b": ("", -1), "c": ("c", 0)}
+
+
+@pytest.mark.parametrize(("n", "block", "chunk"), [(300, 16, 1), (300, 1000, 7), (300, 64, 5000)])
+def test_paths_and_descendants_of_all_nodes(spark, n, block, chunk):
+    rng = random.Random(n + chunk)
+    rows = [(f"n{i}", None if i % 100 == 0 else f"N{i + 1}" if i % 100 == 70 else f"N{rng.randrange(max(i - 3, i // 100 * 100), i)}", i) for i in range(n)]
+    want, parent = brute(rows)
+    assert any(d < 0 for _, d in want.values()) and max(d for _, d in want.values()) > 5
+    tree = h.hierarchy(frame(spark, rows), block=block).cache()
+    up = {}
+    for u, (_, depth) in want.items():
+        up[u] = [u] if depth >= 0 else []
+        for _ in range(depth):
+            up[u].append(parent[up[u][-1]])
+    got = h.all_paths(tree, chunk).collect()
+    assert len(got) == len(want) and {r.uuid: r.path for r in got} == {u: x[::-1] for u, x in up.items()}
+    pairs = [tuple(r) for r in h.all_descendants(tree, chunk).collect()]
+    assert sorted(pairs) == sorted((a, u, k) for u, x in up.items() for k, a in enumerate(x) if k)
+    tree.unpersist()
+
+
+def test_paths_of_an_empty_table(spark):
+    tree = h.hierarchy(frame(spark, []))
+    assert h.all_paths(tree).count() == 0 and h.all_descendants(tree).count() == 0

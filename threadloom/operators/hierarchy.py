@@ -21,10 +21,16 @@ Defined results: ids compare without letter case and come out in lower case; row
 in ``order`` (then the smallest parent) gives a repeated id's parent; a node whose parent is null or missing is a root of
 depth 0; on or below a loop the root is '' and the depth -1; an id that is its own parent is a loop.  An empty table gives
 an empty result.  Other columns are ignored, whatever their names.
+
+Paths and descendants of all nodes are read from the tour itself: with the nodes in the order of their entries, a node of depth d
+has the last node of each depth below d before it as its ancestors.  Chunks of the tour begin with the ancestors of their first node,
+so that one pass over the chunks gives every path, and no (node, ancestor) pair is joined or shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +40,9 @@ from pyspark.sql.window import Window
 from threadloom.util import checkpoint, numbered
 
 BLOCK = 50_000
+CHUNK = 5_000
+#: Ids in an output batch: paths are as long as the trees are deep, so rows are no measure of a batch.
+_BATCH_IDS = 200_000
 _HEADS = "head bigint, next bigint, steps bigint, weight bigint, root bigint"
 _NODES = "uuid string, root_uuid string, depth int, entry bigint, exit bigint, root_is_dangling boolean"
 
@@ -244,3 +253,65 @@ def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(uuid, descendant, distance) of the wanted nodes, without the nodes themselves."""
     pairs = _stabbed(tree.where("depth > 0"), _asked(tree, wanted)).where(F.col("a.uuid") != F.col("b.uuid"))
     return pairs.select(F.col("b.uuid").alias("uuid"), F.col("a.uuid").alias("descendant"), (F.col("a.depth") - F.col("b.depth")).alias("distance"))
+
+
+def _toured(tree: DataFrame, chunk: int) -> DataFrame:
+    """(depth, uuid, own): the nodes of trees in the order of the tour, chunk by chunk; rows that are not the chunk's own are the
+    ancestors of its first node and come before it."""
+    laid = numbered(tree.where("depth >= 0").select("root_uuid", "entry", "exit", "depth", "uuid"), ["root_uuid", "entry"], "nth")
+    laid = checkpoint(laid.withColumn("chunk", F.floor(F.col("nth") / chunk).cast("bigint")))
+    heads = laid.where(F.col("nth") % chunk == 0)
+    above = _stabbed(heads, laid).where(F.col("a.uuid") != F.col("b.uuid")).select("a.chunk", "b.nth", "b.depth", "b.uuid", F.lit(False).alias("own"))
+    every = laid.select("chunk", "nth", "depth", "uuid", F.lit(True).alias("own")).unionByName(above)
+    return every.repartition("chunk").sortWithinPartitions("chunk", "nth").select("depth", "uuid", "own")
+
+
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, indices, lengths): the paths of the rows of its own, one after the other, as places in ids."""
+    stack: list[str] = []
+    for batch in batches:
+        uuids = batch["uuid"].to_pylist()
+        ids = stack + uuids
+        at = list(range(len(stack)))
+        indices: list[int] = []
+        lengths: list[int] = []
+        for k, (depth, own) in enumerate(zip(batch["depth"].to_pylist(), batch["own"].to_pylist()), len(stack)):
+            del at[depth:]
+            at.append(k)
+            if own:
+                indices += at
+                lengths.append(depth + 1)
+                if len(indices) > _BATCH_IDS:
+                    yield pa.array(ids, pa.string()), np.array(indices, np.int64), np.array(lengths, np.int64)
+                    indices, lengths = [], []
+        if lengths:
+            yield pa.array(ids, pa.string()), np.array(indices, np.int64), np.array(lengths, np.int64)
+        stack = [ids[k] for k in at]
+
+
+def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, indices, lengths in _stacked(batches):
+        ends = np.cumsum(lengths)
+        path = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), ids.take(pa.array(indices)))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(indices[ends - 1])), path], names=["uuid", "path"])
+
+
+def _descendant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, indices, lengths in _stacked(batches):
+        ends = np.cumsum(lengths)
+        own = np.repeat(ends - 1, lengths)  # the place of the path's node
+        distance = own - np.arange(indices.size)
+        kept = distance > 0
+        columns = [ids.take(pa.array(indices[kept])), ids.take(pa.array(indices[own[kept]])), pa.array(distance[kept].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["uuid", "descendant", "distance"])
+
+
+def all_paths(tree: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(uuid, path) of every node: the ids from the root down to it.  Nodes on or below loops have an empty path."""
+    lost = tree.where("depth < 0").select("uuid", F.array().cast("array<string>").alias("path"))
+    return _toured(tree, chunk).mapInArrow(_path_rows, "uuid string, path array<string>").unionByName(lost)
+
+
+def all_descendants(tree: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(uuid, descendant, distance) of every node, without the nodes themselves; none on or below loops."""
+    return _toured(tree, chunk).mapInArrow(_descendant_rows, "uuid string, descendant string, distance int")

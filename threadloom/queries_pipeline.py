@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Every node with its interval and number of descendants (0 on or below loops)."""
+    """Every node with its number of descendants, read from its interval (0 on or below loops)."""
     tree = hierarchy.hierarchy(table(spark, sf, "basic_session"))
     return tree.select("uuid", "root_uuid", "depth", F.when(F.col("depth") >= 0, ((F.col("exit") - F.col("entry") - 1) / 2).cast("bigint")).otherwise(0).alias("n_descendants"))
 
@@ -28,6 +28,17 @@ def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("uuid", F.array_join("path", "/").alias("path"))
 
 
+def p1_all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The full path of every node ('' on or below loops)."""
+    found = hierarchy.all_paths(hierarchy.hierarchy(table(spark, sf, "basic_session")))
+    return found.select("uuid", F.array_join("path", "/").alias("path"))
+
+
+def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every descendant of every node, with its distance."""
+    return hierarchy.all_descendants(hierarchy.hierarchy(table(spark, sf, "basic_session")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return delivery.repeated(table(spark, sf, "rich_content")).select("ident", "id_kind")
 
@@ -67,7 +78,7 @@ def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.blocks(table(spark, sf, "rich_content"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p2_found, p2_once, p3_found, p3_unified, p4_found, p4_nodes, p4_blocks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p3_found, p3_unified, p4_found, p4_nodes, p4_blocks)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -104,6 +115,18 @@ UNION ALL SELECT uuid, '' AS root_uuid, -1 AS depth, CAST(0 AS BIGINT) AS n_desc
   UNION ALL SELECT w.uuid, n2.p, n2.p || '/' || w.path FROM w JOIN n2 ON w.at = n2.uuid WHERE n2.p IS NOT NULL
 )
 SELECT uuid, arg_max(path, length(path)) AS path FROM w GROUP BY 1""",
+    "p1_all_paths": _TREE
+    + """, w AS (
+  SELECT uuid, uuid AS path FROM n2 WHERE p IS NULL
+  UNION ALL SELECT n2.uuid, w.path || '/' || n2.uuid FROM n2 JOIN w ON n2.p = w.uuid
+)
+SELECT uuid, path FROM w UNION ALL SELECT uuid, '' AS path FROM n2 WHERE uuid NOT IN (SELECT uuid FROM w)""",
+    "p1_descendants": _TREE
+    + """, up AS (
+  SELECT uuid AS descendant, p AS uuid, 1 AS distance FROM n2 WHERE uuid IN (SELECT uuid FROM t) AND p IS NOT NULL
+  UNION ALL SELECT up.descendant, n2.p, up.distance + 1 FROM up JOIN n2 ON up.uuid = n2.uuid WHERE n2.p IS NOT NULL
+)
+SELECT uuid, descendant, distance FROM up""",
     "p2_found": _IDENTS + " SELECT ident, id_kind FROM i WHERE ident <> '' GROUP BY 1, 2 HAVING count(*) > 1",
     "p4_blocks": """
 SELECT row_id, 'content[' || (place - 1) || ']' AS node_path, CAST(place - 1 AS INT) AS place, b.type AS type, b.text AS text, b.thinking AS thinking, b.name AS name, b.id AS id,
