@@ -115,3 +115,34 @@ def test_unified(spark):
     assert {"a", "a__number", "a__string", "src_table_2"} <= set(out.columns)
     seen = {(r.src_file_id, r.src_line_no): r for r in out.collect()}
     assert len(seen) == 3 and seen[1, 1].a == "1" and seen[1, 1].a__number == 1.0 and seen[1, 2].a__number is None and seen[1, 2].a__string == "t" and seen[2, 1].record_kind == "state"
+
+
+def test_unified_splits_conflicts_inside_objects(spark):
+    lines = spark.createDataFrame(
+        [
+            ("s", 1, 1, line("m", p={"net": True, "deep": {"n": 1, "it's": "q"}})), ("s", 1, 2, line("m", p={"net": "on", "deep": {"n": "one"}})), ("s", 1, 3, line("m", p="text")),
+            ("s", 1, 4, line("m", **{"x.y": 1})), ("s", 1, 5, line("m", x={"y": "z"})), ("s", 1, 6, line("m", p={"net": None, "deep": [{"n": 2}]})),
+        ],
+        "src_table string, file_id long, line_no int, line string",
+    )
+    out = drift.unified(lines)
+    seen = {r.src_line_no: r.asDict() for r in out.collect()}
+    column = lambda name: [seen[k][name] for k in sorted(seen)]
+    assert column("p.net") == ["true", "on", None, None, None, None]
+    assert column("p.net__boolean") == [True, None, None, None, None, None] and column("p.net__string") == [None, "on", None, None, None, None]
+    assert column("p.deep.n__number") == [1.0, None, None, None, None, None] and column("p.deep.n__string") == [None, "one", None, None, None, None]
+    assert column("p.deep.it's") == ["q", None, None, None, None, None] and column("p.deep__array")[5] == '[{"n":2}]' and column("p__string")[2] == "text"
+    assert column("x.y") == [None, None, None, "1", None, None] and column("x.y_2") == [None, None, None, None, "z", None]
+
+
+def test_fused_keeps_every_type(spark):
+    rows = [(1, "p", 1, 1, line("m", o={"k": 1})), (1, "q", 1, 1, line("m", o={"k": "1"})), (2, "p", 2, 1, line("m", o=None)), (3, None, None, 1, line("m", o=True))]
+    got = {(r.record_kind, r.field_path, tuple(r.types), r.files) for r in drift.fused(frame(spark, rows)).collect()}
+    assert got == {("m", "o", ("boolean", "object"), 3), ("m", "o.k", ("number", "string"), 2)}
+
+
+def test_unified_with_any_key(spark):
+    keys = ["a'b", 'a"b', "a'\"b", "back\\slash", "", "d.o[t", "'\"[."]
+    lines = spark.createDataFrame([("s", 1, k, line("m", o={key: k})) for k, key in enumerate(keys)], "src_table string, file_id long, line_no int, line string")
+    for r in drift.unified(lines).collect():
+        assert r[f"o.{keys[r.src_line_no]}"] == str(r.src_line_no)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,7 +125,7 @@ def changes(lines: DataFrame) -> DataFrame:
 def fused(lines: DataFrame) -> DataFrame:
     """(record_kind, field_path, types, files): the union schema of all files, every alternative type retained."""
     t = tags(lines).where("field IS NOT NULL")
-    return t.groupBy("record_kind", F.concat("parent", "field").alias("field_path")).agg(F.sort_array(F.collect_set("json_type")).alias("types"), F.countDistinct("file_id").alias("files"))
+    return t.groupBy("record_kind", F.concat("parent", "field").alias("field_path")).agg(F.sort_array(F.collect_set("json_type")).alias("types"), F.countDistinct(F.struct("producer", "file_id")).alias("files"))
 
 
 def as_lines(rows: DataFrame, source: str) -> DataFrame:
@@ -135,14 +135,45 @@ def as_lines(rows: DataFrame, source: str) -> DataFrame:
     return rows.select(F.lit(source).alias("src_table"), F.col("file_id"), F.col("line_no"), F.to_json(F.struct(*body)).alias("line"))
 
 
+def _object_paths(schema: list) -> list[tuple[tuple[str, ...], str, list[str]]]:
+    """(keys, dotted path, types) of every path through objects, top-level fields first.  A dotted parent that can be read in two ways
+    (a key that holds a dot) gives a path for each."""
+    fields: dict[str, list] = {}
+    for row in schema:
+        fields.setdefault(row["parent"], []).append(row)
+    out, left = [], [("", ())]
+    while left:
+        parent, keys = left.pop()
+        for row in fields.get(parent, ()):
+            path = (*keys, row["field"])
+            out.append((path, parent + row["field"], row["types"]))
+            if "object" in row["types"]:
+                left.append((f"{parent}{row['field']}.", path))
+    return sorted(out, key=lambda x: (len(x[0]) > 1, x[1], x[0]))
+
+
+def _located(value: Column, keys: tuple[str, ...]) -> tuple[Column, str]:
+    """(variant, path in it) of the keys.  Paths have no escapes, so a key that no quotes can hold is looked up in a map."""
+    path = "$"
+    for key in keys:
+        if key and "'" not in key:
+            path += f"['{key}']"
+        elif key and '"' not in key:
+            path += f'["{key}"]'
+        else:
+            value, path = F.try_element_at(F.try_variant_get(value, path, "map<string,variant>"), F.lit(key)), "$"
+    return value, path
+
+
 def unified(lines: DataFrame) -> DataFrame:
-    """One consistent table of (src_table, file_id, line_no, line): record_kind and, for each top-level field of any format, the
-    canonical text in ``<field>`` and, where formats differ in its type, a branch ``<field>__<type>`` for each alternative.
+    """One consistent table of (src_table, file_id, line_no, line): record_kind and, for each field of any format, within objects at any
+    depth too (``<object>.<field>``, as ``changes`` names them), the canonical text in ``<field>`` and, where formats differ in its type, a
+    branch ``<field>__<type>`` for each alternative.  Arrays are not entered.
 
-    The column list is the fused schema (metadata: one entry for each field name) and is read to plan the table.
+    The column list is the fused schema (metadata: one entry for each path) and is read to plan the table.
     """
     marked = lines.select("*", F.lit(None).cast("string").alias("producer"), F.lit(0).alias("file_seq"))
-    schema = tags(marked).where("field IS NOT NULL AND parent = ''").groupBy("field").agg(F.sort_array(F.collect_set("json_type")).alias("types")).orderBy("field").collect()
+    schema = tags(marked).where("field IS NOT NULL").groupBy("parent", "field").agg(F.sort_array(F.collect_set("json_type")).alias("types")).collect()
     record = F.try_parse_json("line")
     kept = lines.select(*lines.columns, record.alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
     payload = F.try_variant_get("__v", "$.payload", "variant")
@@ -162,15 +193,14 @@ def unified(lines: DataFrame) -> DataFrame:
         return new
 
     prefix = {"string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
-    for row in schema:
-        quoted = row["field"].replace("\\", "\\\\").replace("'", "\\'")
-        path = f"$['{quoted}']"
-        value = F.try_variant_get("__b", path, "variant")
-        columns.append(F.try_variant_get("__b", path, "string").alias(free(row["field"])))
-        if len(row["types"]) > 1:
-            for t in row["types"]:
+    for keys, name, types in _object_paths(schema):
+        holder, path = _located(F.col("__b"), keys)
+        value = F.try_variant_get(holder, path, "variant")
+        columns.append(F.try_variant_get(holder, path, "string").alias(free(name)))
+        if len(types) > 1:
+            for t in types:
                 shape = F.schema_of_variant(value)
                 is_t = shape.startswith(prefix[t]) if t in prefix else shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-                branch = F.try_variant_get("__b", path, {"number": "double", "boolean": "boolean"}.get(t, "string"))
-                columns.append(F.when(is_t, branch).alias(free(f"{row['field']}__{t}")))
+                branch = F.try_variant_get(holder, path, {"number": "double", "boolean": "boolean"}.get(t, "string"))
+                columns.append(F.when(is_t, branch).alias(free(f"{name}__{t}")))
     return kept.select("src_table", F.col("file_id").alias("src_file_id"), F.col("line_no").alias("src_line_no"), kind.alias("record_kind"), *columns)

@@ -64,6 +64,11 @@ def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(_all_lines(spark, sf))
 
 
+def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """The union schema of all formats, with every alternative type of a field."""
+    return drift.fused(_all_lines(spark, sf).withColumn("producer", F.col("src_table")).withColumn("file_seq", F.lit(0)))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.nodes(table(spark, sf, "rich_content"), body=False).select("row_id", "node_path", "parent_path")
 
@@ -78,7 +83,7 @@ def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.blocks(table(spark, sf, "rich_content"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p3_found, p3_unified, p4_found, p4_nodes, p4_blocks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p3_found, p3_unified, p3_fused, p4_found, p4_nodes, p4_blocks)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -141,6 +146,19 @@ q AS (SELECT row_id, i, substr(f, 2) AS f, substr(regexp_extract(regexp_replace(
 SELECT row_id, 'content[' || i || ']' AS node_path, '' AS parent_path FROM k
 UNION ALL SELECT row_id, 'content[' || i || '].content[' || j || ']', 'content[' || i || ']' FROM c WHERE x IS NOT NULL
 UNION ALL SELECT row_id, 'content[' || i || '].input' || f, 'content[' || i || ']' || CASE WHEN up = '' THEN '' ELSE '.input' || up END FROM q""",
+    "p3_fused": r"""
+WITH l AS (
+  SELECT 'rollout_raw' AS src, file_id, CAST(line AS JSON) AS j FROM rollout_raw WHERE json_valid(line)
+  UNION ALL SELECT 'old_format', file_id, to_json(struct_pack(record_type, type, id, timestamp, instructions, role, content, summary, encrypted_content, name, arguments, call_id, output)) FROM old_format
+  UNION ALL SELECT 'new_format', file_id, to_json(struct_pack(timestamp, type, payload)) FROM new_format
+  UNION ALL SELECT 'latest_format', file_id, to_json(struct_pack(timestamp, type, ordinal, payload)) FROM latest_format
+),
+r AS (SELECT src, file_id, coalesce(nullif(j ->> '$.payload.type', ''), nullif(j ->> '$.type', ''), nullif(j ->> '$.record_type', ''), 'session_meta') AS kind,
+  CASE WHEN json_type(j, '$.payload') = 'OBJECT' THEN j -> '$.payload' ELSE j END AS body FROM l WHERE json_type(j) = 'OBJECT'),
+g AS (SELECT DISTINCT src, file_id, kind, substr(t.fullkey, 3) AS f,
+  CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS ty
+  FROM r, json_tree(r.body) t WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.type <> 'NULL' AND t.fullkey NOT IN ('$.type', '$.record_type'))
+SELECT kind AS record_kind, f AS field_path, list_sort(list(DISTINCT ty)) AS types, count(DISTINCT (src, file_id)) AS files FROM g GROUP BY 1, 2""",
     "p3_found": r"""
 WITH l AS (SELECT file_id, producer, file_seq, CAST(line AS JSON) AS j FROM rollout_raw WHERE json_valid(line)),
 r AS (SELECT file_id, producer, file_seq, coalesce(nullif(j ->> '$.payload.type', ''), nullif(j ->> '$.type', ''), nullif(j ->> '$.record_type', ''), 'session_meta') AS kind,
