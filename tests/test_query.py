@@ -130,3 +130,27 @@ def test_long_words_leave_gaps(spark):
     for r in df.orderBy("i").collect():
         want = ql.analyze(r.text)
         assert r.norm_content.split() == want and r.len_content == sum(t != "\u0001" for t in want)
+
+
+def test_occurrences_of_every_kind_of_leaf(spark):
+    docs = [(1, "the search index and the search", "Harbor index", ["src/Main/app.py"], 7), (2, "searching, trash old folder trash folder", "zebra", ["lib/main.c"], 9), (3, "", "", [], 5)]
+    df = search.indexed(spark.createDataFrame(docs, "doc_id int, text string, title string, files array<string>, modified_ts long"), {"content": "text", "user": "title"}, {"files": "files"})
+
+    def places(text):
+        rows = search.occurrences(df, text)
+        assert rows.columns == ["doc_id", "field", "term", "position", "words"]
+        return sorted(tuple(r) for r in rows.collect())
+
+    assert places("sea*") == [(1, "content", "search", 1, 1), (1, "content", "search", 5, 1), (2, "content", "searching", 0, 1)]
+    assert places("<(sear|inde).>") == [(1, "content", "index", 2, 1)]
+    assert places("user:[harbor TO index}") == [(1, "user", "harbor", 0, 1)]
+    assert places('"search index"') == [(1, "content", "search index", 1, 2)]
+    assert places('"search ind"*') == [(1, "content", "search index", 1, 2)]
+    assert places('"trash folder"') == [(2, "content", "trash folder", 4, 2)]
+    assert places('"trash folder"~1') == [(2, "content", "trash folder", 4, 2), (2, "content", "trash old folder", 1, 3)]
+    assert places('"trash folder"~2') == [(2, "content", "folder trash", 3, 2), (2, "content", "trash folder", 4, 2), (2, "content", "trash old folder", 1, 3)]
+    assert places('"trash old trash"~1') == [(2, "content", "trash old folder trash", 1, 4)]
+    assert places("content: IN [old index] NOT user:zebra") == [(1, "content", "index", 2, 1)]
+    assert places("files:main OR modified_ts:[9 TO 10]") == [(1, "files", "Main/app.py", 1, 1), (2, "files", "main.c", 1, 1), (2, "modified_ts", "9", 0, 1)]
+    assert places("search OR sear*") == places("sear*")
+    assert places("*") == places("NOT search") == places("") == places("<zz+>") == []

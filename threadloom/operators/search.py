@@ -11,13 +11,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime, time, tzinfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
+from threadloom.functions.text import GAP, compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
@@ -204,17 +205,79 @@ def search(documents: DataFrame, request: Request, key: str = "doc_id", defaults
     return hits.withColumn("score", F.col("modified_ts").cast("float")).orderBy(F.desc("modified_ts"), F.asc(key)).limit(limit)
 
 
+def _ranges(leaf: ql.Leaf, tokens: Column) -> Column:
+    """array<struct<first, last>>: the places of a leaf over the words of its field, as ``ql.leaf_condition`` finds them."""
+    every = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    word = lambda i: F.get(tokens, i)
+    span = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    if leaf.kind != "phrase":
+        is_one = ql.word_condition(leaf)
+        listed = lambda t: is_one(t) if leaf.kind in ("term", "set") else (t != "") & (t != GAP) & is_one(t)
+        return F.transform(F.filter(every, lambda i: listed(word(i))), lambda i: span(i, i))
+    k = len(leaf.values)
+    if not leaf.slop:
+
+        def begins(i: Column) -> Column:
+            c = word(i) == leaf.values[0]
+            for n, v in enumerate(leaf.values[1:], 1):
+                at = F.get(tokens, i + n)  # null beyond the end
+                c = c & F.coalesce(at.startswith(v) if leaf.prefix and n == k - 1 else at == v, F.lit(False))
+            return c
+
+        return F.transform(F.filter(every, begins), lambda i: span(i, i + (k - 1)))
+
+    def further(v: str, gap: int) -> Callable[[Column], Column]:
+        after = lambda r: F.sequence(r["last"] + 1, F.greatest(r["last"] + 1, F.least(r["last"] + 1 + gap, F.size(tokens) - 1)))
+        return lambda r: F.transform(F.filter(after(r), lambda i: F.coalesce(word(i) == v, F.lit(False))), lambda i: span(r["first"], i))
+
+    def chained(values: tuple[str, ...], gap: int) -> Column:
+        """The words in order with at most ``gap`` others between two of them."""
+        out = F.transform(F.filter(every, lambda i: word(i) == values[0]), lambda i: span(i, i))
+        for v in values[1:]:
+            out = F.array_distinct(F.flatten(F.transform(out, further(v, gap))))
+        return out
+
+    out = chained(leaf.values, leaf.slop)
+    if k == 2 and leaf.slop >= 2:
+        out = F.array_union(out, chained(leaf.values[::-1], leaf.slop - 2))
+    return out
+
+
+def _whole(leaf: ql.Leaf) -> Column:
+    """array<struct<term, position, words>> of a leaf over a field that is no text: the path suffixes that begin with it, by their place in
+    ``paths_<field>``, or the one value."""
+    one = lambda term, position: F.struct(term.cast("string").alias("term"), position.cast("int").alias("position"), F.lit(1).alias("words"))
+    if leaf.kind == "path":
+        at = F.transform(F.col(f"paths_{leaf.field}"), lambda p, i: one(p, i))
+        return F.filter(at, lambda x: F.lower(x["term"]).startswith(leaf.values[0].lstrip("/")))
+    value = F.col("modified_ts" if leaf.field == "modified_ts" else "working_dir")
+    return F.when(ql.leaf_condition(leaf), F.array(one(value, F.lit(0)))).otherwise(F.array().cast("array<struct<term:string,position:int,words:int>>"))
+
+
 def occurrences(documents: DataFrame, text: str, key: str = "doc_id", defaults: tuple[str, ...] = ("content",)) -> DataFrame:
-    """(key, field, term, position) of the words of positive clauses in matching documents; positions count words from 0."""
+    """(key, field, term, position, words): where the positive clauses stand in matching documents, each place once.
+
+    ``position`` counts the words of the field from 0, ``words`` is the length of the place and ``term`` its words: one for terms, sets,
+    regular expressions, wildcards and ranges, all from the first to the last for phrases.  Paths count their suffixes instead, and
+    ``working_dir`` and ``modified_ts`` are one value.  No positive clause: an empty table.
+    """
     tree = ql.fold(ql.parse(text, defaults).tree)
-    wanted: dict[str, set[str]] = {}
+    hits = documents.where(ql.condition(tree))
+    wanted: dict[str, list[ql.Leaf]] = {}
     for leaf in ql.leaves(tree):
-        if leaf.kind in ("term", "phrase", "set"):
-            wanted.setdefault(leaf.field, set()).update(leaf.values)
-    hits, out = documents.where(ql.condition(tree)), None
-    for name, terms in sorted(wanted.items()):
-        every = hits.select(key, F.lit(name).alias("field"), F.posexplode(F.split(F.trim(f"norm_{name}"), " ")).alias("position", "term")).where(F.col("term").isin(*sorted(terms)))
-        out = every if out is None else out.unionByName(every)
+        if leaf not in wanted.setdefault(leaf.field, []):
+            wanted[leaf.field].append(leaf)
+    out = hits.where(F.lit(False)).select(key, F.lit("").alias("field"), F.lit("").alias("term"), F.lit(0).alias("position"), F.lit(1).alias("words"))
+    for name, leaves in sorted(wanted.items()):
+        if name not in (*ql.PATH_FIELDS, "working_dir", "modified_ts"):
+            held = hits.select(key, F.split(F.trim(f"norm_{name}"), " ").alias("__tokens"))
+            places = F.array_distinct(F.flatten(F.array(*[_ranges(x, F.col("__tokens")) for x in leaves])))
+            at = held.select(key, "__tokens", F.inline(places))
+            size = F.col("last") - F.col("first") + 1
+            every = at.select(key, F.lit(name).alias("field"), F.array_join(F.slice("__tokens", F.col("first") + 1, size), " ").alias("term"), F.col("first").alias("position"), size.alias("words"))
+        else:
+            every = hits.select(key, F.lit(name).alias("field"), F.inline(F.array_distinct(F.flatten(F.array(*[_whole(x) for x in leaves])))))
+        out = out.unionByName(every)
     return out
 
 

@@ -11,6 +11,7 @@ A document is a row with one column ``norm_<field>`` for each text field (see ``
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -337,8 +338,15 @@ def leaf_condition(leaf: Leaf) -> Column:
             return norm.rlike(forward) | norm.rlike(rf" {terms[1]} (?:\S+ ){{0,{n - 2}}}{terms[0]} ")
         return norm.rlike(forward)
     terms = F.filter(F.split(norm, " "), lambda t: (t != "") & (t != "\u0001"))
+    return F.exists(terms, word_condition(leaf))
+
+
+def word_condition(leaf: Leaf) -> Callable[[Column], Column]:
+    """The condition of a term, set, regex or range on one indexed word."""
+    if leaf.kind in ("term", "set"):
+        return lambda t: t.isin(*leaf.values)
     if leaf.kind == "regex":
-        return F.exists(terms, lambda t: t.rlike(rf"^(?:{leaf.values[0]})$"))
+        return lambda t: t.rlike(rf"^(?:{leaf.values[0]})$")
     low, high = leaf.values
 
     def inside(t: Column) -> Column:
@@ -349,7 +357,7 @@ def leaf_condition(leaf: Leaf) -> Column:
             c = c & (t < high if leaf.high_open else t <= high)
         return c
 
-    return F.exists(terms, inside)
+    return inside
 
 
 def condition(tree) -> Column:

@@ -104,6 +104,26 @@ def q24_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return search.occurrences(corpus(spark, sf), "ledger AND router").select("doc_id", "field", "term", "position")
 
 
+# Each query text beside the field's words, the condition on its document, and the SQL list of (first, last) places over the list of words t.
+PLACES: dict[str, tuple[str, str, str, str, str]] = {
+    "q24_regex": ("mat*isation OR <(ledg|rout)er>", "content", "c", "true", "[{'i': i, 'e': i} FOR i IN range(1, len(t) + 1) IF regexp_full_match(t[i], 'mat.*isation|(?:ledg|rout)er')]"),
+    "q24_range": ("user:[harbor TO index]", "user", "u", "true", "[{'i': i, 'e': i} FOR i IN range(1, len(t) + 1) IF t[i] >= 'harbor' AND t[i] <= 'index' AND t[i] <> '']"),
+    "q24_phrase": ('"trash folder" NOT router', "content", "c", "NOT c LIKE '% router %'", "[{'i': i, 'e': i + 1} FOR i IN range(1, len(t)) IF t[i] = 'trash' AND t[i + 1] = 'folder']"),
+    "q24_phrase_prefix": ('"search ind"*', "content", "c", "true", "[{'i': i, 'e': i + 1} FOR i IN range(1, len(t)) IF t[i] = 'search' AND starts_with(t[i + 1], 'ind')]"),
+    "q24_sloppy": (
+        '"folder trash"~3', "content", "c", "true",
+        "flatten([[{'i': i, 'e': e} FOR e IN range(i + 1, i + 5) IF e <= len(t) AND (t[i] = 'folder' AND t[e] = 'trash' OR t[i] = 'trash' AND t[e] = 'folder' AND e <= i + 2)] FOR i IN range(1, len(t) + 1)])",
+    ),
+}
+
+
+def _places(text: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return search.occurrences(corpus(spark, sf), text)
+
+    return run
+
+
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
     """The inverted index of the corpus, one row for each term with its document frequency."""
     p = search.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
@@ -130,7 +150,7 @@ def k10_find(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EXTRA = (search_relevance, s11_bm25, s02_relevance, s04_time, s05_recent, s08_filters, s07_scope, q24_occurrences, index_postings, q09_by_postings, j11_compact, j13_suffixes, k10_find)
-QUERIES |= {f.__name__: f for f in _EXTRA}
+QUERIES |= {f.__name__: f for f in _EXTRA} | {name: _places(text) for name, (text, *_) in PLACES.items()}
 
 _BM25 = (
     _CORPUS
@@ -162,3 +182,8 @@ SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term
 SELECT cwd, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT cwd, string_split(regexp_replace(cwd, '/+$', ''), '/') AS p FROM basic_session WHERE cwd IS NOT NULL))) WHERE suffix <> ''""",
     "k10_find": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)time ?stamp|ledger\w*')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)time ?stamp|ledger\w*')",
 }
+ORACLE |= {
+    name: f"""{_CORPUS}, w AS (SELECT doc_id, string_split(trim({words}), ' ') AS t FROM d WHERE {condition}), o AS (SELECT doc_id, t, unnest({places}) AS r FROM w)
+SELECT doc_id, '{field}' AS field, array_to_string(t[r.i:r.e], ' ') AS term, CAST(r.i - 1 AS INT) AS position, CAST(r.e - r.i + 1 AS INT) AS words FROM o"""
+    for name, (_, field, words, condition, places) in PLACES.items()
+}
