@@ -35,3 +35,13 @@ def test_empty_and_deliver(spark):
     new = d.deliver(stored, rows(spark, [(20, 1, ("MSG_B", None), None, None), (21, 1, ("msg_c", None), None, None), (22, 2, ("msg_c", None), None, None), (23, 1, None, None, None)]))
     # rows without an identifier are no copies, but hold no identity to be stored once either
     assert sorted(r.row_id for r in new.collect()) == [21, 23]
+
+
+def test_once_ranks_by_the_split_of_repeated(spark, monkeypatch):
+    asked = []
+    plain = d.repeated
+    monkeypatch.setattr(d, "repeated", lambda df: asked.append(1) or plain(df))
+    # 1 and 2 share a messageId beside message ids of their own; each is a message of its own, and 3 is a copy of 1
+    df = rows(spark, [(1, 1, ("a", None), "s", False), (2, 2, ("b", None), "s", False), (3, 3, ("A", None), None, None), (4, 4, None, "s", False)])
+    assert {(r.ident, r.id_kind, r.copies) for r in plain(df).collect()} == {("a", "message", 2), ("s", "snapshot", 3)}
+    assert sorted(r.row_id for r in d.once(df).collect()) == [1, 2, 4] and asked

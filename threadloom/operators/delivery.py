@@ -38,7 +38,7 @@ def identities(rows: DataFrame) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(ident, id_kind, copies) of the identifiers held by more than one row."""
+    """(ident, id_kind, copies) of the identifiers held by more than one row: the frequency split, which ``once`` ranks by."""
     return identities(rows).groupBy("ident", "id_kind").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
@@ -47,7 +47,7 @@ def once(rows: DataFrame, order: tuple[str, ...] = ("ingested_at", "row_id")) ->
     columns = rows.columns
     known = with_identity(rows)
     named = known.where("__tl_ident IS NOT NULL")
-    again = named.groupBy("__tl_kind", "__tl_ident").agg(F.count(F.lit(1)).alias("__tl_n")).where("__tl_n > 1").drop("__tl_n")
+    again = repeated(rows).select(F.col("id_kind").alias("__tl_kind"), F.col("ident").alias("__tl_ident"))
     single = named.join(again, ["__tl_kind", "__tl_ident"], "left_anti").select(columns)
     rank = F.struct(*[F.col(c) for c in order if c in columns], F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))))
     ranked = (

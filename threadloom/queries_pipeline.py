@@ -48,6 +48,15 @@ def p2_once(spark: SparkSession, sf: str) -> DataFrame:
     return delivery.once(table(spark, sf, "rich_content")).select("row_id", "batch_id", "type", F.col("message.id").alias("message_id"), F.col("messageId").alias("snapshot_id"), "isSnapshotUpdate")
 
 
+def p2_deliver(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of the batches as stored, and the rows of the second half that are appended to it."""
+    rows = table(spark, sf, "rich_content")
+    half = rows.agg(F.floor(F.max("batch_id") / 2).alias("half")).first()["half"] or 0
+    stored = delivery.once(rows.where(F.col("batch_id") <= half))
+    appended = delivery.deliver(stored, rows.where(F.col("batch_id") > half))
+    return stored.select("row_id", "batch_id", F.lit(False).alias("appended")).unionByName(appended.select("row_id", "batch_id", F.lit(True).alias("appended")))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.changes(table(spark, sf, "rollout_raw"))
 
@@ -83,7 +92,7 @@ def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.blocks(table(spark, sf, "rich_content"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p3_found, p3_unified, p3_fused, p4_found, p4_nodes, p4_blocks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p2_deliver, p3_found, p3_unified, p3_fused, p4_found, p4_nodes, p4_blocks)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -133,6 +142,14 @@ SELECT uuid, path FROM w UNION ALL SELECT uuid, '' AS path FROM n2 WHERE uuid NO
 )
 SELECT uuid, descendant, distance FROM up""",
     "p2_found": _IDENTS + " SELECT ident, id_kind FROM i WHERE ident <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    "p2_deliver": r"""
+WITH r AS (
+  SELECT row_id, batch_id, ingested_at, batch_id > (SELECT floor(max(batch_id) / 2) FROM rich_content) AS appended,
+    nullif(lower(regexp_replace(message.id, '^\s+|\s+$', '', 'g')), '') AS m, nullif(lower(regexp_replace(messageId, '^\s+|\s+$', '', 'g')), '') AS s, coalesce(isSnapshotUpdate, false) AS u FROM rich_content
+), k AS (SELECT *, CASE WHEN m IS NOT NULL THEN 'message' WHEN u THEN 'snapshot_update' ELSE 'snapshot' END AS kind, coalesce(m, s) AS ident FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY kind, ident, appended ORDER BY ingested_at NULLS FIRST, row_id) AS place FROM k)
+SELECT row_id, batch_id, appended FROM f WHERE ident IS NULL
+  OR place = 1 AND NOT (appended AND EXISTS (SELECT 1 FROM k x WHERE NOT x.appended AND x.kind = f.kind AND x.ident = f.ident))""",
     "p4_blocks": """
 SELECT row_id, 'content[' || (place - 1) || ']' AS node_path, CAST(place - 1 AS INT) AS place, b.type AS type, b.text AS text, b.thinking AS thinking, b.name AS name, b.id AS id,
        b.tool_use_id AS tool_use_id, b.is_error AS is_error, b.input AS input
