@@ -8,14 +8,14 @@ descendants are the nodes whose intervals lie in its own, its ancestors those wh
 The ranking has three steps, so that trees of any depth take few rounds over little data:
 
 1. Nodes are numbered in delivery order and cut into blocks of at most ``block`` nodes.  A block ranks, in numpy, the stretches of
-   the tour that lie inside it.  Leaves inside a block are peeled by this pass; a loop inside a block shows as a stretch without
-   an end.
+   the tour that lie inside it.  No leaves are peeled: pointer jumping over the
+   tour ranks all elements at once, and an element whose jumps reach no end runs in a loop inside the block.
 2. Only the stretches (one for each place where a tour enters a block) are ranked across blocks, by pointer doubling with joins and
    checkpoints: rounds grow with the logarithm of the stretches in the longest tour.  A round in which no stretch
    reaches its end proves that the rest run in loops.
 3. Blocks add the ranks of their stretches to the ranks inside.
 
-Peeling leaves alone would take as many rounds as the deepest chain, so between blocks loops are exposed by step 2 instead.
+Peeling leaves would take as many rounds as the deepest chain, so it is left out; loops are exposed by steps 1 and 2 instead.
 
 Defined results: ids compare without letter case and come out in lower case; rows with a null id are no nodes; the first row
 in ``order`` (then the smallest parent) gives a repeated id's parent; a node whose parent is null or missing is a root of
