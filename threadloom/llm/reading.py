@@ -3,7 +3,7 @@
 Every document's prose (without code, log lines, headings and quoted evaluation passages) is reduced to a few syntax and vocabulary features
 in one pass.  The ranker learns from pairs of rated documents whose ratings differ, so raters' scales need not agree; isotonic
 regression (pool adjacent violators) turns its scores into levels.  It is fitted on at most ``sample`` rated documents, taken by hash of
-the id; features, scores and levels are computed for all documents.
+the id, and of their pairs on ``PAIRS`` drawn at random, less those whose ratings do not differ enough; features, scores and levels are computed for all documents.
 
 Defined results: a document is English if most of its function words are English, whatever its lang column says; a document without
 prose (null, blank, only code) has no level; null ratings do not count, and a rating delivered twice counts once; without any rated
@@ -25,6 +25,7 @@ from threadloom.llm.leakage import words
 from threadloom.util import checkpoint, spread
 
 SAMPLE = 20_000
+PAIRS = 60_000
 GRAM = 4
 FEATURES = ("sentence_words", "word_chars", "long_words", "very_long_words", "short_words", "subordinate", "commas", "nominal", "verbal", "connective", "prepositions")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("english", pa.bool_()), ("n_words", pa.int64()), ("features", pa.list_(pa.float64()))])
@@ -149,7 +150,7 @@ class Ranker:
         self.mean, self.scale, self.weights, self.knots, self.levels = mean, scale, weights, knots, levels
 
     @staticmethod
-    def fit(x: np.ndarray, rating: np.ndarray, pairs: int = 60_000, rounds: int = 300, seed: int = 0) -> Ranker | None:
+    def fit(x: np.ndarray, rating: np.ndarray, pairs: int = PAIRS, rounds: int = 300, seed: int = 0) -> Ranker | None:
         rng = np.random.default_rng(seed)
         if len(x) < 2 or np.ptp(rating) == 0:
             return None
