@@ -11,7 +11,8 @@ documents are passed once for each block.  Documents are never shuffled.
 
 Defined results: text compares by words after letter case, markup, zero-width marks, line prefixes (quote, diff and line-number marks) and
 hyphenation are taken off; documents or passages that are null or blank hold nothing; a passage of fewer than ``PIECE`` words is matched
-whole and exactly; repeated documents count each by doc_id; equal rows give one result row; empty tables give an empty result.
+whole and exactly; the first and last of the ``RUN`` words must stand in the document (an exchanged word at the edge cannot be told
+from a shorter quotation with other text beside it, which is no case); repeated documents count each by doc_id; equal rows give one result row; empty tables give an empty result.
 """
 
 from __future__ import annotations
