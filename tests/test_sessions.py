@@ -223,3 +223,14 @@ def test_native_summaries(spark):
     rows = [(1, "S", "summary", None, "a"), (2, "s", "system", "away_summary", "b"), (3, "s", "system", "other", "c"), (4, "s", "summary", None, " "), (5, None, "summary", None, "d")]
     df = spark.createDataFrame(rows, "row_id int, sessionId string, type string, subtype string, summary string")
     assert [tuple(r) for r in sessions.summaries(df).collect()] == [("s", "b")]
+
+
+def test_sync_of_whole_deliveries(spark):
+    from threadloom.queries_sessions import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/basic_session.parquet").where("sessionId IS NOT NULL")
+    found = {r.path: r.change for r in QUERIES["sync_whole"](spark, sf).collect()}
+    assert set(found) == {r[0].lower() for r in rows.select("sessionId").distinct().collect()}  # the full state on both sides
+    state = spark.createDataFrame([("a", 1), ("b", 1), ("gone", 1)], "path string, mtime long").selectExpr("*", "1L size", "'x' agent", "false trashed", "cast(null as string) original_path", "cast(null as string) signature")
+    assert {(r.path, r.change) for r in sync.detect(state.where("path <> 'gone'"), state).collect()} == {("a", "unchanged"), ("b", "unchanged"), ("gone", "deleted")}

@@ -116,6 +116,18 @@ def sync_changes(spark: SparkSession, sf: str) -> DataFrame:
     return sync.detect(_state(rows.where("batch_id > 1")), _state(rows.where("batch_id <= 5")))
 
 
+def sync_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """JN9, I1: the whole table against the state after the delivery before the last."""
+    rows = _basic(spark, sf)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return sync.detect(_state(rows), _state(rows.where(F.col("batch_id") < F.lit(last))))
+
+
+def sync_whole_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """A11."""
+    return sync.statistics(sync_whole(spark, sf))
+
+
 def sync_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """A11."""
     return sync.statistics(sync_changes(spark, sf))
@@ -257,7 +269,7 @@ def discovery_records(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     tool_summaries, readable_inputs, captured_paths, discovery_records,
     parse_transcript_sessions, parse_noise, parse_blocks, parse_rollout_sessions, pair_calls, redundant_outputs, adjacent_distinct, carried_calls, user_turns, running_offsets, ordinal_regressions,
-    history_headers, history_tips, thread_names, sync_changes, sync_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
+    history_headers, history_tips, thread_names, sync_changes, sync_statistics, sync_whole, sync_whole_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
     query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -274,6 +286,12 @@ p AS (SELECT *, unnest(['text', 'name', 'input', 'output']) AS name,
 s AS (SELECT row_id, session, part, kind, name, text, CASE kind WHEN 'thinking' THEN 512 WHEN 'tool_use' THEN 4 WHEN 'tool_result' THEN 8 ELSE CASE role WHEN 'user' THEN 1 ELSE 2 END END AS mask
   FROM p WHERE text IS NOT NULL AND trim(text) <> '')"""
 
+_WHOLE = """
+WITH a AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL GROUP BY 1),
+b AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id < (SELECT max(batch_id) FROM basic_session) GROUP BY 1),
+c AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN a.m IS DISTINCT FROM b.m OR a.n <> b.n THEN 'changed' ELSE 'unchanged' END AS change
+  FROM a FULL OUTER JOIN b ON a.path = b.path)"""
+
 ORACLE = {
     "parse_transcript_sessions": f"""
 WITH s AS (SELECT lower(sessionId) AS session_id, arg_min(cwd, row_id) FILTER (cwd IS NOT NULL) AS cwd, arg_min(gitBranch, row_id) FILTER (gitBranch IS NOT NULL) AS branch,
@@ -341,6 +359,9 @@ SELECT row_id, ordinal, highest FROM o WHERE ordinal <= highest""",
 WITH a AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id > 1 GROUP BY 1),
 b AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id <= 5 GROUP BY 1)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN a.m IS DISTINCT FROM b.m OR a.n <> b.n THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL OUTER JOIN b ON a.path = b.path""",
+    "sync_whole": f"{_WHOLE} SELECT path, change FROM c",
+    "sync_whole_statistics": f"""{_WHOLE} SELECT count(*) FILTER (change <> 'deleted') AS scanned, count(*) FILTER (change IN ('new', 'changed')) AS updated,
+  count(*) FILTER (change = 'unchanged') AS skipped, count(*) FILTER (change = 'deleted') AS removed FROM c""",
     "session_families": """
 WITH RECURSIVE v AS (SELECT DISTINCT lower(sessionId) AS v FROM basic_session WHERE sessionId IS NOT NULL),
 e0 AS (SELECT DISTINCT lower(sessionId) AS a, lower(forkedFrom.sessionId) AS b FROM basic_session WHERE sessionId IS NOT NULL AND forkedFrom.sessionId IS NOT NULL),
