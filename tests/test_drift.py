@@ -3,6 +3,25 @@ import random
 
 from threadloom.operators import drift
 
+
+
+def json_type(value):
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int | float):
+        return "number"
+    return "string" if isinstance(value, str) else "object" if isinstance(value, dict) else "array"
+
+
+def kind_and_body(record):
+    payload = record.get("payload")
+    body = payload if isinstance(payload, dict) else record
+    first = (payload.get("type") if isinstance(payload, dict) else None, record.get("type"), record.get("record_type"))
+    return next((x for x in first if isinstance(x, str) and x), "session_meta"), body
+
+
 SCHEMA = "file_id long, producer string, file_seq int, line_no int, line string"
 
 
@@ -57,7 +76,7 @@ def brute(rows):
             record = json.loads(text)
         except (TypeError, ValueError):
             continue
-        kind, body = drift.kind_and_body(record)
+        kind, body = kind_and_body(record)
         kinds = files.setdefault((p, s, f), {})
         fields = kinds.setdefault(kind, {})
 
@@ -66,9 +85,9 @@ def brute(rows):
                 if v is None or top and k in ("type", "record_type"):
                     continue
                 t, values = fields.setdefault(prefix + k, (set(), set()))
-                t.add(drift.json_type(v))
-                if drift.json_type(v) in ("string", "number"):
-                    values.add((drift.json_type(v), v))
+                t.add(json_type(v))
+                if json_type(v) in ("string", "number"):
+                    values.add((json_type(v), v))
                 if isinstance(v, dict):
                     walk(v, prefix + k + ".")
 
@@ -146,3 +165,18 @@ def test_unified_with_any_key(spark):
     lines = spark.createDataFrame([("s", 1, k, line("m", o={key: k})) for k, key in enumerate(keys)], "src_table string, file_id long, line_no int, line string")
     for r in drift.unified(lines).collect():
         assert r[f"o.{keys[r.src_line_no]}"] == str(r.src_line_no)
+
+
+def test_records_of_any_depth_and_number(spark):
+    deep = '{"type":"m","payload":{"type":"m","d":' + '{"x":' * 400 + "1" + "}" * 400 + ',"a":' + "[" * 100_000 + "]" * 100_000 + "}}"
+    long = '{"type":"m","payload":{"type":"m","n":' + "7" * 5_000 + "}}"
+    rows = [(1, "p", 1, 1, deep), (1, "p", 1, 2, long), (2, "p", 2, 1, line("m", k=None)), (2, "p", 2, 2, long.replace('"n"', '"m"'))]
+    found = got(spark, rows)
+    assert found == {(2, "m", "d", "removed"), (2, "m", "a", "removed"), (2, "m", "m", "renamed")}
+
+
+def test_a_repeated_key_counts_by_its_last_value(spark):
+    rows = [(1, "p", 1, 1, '{"type":"m","a":{"x":1},"a":2,"\\u0062":1}'), (2, "p", 2, 1, '{"type":"m","a":3,"b":"1"}')]
+    assert got(spark, rows) == {(2, "m", "b", "retyped")}
+    same = [(1, "p", 5, 1, line("m", a=1)), (2, "p", 5, 1, line("m", b=2)), (None, "p", 6, 1, line("m", c=1)), (3, None, 1, 1, line("m", c=1)), (4, None, 2, 1, line("m"))]
+    assert got(spark, same) == {(4, "m", "c", "removed")}

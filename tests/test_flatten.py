@@ -1,10 +1,11 @@
 import json
 from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadloom.operators import flatten
+from threadloom.operators import flatten, structure
 
 SCALARS = st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=6) | st.sampled_from(['"', "\\", '\\"', "[{", "}],:", "é\n"])
 VALUES = st.recursive(SCALARS, lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(st.characters(exclude_characters=".", codec="utf-8"), max_size=4), x, max_size=4), max_leaves=25)
@@ -56,3 +57,19 @@ def test_nodes(spark):
     assert json.loads(bodies[f"{e}[0]"]) == {"a": 1} and json.loads(bodies["content[2].content[0]"])["text"] == "t"
     assert flatten.nodes(df.limit(0)).count() == 0
     assert flatten.blocks(df).where("row_id = 1").count() == 2
+
+
+def test_texts_of_any_depth_and_number(spark):
+    deep = "[" * 100_000 + '{"a":[{"b":1}]}' + "]" * 100_000
+    assert [p for p, _, _ in flatten.index([deep])[0]] == ["[0]" * 100_000, "[0]" * 100_000 + ".a[0]"]
+    digits = '{"n":' + "1" * 5_000 + ',"e":[{"x":1}]}'
+    assert [p for p, _, _ in flatten.index([digits, digits[:-1], None, digits])[3]] == [".e[0]"]
+    df = spark.createDataFrame([(1, ([(digits, None)],)), (2, ([(deep, None)],))], "row_id long, message struct<content:array<struct<input:string,content:array<struct<text:string>>>>>")
+    assert Counter(r.row_id for r in flatten.nodes(df, body=False).collect()) == {1: 2, 2: 3}
+
+
+def test_what_is_no_json():
+    bad = ['{"a":1,}', "[1 2]", '{"a" 1}', '{1:2}', "[01]", "[1.]", '["\\x"]', '["\n"]', "[}", "{]", "[]]", "[[]", '"a', "", " ", "nul", "[,]", '{"a":}', "1,2", '["\\u12g4"]', ":", "[1:2]", '{"a","b"}', "{}{}", "[NaN]"]
+    good = ["[]", "{}", "1", '"a"', " [ ] ", '{"a":{"b":[]}}', '["\\u1234\\\\"]', "-1.5e+3", "null", '{"":[{}]}']
+    index = structure.Index(pa.array(bad + good))
+    assert index.good.tolist() == [False] * len(bad) + [True] * len(good)

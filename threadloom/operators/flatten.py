@@ -1,17 +1,16 @@
 """Deeply nested records to flat, linked rows, by vectorised structural indexing.
 
-The JSON texts of a batch are laid end to end and indexed together: bitmaps of unescaped quotes, brackets and delimiters, the text/structure
-split by the parity of a prefix sum over quotes, and nesting depth by a prefix sum over brackets.  Each opening bracket then finds its
-container, its key or its number of preceding delimiters with binary searches over positions of one depth; Python touches
-only the containers themselves.
+The JSON texts of a batch are indexed together by :mod:`threadloom.operators.structure`: bitmaps of quotes, brackets and delimiters, depth by
+prefix sums, spans and containers by one sort; the same index tells whether a text is one complete JSON value, so nothing is decoded.
+Python touches only the objects that are listed, and builds their paths from their containers.
 
 Defined results: every object that is an element of an array is a node; null elements count as places but are no nodes; a text that
-is not one complete JSON value (cut off, empty, NaN) gives no nodes of its own; an empty table gives an empty result.
+is not one complete JSON value (cut off, empty, NaN) gives no nodes of its own; texts may be nested to any depth and hold numbers of any
+length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,105 +18,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators import structure
+
 _NODES = "row_id bigint, node_path string, parent_path string, body string"
 _SCHEMA = pa.schema([("row_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("body", pa.string())])
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
-
-
-def decodes(text: str) -> bool:
-    try:
-        _DECODER.decode(text)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
-def index(texts: list[str]) -> list[list[tuple[str, str, str]]]:
-    """For each complete JSON text its nodes: (path, path of the nearest node around it or '', the object's text)."""
-    blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = b"\n".join(blobs)
-    b = np.frombuffer(data, np.uint8)
+#: Characters of an output batch: paths are as long as texts are deep, so rows are no measure of a batch.
+_BATCH_CHARS = 16 << 20
+
+
+def _listed(index: structure.Index, body: bool) -> Iterator[tuple[int, str, str, str | None]]:
+    """(text, path, path of the nearest node around it or '', the object's text) of the objects that are elements of an array."""
+    kind, holder, place, at, end = index.kind, index.holder, index.place, index.at, index.end
+    nodes = np.flatnonzero((kind == structure.OPEN_OBJECT) & (holder >= 0) & (kind[np.maximum(holder, 0)] == structure.OPEN_ARRAY))
+    known: dict[int, tuple[str, str]] = {}  # container -> (path, path of the nearest node at or around it), of one text
+    text = -1
+    for i in nodes.tolist():
+        if index.doc[i] != text:
+            text = int(index.doc[i])
+            known.clear()
+        array = int(holder[i])
+        if array not in known:
+            steps, c = [], array
+            while c >= 0 and c not in known:
+                up = int(holder[c])
+                if up >= 0:
+                    steps.append(f"[{place[c]}]" if kind[up] == structure.OPEN_ARRAY else "." + structure.unescaped(index.data[at[c - 2] + 1 : end[c - 2] - 1]))
+                c = up
+            path, near = known[c] if c >= 0 else ("", "")
+            known[array] = path + "".join(reversed(steps)), near
+        path, near = known[array]
+        path = f"{path}[{place[i]}]"
+        known[i] = path, path
+        yield text, path, near, index.raw(i).decode("utf-8", "replace") if body else None
+
+
+def index(texts: list[str | None]) -> list[list[tuple[str, str, str]]]:
+    """For each text its nodes: (path, path of the nearest node around it or '', the object's text)."""
     out: list[list[tuple[str, str, str]]] = [[] for _ in texts]
-    if not b.size:
-        return out
-    starts = np.cumsum([0] + [len(x) + 1 for x in blobs[:-1]])
-    slash = b == 0x5C
-    escaped = np.zeros(b.size, bool)
-    if slash.any():  # a character is escaped after an odd run of backslashes
-        at = np.flatnonzero(slash)
-        run = np.r_[True, np.diff(at) != 1]
-        first = at[run][np.cumsum(run) - 1]
-        odd = at[(at - first) % 2 == 0]
-        odd = odd[odd + 1 < b.size]
-        escaped[odd + 1] = True
-    quote = (b == 0x22) & ~escaped
-    outside = (np.cumsum(quote) & 1) == 0
-    opens = ((b == 0x7B) | (b == 0x5B)) & outside
-    closes = ((b == 0x7D) | (b == 0x5D)) & outside
-    depth = np.cumsum(opens.astype(np.int32) - closes)
-    where = np.flatnonzero(opens)
-    if not where.size:
-        return out
-    level = depth[where]
-    comma, colon = np.flatnonzero((b == 0x2C) & outside), np.flatnonzero((b == 0x3A) & outside)
-    quotes, ends = np.flatnonzero(quote), np.flatnonzero(closes)
-    n = where.size
-    parent, place, key_at, end = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
-    for d in range(1, int(level.max()) + 1):
-        here = np.flatnonzero(level == d)
-        shut = ends[depth[ends] == d - 1]
-        end[here] = shut[np.searchsorted(shut, where[here])]
-        if d == 1:
-            continue
-        above = np.flatnonzero(level == d - 1)
-        holder = above[np.searchsorted(where[above], where[here]) - 1]
-        parent[here] = holder
-        commas = comma[depth[comma] == d - 1]
-        place[here] = np.searchsorted(commas, where[here]) - np.searchsorted(commas, where[holder])
-        colons = colon[depth[colon] == d - 1]
-        if colons.size:
-            key_at[here] = colons[np.maximum(np.searchsorted(colons, where[here]) - 1, 0)]
-    is_array = b[where] == 0x5B
-    doc = np.searchsorted(starts, where, side="right") - 1
-    last_quote = np.searchsorted(quotes, key_at) - 1
-    paths: list[str] = [""] * n
-    nearest: list[str] = [""] * n
-    for i in range(n):
-        p = parent[i]
-        if p < 0:
-            continue
-        if is_array[p]:
-            paths[i] = f"{paths[p]}[{place[i]}]"
-        else:
-            q = last_quote[i]
-            raw = data[quotes[q - 1] : quotes[q] + 1]
-            paths[i] = f"{paths[p]}.{json.loads(raw) if b'\\' in raw else raw[1:-1].decode('utf-8', 'surrogatepass')}"
-        nearest[i] = nearest[p]
-        if is_array[p] and not is_array[i]:
-            out[doc[i]].append((paths[i], nearest[p], data[where[i] : end[i] + 1].decode("utf-8", "replace")))
-            nearest[i] = paths[i]
+    for first, part in structure.parts(pa.array(texts, pa.string())):
+        for text, path, up, body in _listed(structure.Index(part), True):
+            out[first + text].append((path, up, body))
     return out
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], body: bool) -> Iterator[pa.RecordBatch]:
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+
     for batch in batches:
         rows: list[tuple] = []
-        ids, places, inputs, nested, bodies = (batch[k].to_pylist() for k in ("row_id", "place", "input", "nested", "body"))
-        good = [k for k, t in enumerate(inputs) if t is not None and decodes(t)]
-        found = dict(zip(good, index([inputs[k] for k in good])))
-        for k, (row, i, inner, body) in enumerate(zip(ids, places, nested, bodies)):
+        ids, places, nested, bodies = (batch[k].to_pylist() for k in ("row_id", "place", "nested", "body"))
+        for row, i, inner, own_body in zip(ids, places, nested, bodies):
             own = f"content[{i}]"
-            rows.append((row, own, "", body))
-            rows += [(row, f"{own}.content[{j}]", own, text) for j, text in enumerate(inner or ()) if text is not None]
-            rows += [(row, f"{own}.input{path}", f"{own}.input{up}" if up else own, text) for path, up, text in found.get(k, ())]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+            rows.append((row, own, "", own_body))
+            if inner:
+                rows += [(row, f"{own}.content[{j}]", own, text) for j, text in enumerate(inner) if text is not None]
+        chars = 0
+        for first, part in structure.parts(batch["input"]):
+            for text, path, up, object_ in _listed(structure.Index(part), body):
+                row, own = ids[first + text], f"content[{places[first + text]}]"
+                rows.append((row, f"{own}.input{path}", f"{own}.input{up}" if up else own, object_))
+                chars += len(path) + len(up) + (len(object_) if object_ else 0)
+                if chars > _BATCH_CHARS:
+                    yield packed(rows)
+                    rows, chars = [], 0
+        yield packed(rows)
 
 
 def nodes(rows: DataFrame, body: bool = True) -> DataFrame:
@@ -128,8 +94,8 @@ def nodes(rows: DataFrame, body: bool = True) -> DataFrame:
     blocks = rows.select("row_id", F.posexplode("message.content").alias("place", "block")).where("block IS NOT NULL")
     inner = F.transform("block.content", lambda x: F.when(x.isNotNull(), F.to_json(x) if body else F.lit("")))
     text = F.to_json(F.struct("block.type", "block.text", "block.thinking", "block.name", "block.id", "block.tool_use_id", "block.is_error")) if body else F.lit(None).cast("string")
-    out = blocks.select("row_id", "place", F.col("block.input").alias("input"), inner.alias("nested"), text.alias("body")).mapInArrow(_emit, _NODES)
-    return out if body else out.withColumn("body", F.lit(None).cast("string"))
+    out = blocks.select("row_id", "place", F.col("block.input").alias("input"), inner.alias("nested"), text.alias("body")).mapInArrow(lambda b: _emit(b, body), _NODES)
+    return out
 
 
 def messages(rows: DataFrame) -> DataFrame:

@@ -15,27 +15,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import TOOL_LABELS
-from threadloom.operators import sessions
+from threadloom.operators import sessions, structure
+
+
+def _value(text: str) -> tuple[bool, object]:
+    try:
+        return True, json.loads(text)
+    except (ValueError, RecursionError):  # no JSON, or deeper or with longer numbers than the decoder takes: the index tells
+        return structure.value(text) if text.lstrip()[:1] in ("{", "[") else (False, None)
 
 
 def loads(text: object) -> object:
     """A JSON value, or the text itself where it is none."""
     if not isinstance(text, str):
         return text
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return text
+    good, value = _value(text)
+    return value if good else text
 
 
-def decoded(value: object, levels: int = 32) -> object:
+def decoded(value: object) -> object:
     """JSON within strings within JSON, decoded all the way down."""
-    if levels and isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
-        inner = loads(value)
-        return value if isinstance(inner, str) else decoded(inner, levels - 1)
-    if isinstance(value, list):
-        return [decoded(x, levels) for x in value]
-    return {k: decoded(x, levels) for k, x in value.items()} if isinstance(value, dict) else value
+    root = [value]
+    left: list[tuple[list | dict, object]] = [(root, 0)]
+    while left:
+        owner, at = left.pop()
+        v = owner[at]
+        while isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
+            good, inner = _value(v)
+            if not good:
+                break
+            v = inner
+        if isinstance(v, list):
+            v = list(v)
+            left += [(v, k) for k in range(len(v))]
+        elif isinstance(v, dict):
+            v = dict(v)
+            left += [(v, k) for k in v]
+        owner[at] = v
+    return root[0]
 
 
 def canonical(key: str) -> str:
@@ -88,27 +105,23 @@ OPAQUE = {"meta", "metadata", "callid", "signature", "thinkingsignature", "encry
 def readable(value: object) -> str:
     """The plain values of a JSON value, depth first, one a line; media and opaque keys left out, repeated neighbours once."""
     lines: list[str] = []
-
-    def walk(v: object) -> None:
+    left = [value]
+    while left:
+        v = left.pop()
         if isinstance(v, str):
             t = v.strip()
             inner = loads(t) if t[:1] in ("{", "[") else t
             if not isinstance(inner, str):
-                walk(inner)
+                left.append(inner)
             elif t and not re.match(r"data:(?:image|audio)/", t, re.I) and (not lines or lines[-1] != t):
                 lines.append(t)
         elif isinstance(v, list):
-            for x in v:
-                walk(x)
+            left += reversed(v)
         elif isinstance(v, dict):
             if not re.search("image|audio", canonical(v["type"]) if isinstance(v.get("type"), str) else ""):
-                for k, x in v.items():
-                    if canonical(k) not in OPAQUE:
-                        walk(x)
+                left += [x for k, x in reversed(v.items()) if canonical(k) not in OPAQUE]
         elif v is not None:
-            walk(json.dumps(v))
-
-    walk(value)
+            left.append(json.dumps(v))
     return "\n".join(lines)
 
 

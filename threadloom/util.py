@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names in ``spark.checkpoint.dir``; only where it is unset, one of our own (tests)."""
+    """Use the shared folder the session names in ``spark.checkpoint.dir``.  Only a session of one machine (master ``local``), as in tests, may
+    leave it unset; on a cluster that is an error, since a folder of one machine would not outlive an executor."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "threadloom-checkpoints"))
 
 
@@ -32,11 +35,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew where a scan has far fewer partitions than there are cores (a small file of one row group), so that costly
-    work on its rows uses them; a larger scan is left as it is and not shuffled.  Rows are the same either way."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to as many tasks as the session asks for in ``spark.threadloom.scan.tasks``; as it is where that is unset.
+
+    Meant for one small file of a single row group, which only one task can read.  A table of many files is not to be shuffled for it, so
+    nothing is done by itself.  Rows are the same either way."""
+    asked = int(df.sparkSession.conf.get("spark.threadloom.scan.tasks", "0"))
+    return df.repartition(asked) if asked > 0 else df
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
