@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.util import spread
+from threadloom.util import dealt
 
 RUN, PER_ERROR, PIECE = 25, 8, 5
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("errors", pa.int32())])
@@ -183,6 +183,6 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = 2_000) -> DataFra
                 columns = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
-        hits = spread(documents.select("doc_id", "text").where("text IS NOT NULL")).mapInArrow(find, "doc_id bigint, item_id bigint, words int, errors int")
+        hits = dealt(documents.select("doc_id", "text").where("text IS NOT NULL")).mapInArrow(find, "doc_id bigint, item_id bigint, words int, errors int")
         out = hits if out is None else out.unionByName(hits)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.min("errors").alias("errors"))

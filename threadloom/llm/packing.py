@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.util import checkpoint, numbered, spread
+from threadloom.util import checkpoint, dealt, numbered
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,7 +54,7 @@ def sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             counts = [len(encode.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64())], schema=schema)
 
-    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(count, "doc_id bigint, tokens bigint")
+    return dealt(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.pii_labels import TYPES
 from threadloom.llm.pii_model import PAD, Tagger, encode
-from threadloom.util import spread
+from threadloom.util import dealt
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, STRIDE, BATCH = 512, 448, 512
@@ -120,7 +120,7 @@ def tagged(rows: DataFrame, weights: str = WEIGHTS, redacted: bool = False) -> D
             new = [redact(t, k) if t and k else t for t, k in zip(texts, marks)] if redacted else [None] * len(texts)
             yield pa.RecordBatch.from_arrays([batch["src_table"], batch["row_id"], pa.array(types, pa.list_(pa.string())), pa.array(new, pa.string())], schema=pa.schema(fields))
 
-    return spread(rows.select("src_table", F.col("row_id").cast("bigint"), "text")).mapInArrow(run, "src_table string, row_id bigint, types array<string>, text string")
+    return dealt(rows.select("src_table", F.col("row_id").cast("bigint"), "text")).mapInArrow(run, "src_table string, row_id bigint, types array<string>, text string")
 
 
 def texts(basic_session: DataFrame, new_format: DataFrame) -> DataFrame:

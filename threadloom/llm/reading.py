@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.leakage import words
-from threadloom.util import checkpoint, spread
+from threadloom.util import checkpoint, dealt
 
 SAMPLE = 20_000
 PAIRS = 60_000
@@ -140,7 +140,7 @@ def profiled(documents: DataFrame, items: DataFrame | None = None) -> DataFrame:
             got = [features(prose(t, grams)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], schema=_SCHEMA)
 
-    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(profile, "doc_id bigint, english boolean, n_words bigint, features array<double>")
+    return dealt(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(profile, "doc_id bigint, english boolean, n_words bigint, features array<double>")
 
 
 class Ranker:
