@@ -41,7 +41,8 @@ def test_once_ranks_by_the_split_of_repeated(spark, monkeypatch):
     asked = []
     plain = d.repeated
     monkeypatch.setattr(d, "repeated", lambda df: asked.append(1) or plain(df))
-    # 1 and 2 share a messageId beside message ids of their own; each is a message of its own, and 3 is a copy of 1
+    # 1 and 2 share a messageId beside message ids of their own; each is a message of its own, 3 is a copy of 1, and 4 of the snapshot in 1
     df = rows(spark, [(1, 1, ("a", None), "s", False), (2, 2, ("b", None), "s", False), (3, 3, ("A", None), None, None), (4, 4, None, "s", False)])
     assert {(r.ident, r.id_kind, r.copies) for r in plain(df).collect()} == {("a", "message", 2), ("s", "snapshot", 3)}
-    assert sorted(r.row_id for r in d.once(df).collect()) == [1, 2, 4] and asked
+    assert sorted(r.row_id for r in d.once(df).collect()) == [1, 2] and asked
+    assert {(r.ident, r.copies, r.kept.row_id) for r in d.ranked(df).collect()} == {("a", 2, 1), ("s", 3, 1)}

@@ -41,6 +41,8 @@ def test_random_forests_with_loops(spark, n, block, seed):
     rows.append((None, "n1", 9999))
     want, parent = brute(rows)
     tree = h.hierarchy(frame(spark, rows), block=block).cache()
+    sound = {r.uuid: r.sound for r in h.rooted(frame(spark, rows), block=block).collect()}
+    assert sound == {u: bool(root) and parent[root] is None for u, (root, _) in want.items()}
     got = {r.uuid: (r.root_uuid, r.depth) for r in tree.collect()}
     assert got == want
     children = {u: 0 for u in want}
@@ -94,6 +96,8 @@ def test_paths_and_descendants_of_all_nodes(spark, n, block, chunk):
     want, parent = brute(rows)
     assert any(d < 0 for _, d in want.values()) and max(d for _, d in want.values()) > 5
     tree = h.hierarchy(frame(spark, rows), block=block).cache()
+    sound = {r.uuid: r.sound for r in h.rooted(frame(spark, rows), block=block).collect()}
+    assert sound == {u: bool(root) and parent[root] is None for u, (root, _) in want.items()}
     up = {}
     for u, (_, depth) in want.items():
         up[u] = [u] if depth >= 0 else []

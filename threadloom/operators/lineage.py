@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.hierarchy import followed
 from threadloom.util import checkpoint
 
 
@@ -64,19 +65,6 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def followed(pointers: DataFrame) -> DataFrame:
-    """(v, last): the end of each pointer chain (v -> to); null for chains that end in a loop.  Pointer doubling."""
-    known = checkpoint(pointers.select("v", "to", F.lit(False).alias("done")))
-    while True:
-        ahead = known.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"))
-        moved = known.where("NOT done").join(ahead, "to", "left")
-        moved = checkpoint(moved.select("v", F.coalesce("to2", "to").alias("to"), (F.col("to2").isNull() | F.col("done2")).alias("done")))
-        before = known.where("done")
-        if moved.where("done").isEmpty():  # those left run in loops (or none is left)
-            return before.select("v", F.col("to").alias("last")).unionByName(moved.select("v", F.lit(None).cast(pointers.schema["to"].dataType).alias("last")))
-        known = before.unionByName(moved)
-
-
 def equivalence_key(sessions: DataFrame) -> Column:
     """Sorted event set without an aborted last turn that did nothing; for copied forks the inherited events too."""
     idle = F.coalesce(~F.col("aborted.active"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import delivery, drift, flatten, hierarchy
-from threadloom.util import table
+from threadloom.util import checkpoint, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_intervals(spark: SparkSession, sf: str) -> DataFrame:
 def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The full path of every leaf of a side thread."""
     rows = table(spark, sf, "basic_session")
-    tree = hierarchy.hierarchy(rows)
+    tree = checkpoint(hierarchy.hierarchy(rows))
     leaves = tree.where("exit = entry + 1").join(rows.where("isSidechain").select(F.lower("uuid").alias("uuid")).distinct(), "uuid", "left_semi")
     found = hierarchy.paths(tree, leaves.select("uuid"))
     return found.select("uuid", F.array_join("path", "/").alias("path"))
@@ -40,7 +40,8 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.repeated(table(spark, sf, "rich_content")).select("ident", "id_kind")
+    """The repeated groups that the operator ranks, each with the one row that is kept."""
+    return delivery.ranked(table(spark, sf, "rich_content")).where("kept.row_id IS NOT NULL").select("ident", "id_kind")
 
 
 def p2_once(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +143,11 @@ SELECT uuid, path FROM w UNION ALL SELECT uuid, '' AS path FROM n2 WHERE uuid NO
 )
 SELECT uuid, descendant, distance FROM up""",
     "p2_found": _IDENTS + " SELECT ident, id_kind FROM i WHERE ident <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    "p2_once": r"""
+WITH k AS (SELECT row_id, batch_id, type, message.id AS message_id, messageId AS snapshot_id, isSnapshotUpdate, ingested_at,
+    nullif(lower(regexp_replace(message.id, '^\s+|\s+$', '', 'g')), '') AS m, nullif(lower(regexp_replace(messageId, '^\s+|\s+$', '', 'g')), '') AS s, coalesce(isSnapshotUpdate, false) AS u FROM rich_content),
+f AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY ingested_at NULLS FIRST, row_id) AS a, row_number() OVER (PARTITION BY s, u ORDER BY ingested_at NULLS FIRST, row_id) AS b FROM k)
+SELECT row_id, batch_id, type, message_id, snapshot_id, isSnapshotUpdate FROM f WHERE m IS NULL AND s IS NULL OR m IS NOT NULL AND a = 1 OR s IS NOT NULL AND b = 1""",
     "p2_deliver": r"""
 WITH r AS (
   SELECT row_id, batch_id, ingested_at, batch_id > (SELECT floor(max(batch_id) / 2) FROM rich_content) AS appended,
