@@ -56,3 +56,41 @@ def test_order_and_empty(spark):
     got = [(r.session_id, r.turn_no, r.speaker, r.content) for r in c.conversations(frame(spark, rows)).orderBy("turn_no").collect()]
     assert got == [("s", 1, "user", "1"), ("s", 2, "assistant", "2"), ("s", 3, "user", "3"), ("s", 4, "assistant", "4")]
     assert c.faults(frame(spark, [])).count() == 0 and c.conversations(frame(spark, [])).count() == 0
+
+
+def test_branches_do_not_mix(spark):
+    t = dt.datetime(2026, 1, 1)
+    rows = [
+        ("s", "a", None, "user", "ask"), ("s", "b", "a", "assistant", "first answer"), ("s", "c", "b", "user", "more"), ("s", "d", "a", "assistant", "again"), ("s", "e", "c", "assistant", "on the first"),
+        ("s", "f", "d", "user", "edited"), ("s", "g", "f", "assistant", "last"), ("s", None, "g", "assistant", "no id"), ("s", "z", None, "user", "later tree", {"t": t + dt.timedelta(hours=1)}), ("s", "y", "z", "assistant", "yes", {"t": None}),
+    ]
+    got = [(r.content, r.active) for r in c.conversations(frame(spark, rows)).orderBy("turn_no").collect()]
+    assert got == [
+        ("ask", True), ("first answer", False), ("more", False), ("on the first", False), ("again", True), ("edited", True), ("last", True), ("no id", True), ("later tree", True), ("yes", False),
+    ]
+
+
+def test_functions_of_stretches_compose():
+    import random
+
+    rng = random.Random(5)
+    monoid = c.Monoid()
+    for _ in range(300):
+        symbols = [rng.choice([c.NOTHING, c.REPLY, *range(c.MESSAGE, c.MESSAGE + 8)]) + rng.choice([0, 16]) for _ in range(rng.randrange(30))]
+        state = 0
+        for s in symbols:
+            state = c.step(state, s)
+        end, at = 0, 0
+        while at < len(symbols):
+            size = rng.randrange(1, 9)
+            function = 0
+            for s in symbols[at : at + size]:
+                function = monoid.after(function, s)
+            end, at = monoid.functions[function][end], at + size
+        assert end == state
+    assert len(monoid.functions) < 400
+
+
+def test_speakers_are_users_and_assistants(spark):
+    rows = [("s", "a", None, "user", "hi", {"role": "narrator"}), ("s", "b", "a", "assistant", "yes", {"role": "model"})]
+    assert [r.speaker for r in c.conversations(frame(spark, rows)).orderBy("turn_no").collect()] == ["user", "assistant"]

@@ -73,15 +73,14 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p6_found, p6_conversations, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_levels)}
 
-ORACLE = {
-    "p6_found": r"""
+_SESSIONS = r"""
 WITH RECURSIVE r AS (
   SELECT row_id, lower(sessionId) AS session, lower(uuid) AS uuid, lower(parentUuid) AS p, coalesce(isSidechain, false) AS side, coalesce(isMeta, false) AS meta,
-         type, coalesce(message.role, type) AS role, message.content AS content FROM basic_session
-), n AS (SELECT uuid, arg_min(coalesce(p, ''), row_id) AS p FROM r WHERE uuid IS NOT NULL GROUP BY 1),
+         type, CASE WHEN message.role IN ('user', 'assistant') THEN message.role ELSE type END AS role, message.content AS content, timestamp FROM basic_session
+), n AS (SELECT uuid, arg_min(coalesce(p, ''), row_id) AS p, min(row_id) AS o FROM r WHERE uuid IS NOT NULL GROUP BY 1),
 good AS (SELECT uuid FROM n WHERE p = '' UNION ALL SELECT n.uuid FROM n JOIN good ON n.p = good.uuid),
 m AS (
-  SELECT DISTINCT ON (uuid) uuid, session, p, role,
+  SELECT DISTINCT ON (uuid) uuid, session, p, role, row_id, timestamp, content,
          (content IS NULL OR regexp_replace(content, '^\s+|\s+$', '', 'g') IN ('', '[]', '""')) AS blank
   FROM r WHERE session IS NOT NULL AND uuid IS NOT NULL AND type IN ('user', 'assistant') AND NOT side AND NOT meta ORDER BY uuid, row_id
 ), th AS (SELECT DISTINCT ON (uuid) uuid, session, p FROM r WHERE uuid IS NOT NULL AND session IS NOT NULL AND NOT side AND (type = 'system' OR meta) ORDER BY uuid, row_id),
@@ -92,6 +91,15 @@ hung AS (
   SELECT x.session, coalesce(bool_or(NOT m.blank), false) AS said, coalesce(bool_or(m.uuid NOT IN (SELECT uuid FROM good)), false) AS broken,
          coalesce(bool_or(m.role = 'user' AND (m.session, m.uuid) NOT IN (SELECT session, uuid FROM hung)), false) AS unanswered
   FROM (SELECT DISTINCT session FROM r WHERE session IS NOT NULL) x LEFT JOIN m ON m.session = x.session GROUP BY 1
-)
-SELECT session AS session_id, CASE WHEN NOT said THEN 'empty' WHEN broken THEN 'broken' ELSE 'no_reply' END AS fault FROM s WHERE NOT said OR broken OR unanswered""",
+)"""
+
+ORACLE = {
+    "p6_found": f"{_SESSIONS} SELECT session AS session_id, CASE WHEN NOT said THEN 'empty' WHEN broken THEN 'broken' ELSE 'no_reply' END AS fault FROM s WHERE NOT said OR broken OR unanswered",
+    # A turn's way from the root, as the delivery places of the rows on it: ways in order are the tree a branch at a time.
+    "p6_conversations": f"""{_SESSIONS},
+w AS (SELECT uuid, uuid AS root, [o] AS way FROM n WHERE p = '' OR p NOT IN (SELECT uuid FROM n) UNION ALL SELECT n.uuid, w.root, list_append(w.way, n.o) FROM n JOIN w ON n.p = w.uuid),
+t AS (SELECT m.*, w.root, w.way FROM m JOIN w ON m.uuid = w.uuid WHERE NOT m.blank AND m.session IN (SELECT session FROM s WHERE said AND NOT broken AND NOT unanswered)),
+g AS (SELECT session, root, min(coalesce(timestamp, TIMESTAMP '9999-01-01')) AS began, arg_max(way, (coalesce(timestamp, TIMESTAMP '0001-01-01'), row_id)) AS last, arg_min(row_id, (coalesce(timestamp, TIMESTAMP '9999-01-01'), row_id)) AS lead FROM t GROUP BY 1, 2)
+SELECT t.session AS session_id, row_number() OVER (PARTITION BY t.session ORDER BY began, lead, t.root, way) AS turn_no, way = last[1:len(way)] AS active, role AS speaker, row_id, uuid, timestamp, content
+FROM t JOIN g ON t.session = g.session AND t.root = g.root""",
 }
