@@ -7,21 +7,22 @@ from hypothesis import strategies as st
 from threadloom.llm import leakage
 
 
-def distance(a, b):
-    """Least edit distance of a to any stretch of b, by the table."""
-    row = np.zeros(len(b) + 1, int)
+def distance(a, b, whole=False):
+    """Least edit distance of a to any stretch of b (whole: to b), by the table."""
+    row = np.arange(len(b) + 1) if whole else np.zeros(len(b) + 1, int)
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
         row = np.array(new)
-    return int(row.min())
+    return int(row[-1] if whole else row.min())
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=80), st.lists(st.sampled_from("abcd"), max_size=40))
 def test_myers(a, b):
     assert leakage.myers(a, b) == distance(a, b)
+    assert leakage.myers(a, b, True) == distance(a, b, True)
 
 
 def word(rng):
@@ -67,3 +68,51 @@ def test_tables(spark):
     for block in (1, 100):
         assert sorted((r.doc_id, r.item_id, r.errors) for r in leakage.leaks(docs, items, block=block).collect()) == [(1, 7, 0), (4, 8, 0)]
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_words_put_in_and_left_out():
+    p = PASSAGE
+    part = p[10:36]
+    two_exchanged_one_in = [*part[:4], "other", *part[5:11], "put", *part[11:18], "other", *part[19:]]
+    one_out = part[:12] + p[35:36] and [*p[10:22], *p[23:37]]
+    assert held(*[FILL + " " + " ".join(x) + " " + FILL for x in (two_exchanged_one_in, one_out)]) == [{1}, {1}]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 55), st.lists(st.tuples(st.sampled_from("xio"), st.integers(2, 22)), max_size=3, unique_by=lambda e: e[1] // 4))
+def test_runs_within_the_budget_are_found(at, edits):
+    run = PASSAGE[at : at + 25]
+    out = list(run)
+    for kind, k in sorted(edits, key=lambda e: -e[1]):
+        if kind == "x":
+            out[k] = "exchanged"
+        elif kind == "i":
+            out.insert(k, "inserted")
+        else:
+            del out[k]
+    assert held(FILL + " " + " ".join(out) + " " + FILL) == [{1}]
+
+
+def test_short_passages():
+    for n in (8, 9, 16, 20):
+        passage = OTHER[:n]
+        items = leakage.Items([(1, " ".join(passage))])
+        find = lambda w, items=items: leakage.scan([FILL + " " + " ".join(w) + " " + FILL], items, items.automaton())[0]
+        for k in range(1, n - 1):
+            assert find([*passage[:k], "other", *passage[k + 1 :]]) == {1: (n, 1)}
+        assert find(passage) == {1: (n, 0)} and find(passage[: n - 2]) == {} and find([w if k % 3 else "other" for k, w in enumerate(passage)]) == {}
+
+
+def test_errors_are_the_least_and_words_those_held():
+    p = PASSAGE
+    one = [*p[:12], "other", *p[13:40]]
+    text = " ".join(one) + " " + FILL + " " + " ".join(p[:30])
+    items = leakage.Items([(1, " ".join(p))])
+    assert leakage.scan([text], items, items.automaton()) == [{1: (40, 0)}]
+    assert leakage.scan([" ".join(p[5:45])], items, items.automaton()) == [{1: (40, 0)}]
+
+
+def test_long_tags_do_not_break_a_run():
+    p = PASSAGE
+    tag = '<span title="' + "x " * 400 + '">'
+    assert held(" ".join(p[:12]) + tag + " " + " ".join(p[12:25])) == [{1}]

@@ -1,18 +1,20 @@
 """Evaluation passages that leak into the corpus: pigeonhole edit matching.
 
 A passage is held by a document that has at least ``RUN`` running words of it (or all, if it has fewer), with at most one word in
-``PER_ERROR`` exchanged.  Within any ``RUN`` running words there are at most ``RUN // PER_ERROR`` errors, so of that budget plus one
-whole pieces one is unbroken: passages are cut into pieces of ``PIECE`` words, short enough that any ``RUN`` running words hold budget
-plus one whole pieces.  An Aho-Corasick automaton finds exact piece hits in one pass over a document's letters and digits; hits give
-diagonals, and the words around them are verified with Myers' bit-parallel edit distance over words.
+``PER_ERROR`` exchanged, left out or put in.  Within any ``RUN`` running words there are at most ``RUN // PER_ERROR`` errors, so of that budget
+plus one whole pieces one is unbroken: passages are cut into pieces of at most ``PIECE`` words, short enough that any run holds
+budget plus one whole pieces.  An Aho-Corasick automaton finds exact piece hits in one pass over a document's letters and digits.  Every
+run of the passage around a hit is then verified with Myers' bit-parallel edit distance over words; runs that lack more words than the
+budget allows are left out before, which loses none.
 
-The items are a stated, bounded set: they are read in blocks of ``block`` items, each block's automaton is shipped to the tasks and the
+The items are a stated set: they are read in blocks of ``block`` items, each block's automaton is shipped to the tasks and the
 documents are passed once for each block.  Documents are never shuffled.
 
 Defined results: text compares by words after letter case, markup, zero-width marks, line prefixes (quote, diff and line-number marks) and
-hyphenation are taken off; documents or passages that are null or blank hold nothing; a passage of fewer than ``PIECE`` words is matched
-whole and exactly; the first and last of the ``RUN`` words must stand in the document (an exchanged word at the edge cannot be told
-from a shorter quotation with other text beside it, which is no case); repeated documents count each by doc_id; equal rows give one result row; empty tables give an empty result.
+hyphenation are taken off; documents or passages that are null or blank hold nothing; the first and last word of a run must stand in the
+document, in line with the words next to them (an exchanged word at the edge cannot be told from a shorter quotation with other text
+beside it, which is no case); repeated documents count each by doc_id; equal rows give one result row; empty tables give an empty result.
+``words`` counts the passage's words that lie in runs held, ``errors`` is the least distance of such a run.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ RUN, PER_ERROR, PIECE = 25, 8, 5
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("errors", pa.int32())])
 
 _HIDDEN = re.compile("[­​-‏⁠﻿*_`~]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _PREFIX = re.compile(r"^[ \t]*(?:\d+(?:\t|[ ]*[|:][ ])|[>+|#-]+(?=[ \t\w])|\[\d+\])[ \t]*", re.M)
 _BREAK = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
 _JOIN = re.compile(r"(?<=\w)[-‐‑'’](?=\w)")
@@ -55,15 +57,16 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(t.lower())
 
 
-def myers(pattern: list, text: list) -> int:
-    """Least edit distance between ``pattern`` and any stretch of ``text``, over words, bit-parallel (integers of any width)."""
+def myers(pattern: list, text: list, whole: bool = False) -> int:
+    """Least edit distance between ``pattern`` and any stretch of ``text`` (``whole``: and all of it), over words, bit-parallel (integers of
+    any width)."""
     m = len(pattern)
     if not m:
-        return 0
+        return len(text) if whole else 0
     peq: dict = {}
     for i, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | (1 << i)
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    full, top, carry = (1 << m) - 1, 1 << (m - 1), int(whole)
     pv, mv, score, best = full, 0, m, m
     for w in text:
         eq = peq.get(w, 0)
@@ -75,12 +78,12 @@ def myers(pattern: list, text: list) -> int:
             score += 1
         elif mh & top:
             score -= 1
-        ph = (ph << 1) & full
+        ph = (ph << 1 | carry) & full
         mh = (mh << 1) & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
         best = min(best, score)
-    return best
+    return score if whole else best
 
 
 class Items:
@@ -88,70 +91,75 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: dict[int, list[str]] = {}
-        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        self.pieces: dict[str, list[tuple[int, int, int]]] = {}  # piece -> (item, its first word, its words)
         for item, passage in items:
             w = words(passage)
             if not w:
                 continue
             self.words[item] = w
-            whole = range(0, len(w) - PIECE + 1, PIECE) if len(w) >= PIECE else (0,)
-            for at in whole:
-                self.pieces.setdefault("".join(w[at : at + PIECE]), []).append((item, at))
+            run = min(RUN, len(w))
+            size = min(PIECE, run // (run // PER_ERROR + 1)) if run >= PER_ERROR else run
+            for at in range(0, len(w) - size + 1, size):
+                self.pieces.setdefault("".join(w[at : at + size]), []).append((item, at, size))
 
     def automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for k, piece in enumerate(self.pieces):
+        for piece in self.pieces:
             a.add_word(piece, (piece, len(piece)))
         a.make_automaton()
         return a
 
     def held(self, doc: list[str], hits: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
-        """item -> (running words, errors) of the passages that ``doc`` holds; hits: (start in the joined text, piece)."""
+        """item -> (words held, errors) of the passages that ``doc`` holds; hits: (start in the joined text, piece)."""
         starts = np.cumsum([0] + [len(w) for w in doc])
-        diagonals: dict[int, set[int]] = {}
+        runs: dict[int, set[tuple[int, int]]] = {}
         for start, piece in hits:
             at = int(np.searchsorted(starts, start, side="right")) - 1
-            for item, k in self.pieces[piece]:
-                diagonals.setdefault(item, set()).add(at - k)
+            for item, k, size in self.pieces[piece]:
+                n = len(self.words[item])
+                run = min(RUN, n)
+                runs.setdefault(item, set()).update((s, at - k) for s in range(max(0, k + size - run), min(k, n - run) + 1))
         out = {}
-        for item, lines in diagonals.items():
-            best = self._verify(self.words[item], doc, sorted(lines))
+        for item, candidates in runs.items():
+            best = self._verify(self.words[item], doc, candidates)
             if best:
                 out[item] = best
         return out
 
     @staticmethod
-    def _verify(passage: list[str], doc: list[str], diagonals: list[int]) -> tuple[int, int] | None:
-        n = len(passage)
-        run = min(RUN, n)
+    def _verify(passage: list[str], doc: list[str], runs: set[tuple[int, int]]) -> tuple[int, int] | None:
+        """(words held, errors) over the runs (first word in the passage, shift to the document), or None."""
+        run = min(RUN, len(passage))
         budget = run // PER_ERROR
-        for d in diagonals:  # the words exchanged one for one: the passage lies on one diagonal
-            lo, hi = max(0, -d), min(n, len(doc) - d)
-            if hi - lo < run:
-                continue
-            same = np.fromiter((passage[i] == doc[i + d] for i in range(lo, hi)), bool, hi - lo)
-            total = np.cumsum(np.r_[0, same])
-            at = np.flatnonzero((total[run:] - total[:-run] >= run - budget) & same[: hi - lo - run + 1] & same[run - 1 :])
-            if at.size:
-                s = int(at[0]) + lo
-                errors = myers(passage[s : s + run], doc[max(0, s + d - budget) : s + d + run + budget])
+        held: set[int] = set()
+        least = None
+        n = len(doc)
+        for shift in sorted({d for _, d in runs}):
+            near = set(doc[max(0, shift - budget) : max(0, shift + len(passage) + budget)])
+            lacking = np.cumsum([0] + [w not in near for w in passage])
+            for s in sorted(s for s, d in runs if d == shift):
+                if lacking[s + run] - lacking[s] > budget:
+                    continue
+                words_ = passage[s : s + run]
+                a, b = s + shift, s + shift + run  # the run's place in the document, if nothing is left out or put in
+                if a >= 0 and doc[a:b] == words_:
+                    errors = 0
+                else:
+                    errors = budget + 1
+                    for i in range(max(0, a - budget), min(n, a + budget + 1)):
+                        if doc[i] != words_[0] or (i != a and doc[i + 1 : i + 2] != words_[1:2] and doc[i + 2 : i + 3] != words_[2:3]):
+                            continue
+                        for j in range(max(i + 1, b - budget), min(n, b + budget) + 1):
+                            if doc[j - 1] != words_[-1] or (j != b and doc[j - 2 : j - 1] != words_[-2:-1] and doc[j - 3 : j - 2] != words_[-3:-2]):
+                                continue
+                            if abs(j - i - run) <= budget:
+                                errors = min(errors, myers(words_, doc[i:j], True))
                 if errors <= budget:
-                    return run, errors
-        if len(diagonals) < 2:
-            return None
-        # Words split or joined move the rest of a passage to a neighbouring diagonal.
-        for d in diagonals:
-            if not any(0 < abs(d - e) <= budget for e in diagonals):
-                continue
-            for s in range(max(0, -d), min(n - run, len(doc) - d - run) + 1):
-                part = doc[max(0, s + d - budget) : s + d + run + budget]
-                if passage[s] in part and passage[s + run - 1] in part:
-                    errors = myers(passage[s : s + run], part)
-                    if errors <= budget:
-                        return run, errors
-        return None
+                    held.update(range(s, s + run))
+                    least = errors if least is None else min(least, errors)
+        return None if least is None else (len(held), least)
 
 
 def scan(texts: list[str | None], items: Items, automaton) -> list[dict[int, tuple[int, int]]]:
