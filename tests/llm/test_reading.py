@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadloom.llm import reading
+from threadloom.llm import language, reading
 
 EASY = "The key is old. The team saves the file and the box needs it. We can stop the run now. "
 HARD = "Consequently, the idempotent instrumentation of previously unobserved derivations problematises the probabilistic supersession, insofar as the retroactive materialisation necessitates an otherwise heterogeneous disambiguation. "
@@ -17,11 +17,31 @@ def test_prose():
     assert reading.prose(None) == reading.prose(" \n") == []
 
 
+GERMAN = "Die Sitzung ersetzt den alten Eintrag nach dem Neustart und der Index prüft das Feld. Jede Regel gilt für alle neuen Dateien."
+FRENCH = "Le journal rejette la prochaine exécution et la session trouve le dossier partagé. Chaque règle vaut pour les nouveaux fichiers."
+
+
 def test_language():
-    assert reading.features(reading.prose(EASY))[0]
-    for other in ("La sesión omite la entrada antigua tras el reinicio y no guarda el registro.", "Die Sitzung ersetzt den alten Eintrag nach dem Neustart und der Index prüft das Feld.", "Le journal rejette la prochaine exécution et la session trouve le dossier partagé."):
-        assert not reading.features(reading.prose(other))[0]
-    assert reading.features([]) == (False, 0, None)
+    texts = {"en": EASY + HARD, "de": GERMAN, "fr": FRENCH}
+    model = language.Languages({k: language.counts(reading.vocabulary(v)) for k, v in texts.items()})
+    of = reading.Profile(model)
+    assert of.features(reading.prose("We keep the old runs. Further derivations need consequently more files."))[0]
+    for other in ("Der Eintrag ist nach dem Neustart neu und die Sitzung alt.", "La règle rejette les fichiers de la session.", "Ersetzt der Index den Eintrag?"):
+        assert not of.features(reading.prose(other))[0]
+    assert of.features([]) == (False, 0, None) and reading.Profile().features(reading.prose(EASY))[0]
+
+
+def test_language_is_learnt_from_labels_that_may_be_wrong(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        name, text = [("en", EASY), ("de", GERMAN), ("fr", FRENCH), ("en", HARD)][i % 4]
+        label = [name, name.upper() + "-xx", None, "und", "en"][i % 5] if rng.random() < 0.6 else name
+        words = text.split()
+        rows.append((i, " ".join(words[k] for k in rng.integers(len(words), size=20)), label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.english for r in reading.profiled(docs).collect()}
+    assert np.mean([got[i] == (i % 4 in (0, 3)) for i in range(240)]) > 0.98
 
 
 @settings(max_examples=100, deadline=None)

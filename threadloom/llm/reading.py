@@ -2,12 +2,14 @@
 
 Every document's prose (without code, log lines, headings and quoted evaluation passages) is reduced to a few syntax and vocabulary features
 in one pass.  The ranker learns from pairs of rated documents whose ratings differ, so raters' scales need not agree; isotonic
-regression (pool adjacent violators) turns its scores into levels.  It is fitted on at most ``sample`` rated documents, taken by hash of
+regression (pool adjacent violators) turns its scores into levels.  It is fitted on about ``sample`` rated documents, taken by hash of
 the id, and of their pairs on ``PAIRS`` drawn at random, less those whose ratings do not differ enough; features, scores and levels are computed for all documents.
 
-Defined results: a document is English if most of its function words are English, whatever its lang column says; a document without
-prose (null, blank, only code) has no level; null ratings do not count, and a rating delivered twice counts once; without any rated
-pair every level is null; an empty table gives an empty result.
+Evaluation passages are a stated set of at most ``PASSAGES`` characters, which is checked before their word sequences are sent to the tasks.
+
+Defined results: a document is English if the classifier of :mod:`threadloom.llm.language` says so of its prose, whatever its own lang column says
+(without any language label every document with prose is); a document without prose (null, blank, only code) has no level; null ratings do
+not count, and a rating delivered twice counts once; without any rated pair every level is null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.language import Languages, fit
 from threadloom.llm.leakage import words
+from threadloom.llm.sampling import sampled
 from threadloom.util import checkpoint, dealt
 
 SAMPLE = 20_000
 PAIRS = 60_000
 GRAM = 4
+PASSAGES = 50_000_000
 FEATURES = ("sentence_words", "word_chars", "long_words", "very_long_words", "short_words", "subordinate", "commas", "nominal", "verbal", "connective", "prepositions")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("english", pa.bool_()), ("n_words", pa.int64()), ("features", pa.list_(pa.float64()))])
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _NOT_PROSE = re.compile(
-    r"\s*(?:#{1,6}\s|\d{4}-\d\d-\d\d[T ]\d\d:|[>+|]|\d+\t|\$ |@@|\w+\[\w+\]:|(?:DEBUG|INFO|WARN|ERROR)\b|[\[{]\s*[\[{\"\]}]|\s{4,}\S|(?:def|fn|class|import|from|return|let|const|for|if)\b.*[:;{(]\s*$|See \")"
+    r"\s*(?:#{1,6}\s|\d{4}-\d\d-\d\d[T ]\d\d:|[>+|]|\d+\t|\$ |@@|\w+\[\w+\]:|(?:DEBUG|INFO|WARN|ERROR)\b|[\[{]\s*[\[{\"\]}]|\s{4,}\S|(?:def|fn|class|import|from|return|let|const|for|if)\b.*[:;{(]\s*$)"
 )
 _LEAD = re.compile(r"^\s*(?:(?:[*•-]|\d+[.)])\s+)?(?:[\[<(]?(?:user|assistant|agent|system|human|tool)[\]>)]*\s*:\s+)?", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -44,13 +49,6 @@ _CONNECTIVE = set("consequently moreover accordingly furthermore nevertheless th
 _PREPOSITION = set("of in under within across by with to for on at from between through over".split())
 _NOMINAL = re.compile(r"(?:tion|sion|ity|ment|ness|ance|ence|ism|ship|bility|ations?|ities)s?$")
 _VERBAL = re.compile(r"(?:is|iz|ifi|at)(?:e|es|ed|ing)$")
-# Function words by which the language of prose is told.
-_FUNCTION = {
-    "en": set("the a an and or but of to in is are was it they we you this that not can will should before after when with by no on at each every any".split()),
-    "de": set("der die das und oder aber ein eine nicht ist sind den dem des mit nach vor für ohne jede jeder alle wird auf von zu im".split()),
-    "fr": set("le la les un une et ou mais de des du dans est sont pas pour avec sans après avant au aux chaque ce cette qui sur l d".split()),
-    "es": set("el la los las un una y o pero de del en es son no para con sin antes tras después cada este esta que por al".split()),
-}
 
 
 def prose(text: str | None, quoted: Passages | None = None) -> list[list[str]]:
@@ -91,53 +89,67 @@ class Passages:
         return hits > 0 and (hits + GRAM - 1) >= 0.3 * len(w)
 
 
-_KNOWN: dict[str, tuple] = {}
-
-
-def _traits(word: str) -> tuple:
-    """What the features need of a word; kept, since texts share their words."""
-    got = _KNOWN.get(word)
-    if got is None:
-        if len(_KNOWN) > 500_000:
-            _KNOWN.clear()
-        n = len(word)
-        got = _KNOWN[word] = (
-            n, n >= 7, n >= 11, n <= 3, n > 6 and _NOMINAL.search(word) is not None, n > 7 and _VERBAL.search(word) is not None, word in _CONNECTIVE, word in _PREPOSITION,
-            *(word in v for v in _FUNCTION.values()),
-        )
-    return got
-
-
-def features(sentences: list[list[str]]) -> tuple[bool, int, list[float] | None]:
-    """(is English, words, features) of sentences of :func:`prose`."""
-    count: Counter[str] = Counter()
-    commas = 0
-    for s in sentences:
-        count.update(s)
-        commas += len(s[-1])
-        count[s[-1]] -= 1
-    pairs = [(c, _traits(x)) for x, c in count.items() if c > 0 and x and x[0] != ","]
-    n = sum(c for c, _ in pairs)
-    if not n:
-        return False, 0, None
-    total = [sum(c * t[k] for c, t in pairs) for k in range(8 + len(_FUNCTION))]
-    votes = dict(zip(_FUNCTION, total[8:]))
-    english = votes["en"] == max(votes.values()) and votes["en"] >= 0.02 * n
-    k = len(sentences)
-    subordinate = sum(not _SUBORDINATE.isdisjoint(s) for s in sentences) / k
-    chars, long_, very, short, nominal, verbal, connective, preposition = (x / n for x in total[:8])
-    return english, n, [float(np.log1p(n / k)), chars / 10, long_, very, short, subordinate, commas / n, nominal, verbal, connective, preposition]
+def vocabulary(text: str | None) -> Counter[str]:
+    """The words of a text's prose."""
+    return Counter(w for s in prose(text) for w in s[:-1])
+
+
+class Profile:
+    """Features and language of prose; what they need of a word is kept, since texts share their words."""
+
+    def __init__(self, languages: Languages | None = None):
+        self.languages = languages
+        self.known: dict[str, tuple] = {}
+
+    def _traits(self, word: str) -> tuple:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            n = len(word)
+            got = self.known[word] = (
+                n, n >= 7, n >= 11, n <= 3, n > 6 and _NOMINAL.search(word) is not None, n > 7 and _VERBAL.search(word) is not None, word in _CONNECTIVE, word in _PREPOSITION,
+                *(self.languages.scores(word).tolist() if self.languages else ()),
+            )
+        return got
+
+    def features(self, sentences: list[list[str]]) -> tuple[bool, int, list[float] | None]:
+        """(is English, words, features) of sentences of :func:`prose`."""
+        count: Counter[str] = Counter()
+        commas = 0
+        for s in sentences:
+            count.update(s)
+            commas += len(s[-1])
+            count[s[-1]] -= 1
+        pairs = [(c, self._traits(x)) for x, c in count.items() if c > 0 and x and x[0] != ","]
+        n = sum(c for c, _ in pairs)
+        if not n:
+            return False, 0, None
+        total = [sum(c * t[k] for c, t in pairs) for k in range(len(pairs[0][1]))]
+        english = self.languages is None or int(np.argmax(total[8:])) == self.languages.english
+        k = len(sentences)
+        subordinate = sum(not _SUBORDINATE.isdisjoint(s) for s in sentences) / k
+        chars, long_, very, short, nominal, verbal, connective, preposition = (x / n for x in total[:8])
+        return english, n, [float(np.log1p(n / k)), chars / 10, long_, very, short, subordinate, commas / n, nominal, verbal, connective, preposition]
 
 
 def profiled(documents: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(doc_id, english, n_words, features) of every document; passages of ``items`` (a stated, bounded set) are no prose."""
-    passages = [] if items is None else [r["passage"] for r in items.select("passage").where("passage IS NOT NULL").toLocalIterator()]
-    shared = documents.sparkSession.sparkContext.broadcast(Passages(passages) if passages else None)
+    """(doc_id, english, n_words, features) of every document; passages of ``items`` (a stated set) are no prose."""
+    passages: list[str] = []
+    if items is not None:
+        stated = items.select("passage").where("passage IS NOT NULL").distinct()
+        size = stated.agg(F.sum(F.length("passage"))).first()[0] or 0
+        if size > PASSAGES:
+            raise ValueError(f"passages of {size} characters are no stated set of at most {PASSAGES}")
+        passages = [r["passage"] for r in stated.collect()]
+    languages = fit(documents, vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast((Passages(passages) if passages else None, languages))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
+        grams, model = shared.value
+        of = Profile(model)
         for batch in batches:
-            got = [features(prose(t, grams)) for t in batch["text"].to_pylist()]
+            got = [of.features(prose(t, grams)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], schema=_SCHEMA)
 
     return dealt(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(profile, "doc_id bigint, english boolean, n_words bigint, features array<double>")
@@ -194,8 +206,8 @@ def levels(documents: DataFrame, ratings: DataFrame, items: DataFrame | None = N
     """(doc_id, english, n_words, level) of every document; level is null without prose."""
     known = checkpoint(profiled(documents, items))
     votes = ratings.where("rating IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rater_id", "rating").distinct().groupBy("doc_id").agg(F.avg("rating").alias("rating"))
-    rated = known.where("english AND features IS NOT NULL").select("doc_id", "features").join(votes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rated.select("features", "rating").toPandas()
+    rated = checkpoint(known.where("english AND features IS NOT NULL").select("doc_id", "features").join(votes, "doc_id"))
+    got = sampled(rated, "doc_id", sample).orderBy("doc_id").select("features", "rating").toPandas()
     ranker = Ranker.fit(np.array(got["features"].tolist()), got["rating"].to_numpy(float)) if len(got) else None
     if ranker is None:
         return known.select("doc_id", "english", "n_words", F.lit(None).cast("double").alias("level"))
