@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from threadloom.llm import pii, pii_labels, pii_model, pii_train
+from threadloom.llm import pii, pii_forms, pii_labels, pii_model, pii_train
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,37 @@ def test_long_texts_are_tagged_over_their_whole_length(model):
     assert pii.found(["a" * 100_000], model) == [[]]
 
 
+PLAIN = [
+    ("write to bob@uni.edu now", ["bob@uni.edu"]), ("maria.gonzalez@acme.org", ["maria.gonzalez@acme.org"]), ("Ask John Smith about it", ["John Smith"]), ("Wei Chen wrote this", ["Wei Chen"]), ("by Pedro Almeida", ["Pedro Almeida"]),
+    ("My SSN is SSN 078-05-1120.", ["SSN 078-05-1120"]), ("742 Evergreen Terrace, Springfield", ["742 Evergreen Terrace, Springfield"]), ("call 06 12 34 56 78", ["06 12 34 56 78"]), ("Visual Studio is slow", []), ("I use Visual Studio", []),
+]
+
+
+@pytest.mark.parametrize(("text", "values"), PLAIN)
+def test_plain_forms(model, text, values):
+    assert [text[s:e] for s, e, _ in pii.found([text], model)[0]] == values
+
+
+def test_unseen_forms(model):
+    """Names, words, domains, formats and sentences that training does not see, by whole spans."""
+    for kind, (precision, recall) in pii_train.unseen(model, 1_500).items():
+        assert (precision, recall) > ((0.9, 0.75) if kind == "person_name" else (0.97, 0)) and recall > (0.75 if kind == "person_name" else 0.95), kind
+
+
+def test_held_out_forms_are_no_training_forms():
+    forms = pii_forms
+    for a, b in ((forms._GIVEN, forms._GIVEN_HELD), (forms._FAMILY, forms._FAMILY_HELD), (forms._PHONES, forms._PHONES_HELD), (forms._IDS, forms._IDS_HELD), (forms._SENTENCES, forms._SENTENCES_HELD), (forms._TOPS, forms._TOPS_HELD), (forms._STREETS, forms._STREETS_HELD)):
+        assert not set(a) & set(b)
+
+
+@pytest.mark.parametrize("copies", [2, 9, 400])
+def test_windows_agree(model, copies):
+    filler = "The parser compares the default filter. "
+    text = "".join(filler * k + "Thanks, Mira Mardakova. " for k in range(copies if copies < 100 else 60)) * (1 if copies < 100 else 2)
+    marks = pii.found([text, text[:-1], "short"], model)
+    assert {text[s:e] for s, e, _ in marks[0]} == {"Mira Mardakova"} and len(marks[0]) == text.count("Mira") and marks[1] == marks[0]
+
+
 def test_edges(model):
     assert pii.found([None, "", "  \n", "x", "é"], model) == [[], [], [], [], []]
     assert pii.found([], model) == []

@@ -1,9 +1,10 @@
 """Personal information inside free text, found by a character-level BiLSTM-CRF and replaced by typed placeholders.
 
-Texts are cut into overlapping windows, the windows of an Arrow batch are decoded together in numpy, and every character takes its tag
-from the window in which it lies farthest from an edge; so a text is tagged as a whole, whatever its length.  Runs of one type become spans,
-and an exact check of each span's form follows.  The weights are trained by ``pii_train`` and shipped with the package (their path is a
-parameter).  Texts are never shuffled: tagging is a map over the scan.
+Texts are cut into overlapping windows, whose characters are scored together in numpy.  Every character takes its scores from the window in which
+it lies farthest from an edge, and the CRF is decoded once over the joined scores of the whole text, so windows cannot disagree about a
+span.  Runs of one type become spans, ended at the edges of their words, and an exact check of each span's form follows.  The
+weights are trained by ``pii_train`` and shipped with the package (their path is a parameter).  Texts are never shuffled: tagging is a map
+over the scan.
 
 Defined results: null, empty and blank texts hold nothing; equal rows count each; a text longer than a window is tagged over its whole
 length; an empty table gives an empty result.  Other columns do not matter.
@@ -26,6 +27,8 @@ from threadloom.util import dealt
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, STRIDE, BATCH = 512, 448, 512
+MARGIN = (WINDOW - STRIDE) // 2
+STRIPE = 256
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 
 _TAGGERS: dict[str, Tagger] = {}
@@ -39,31 +42,76 @@ def tagger(path: str = WEIGHTS) -> Tagger:
     return _TAGGERS[path]
 
 
+def _windows(codes: np.ndarray, model: Tagger, first: int, last: int) -> np.ndarray:
+    """Scores (tags, characters) of a text from the centre of its window ``first`` to that of window ``last - 1``."""
+    starts = [k * STRIDE for k in range(first, last)]
+    lengths = np.array([min(WINDOW, len(codes) - s) for s in starts])
+    x = np.full((len(starts), int(lengths.max()) + int(lengths.max()) % 2), PAD, np.uint8)
+    for j, s in enumerate(starts):
+        x[j, : lengths[j]] = codes[s : s + lengths[j]]
+    e = model.emissions(np.ascontiguousarray(x.T))
+    cut = lambda j, s: e[:, (MARGIN if s else 0) : lengths[j] - (MARGIN if s + lengths[j] < len(codes) else 0), j]
+    return np.concatenate([cut(j, s) for j, s in enumerate(starts)], axis=1)
+
+
+def _long(codes: np.ndarray, model: Tagger) -> np.ndarray:
+    """Tags of a text of several windows: ``STRIPE`` windows are scored at a time, and decoded up to a character that is surely in no span."""
+    count = 1 + -(-(len(codes) - WINDOW) // STRIDE)
+    out, left = [], np.zeros((model.w["start"].size, 0), np.float32)
+    for first in range(0, count, STRIPE):
+        left = np.concatenate([left, _windows(codes, model, first, min(count, first + STRIPE))], axis=1)
+        size = left.shape[1]
+        got = model.decode_emissions(left[:, :, None], np.array([size]))[0]
+        cut = size
+        if first + STRIPE < count:
+            sure = np.flatnonzero(~model._unsure(left[:, :, None], np.array([size]))[0][: max(1, size - WINDOW)])
+            if not sure.size:
+                continue
+            cut = int(sure[-1])
+        out.append(got[:cut])
+        left = left[:, cut:].copy()
+        left[1:, :1] = -1e4
+    return np.concatenate(out)
+
+
 def tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
     """Tags of every character of every text."""
     codes = [encode(t) for t in texts]
-    cuts: list[tuple[int, int, int]] = []  # text, start, end
-    for k, c in enumerate(codes):
-        at = 0
-        while True:
-            cuts.append((k, at, min(len(c), at + WINDOW)))
-            if at + WINDOW >= len(c):
-                break
-            at += STRIDE
     out = [np.zeros(len(c), np.uint8) for c in codes]
-    order = sorted((i for i in range(len(cuts)) if cuts[i][2] > cuts[i][1]), key=lambda i: cuts[i][2] - cuts[i][1])
-    margin = (WINDOW - STRIDE) // 2
+    order = sorted((k for k, c in enumerate(codes) if 0 < len(c) <= WINDOW), key=lambda k: len(codes[k]))
     for first in range(0, len(order), BATCH):
-        part = [cuts[i] for i in order[first : first + BATCH]]
-        lengths = np.array([e - s for _, s, e in part])
+        part = order[first : first + BATCH]
+        lengths = np.array([len(codes[k]) for k in part])
         steps = int(lengths.max()) + int(lengths.max()) % 2
         x = np.full((len(part), steps), PAD, np.uint8)
-        for j, (k, s, e) in enumerate(part):
-            x[j, : e - s] = codes[k][s:e]
-        got = model.decode(np.ascontiguousarray(x.T), lengths)
-        for j, (k, s, e) in enumerate(part):
-            lo, hi = s + (margin if s else 0), e - (margin if e < len(codes[k]) else 0)
-            out[k][lo:hi] = got[j, lo - s : hi - s]
+        for j, k in enumerate(part):
+            x[j, : lengths[j]] = codes[k]
+        for k, got in zip(part, model.decode(np.ascontiguousarray(x.T), lengths)):
+            out[k][:] = got[: len(codes[k])]
+    # Longer texts: the windows of several are scored together, and their joined scores decoded together.
+    order = sorted((k for k, c in enumerate(codes) if len(c) > WINDOW), key=lambda k: len(codes[k]))
+    at = 0
+    while at < len(order):
+        part, windows = [], 0
+        while at < len(order) and (not part or windows < STRIPE):
+            windows += 1 + -(-(len(codes[order[at]]) - WINDOW) // STRIDE)
+            part.append(order[at])
+            at += 1
+        if len(part) == 1:
+            out[part[0]] = _long(codes[part[0]], model)
+            continue
+        cuts = [(j, s, min(len(codes[k]), s + WINDOW)) for j, k in enumerate(part) for s in range(0, max(1, len(codes[k]) - MARGIN * 2), STRIDE)]
+        x = np.full((len(cuts), WINDOW), PAD, np.uint8)
+        for i, (j, s, e) in enumerate(cuts):
+            x[i, : e - s] = codes[part[j]][s:e]
+        scores = model.emissions(np.ascontiguousarray(x.T))
+        lengths = np.array([len(codes[k]) for k in part])
+        joined = np.zeros((scores.shape[0], int(lengths.max()), len(part)), np.float32)
+        for i, (j, s, e) in enumerate(cuts):
+            lo, hi = s + (MARGIN if s else 0), e - (MARGIN if e < lengths[j] else 0)
+            joined[:, lo:hi, j] = scores[:, lo - s : hi - s, i]
+        for k, n, got in zip(part, lengths, model.decode_emissions(joined, lengths)):
+            out[k][:] = got[:n]
     return out
 
 
@@ -76,6 +124,23 @@ _SHAPE = {
 }
 
 
+_SALUTATION = re.compile(r"(?:(?:hi|hello|hey|dear|yours|thanks|regards|mr|mrs|ms|dr|prof)\b[.,]?[ \t]+)+", re.I)
+_JOINTS = {"email": ".+-_%", "phone": "-./", "id_number": "-./"}
+
+
+def _whole(text: str, s: int, e: int, name: str) -> tuple[int, int]:
+    """The range, led on to the edges of its words (for mail addresses and numbers: with the marks that join their parts)."""
+    joints, n = _JOINTS.get(name, ""), len(text)
+    escape = lambda k: k > 0 and text[k] in "nrt" and text[k - 1] == "\\"
+    while s > 0 and not escape(s - 1) and (
+        text[s - 1].isalnum() and (text[s].isalnum() or text[s] in joints) or text[s - 1] in joints and text[s].isalnum() and s > 1 and text[s - 2].isalnum() and not escape(s - 2)
+    ):
+        s -= 1
+    while e < n and (text[e].isalnum() and (text[e - 1].isalnum() or text[e - 1] in joints) or text[e] in joints and text[e - 1].isalnum() and e + 1 < n and text[e + 1].isalnum()):
+        e += 1
+    return s, e
+
+
 def spans(text: str, tag: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, type) of the runs of one type whose text has the form of the type."""
     at = np.flatnonzero(tag)
@@ -88,7 +153,13 @@ def spans(text: str, tag: np.ndarray) -> list[tuple[int, int, str]]:
         e = s + 1
         while e < len(tag) and kind[e] == kind[s] and not begins[e]:
             e += 1
-        name, value = TYPES[kind[s] - 1], text[s:e]
+        name = TYPES[kind[s] - 1]
+        s, e = _whole(text, int(s), e, name)
+        if out and s < out[-1][1]:  # two runs in one word: the first has it
+            s = out[-1][1]
+        if name == "person_name" and (greeting := _SALUTATION.match(text, s, e)):
+            s = greeting.end()
+        value = text[s:e]
         if _SHAPE[name].match(value) and not (name == "email" and (value.lower().startswith("git@") or text[e : e + 1] == ":" and text[e + 1 : e + 2].isalnum())):
             out.append((int(s), int(e), name))
     return out

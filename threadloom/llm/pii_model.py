@@ -106,11 +106,12 @@ class Tagger:
 
     def decode(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tag paths (batch, characters) as uint8; positions beyond a window's length are 0."""
-        steps, b = x.shape
+        return self.decode_emissions(self.emissions(x), lengths) if x.size else np.zeros(x.shape[::-1], np.uint8)
+
+    def decode_emissions(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``decode`` from scores (tags, characters, batch)."""
+        _, steps, b = e.shape
         tags = np.zeros((b, steps), np.uint8)
-        if not steps or not b:
-            return tags
-        e = self.emissions(x)
         unsure = self._unsure(e, lengths)
         edge = np.diff(np.pad(unsure, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
