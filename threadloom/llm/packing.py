@@ -3,8 +3,9 @@
 Only the histogram (at most ``capacity`` numbers, whatever the size of the corpus) comes to the driver.  Lengths are placed longest first;
 each goes to the packing pattern with the most room, and a pattern stands for as many containers as its count.  The patterns are
 then joined back by rank: documents of a length are numbered, and slot after slot of the patterns takes the next numbers.
-The slot table is bounded by patterns x capacity and is broadcast; documents are numbered by a range-partitioned sort, so a length that a
-third of the documents share is spread like any other.
+The slot table is broadcast if it has at most ``SLOTS`` rows, and joined by length otherwise; documents are numbered by a range-partitioned
+sort, so a length that a third of the documents share is spread like any other.  The tokenizer's file is read on the driver and sent to the
+tasks, up to ``TOKENIZER_BYTES``.
 
 A document larger than a container is cut into full containers and a rest; the rest is packed like a document.
 
@@ -27,29 +28,34 @@ from threadloom.util import checkpoint, dealt, numbered
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SLOTS, TOKENIZER_BYTES = 100_000, 64 << 20
 
-_ENCODINGS: dict[str, object] = {}
+_ENCODINGS: dict[int, object] = {}
 # The usual split of byte-level BPE into contractions, words, numbers, marks and white space.
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoding(path: str):
+def encoding(ranks_file: bytes):
     """The byte-level BPE of a ranks file, once for each Python worker."""
-    if path not in _ENCODINGS:
+    key = hash(ranks_file)
+    if key not in _ENCODINGS:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _ENCODINGS[path] = tiktoken.Encoding(os.path.basename(path), pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding(f"ranks-{key}", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64())])
+    if os.path.getsize(tokenizer) > TOKENIZER_BYTES:
+        raise ValueError(f"{tokenizer} is larger than {TOKENIZER_BYTES} bytes")
+    with open(tokenizer, "rb") as file:
+        ranks = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizer)
+        encode = encoding(ranks.value)
         for batch in batches:
             counts = [len(encode.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64())], schema=schema)
@@ -105,7 +111,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first += count
     order = numbered(pieces, ["size", "doc_id", "part"], "rank")
     table = spark.createDataFrame(slots, "size bigint, low bigint, high bigint, times bigint, first bigint")
-    placed = order.join(F.broadcast(table), (order["size"] == table["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = order.join(F.broadcast(table) if len(slots) <= SLOTS else table, (order["size"] == table["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.select("doc_id", "part", order["size"].alias("tokens"), (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("times"))).cast("bigint").alias("container"))
     # Full containers of cut documents: numbered from the end of the packed ones, without a shuffle of the others.
     cut = numbered(pieces.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("part")), ["doc_id", "part"], "k")

@@ -94,6 +94,8 @@ hung AS (
 )"""
 
 ORACLE = {
+    # Words and marks are fewer than subword tokens; between them and a container's size lies a wide gap, so they give the same list.
+    "p7_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) > 2048",
     "p6_found": f"{_SESSIONS} SELECT session AS session_id, CASE WHEN NOT said THEN 'empty' WHEN broken THEN 'broken' ELSE 'no_reply' END AS fault FROM s WHERE NOT said OR broken OR unanswered",
     # A turn's way from the root, as the delivery places of the rows on it: ways in order are the tree a branch at a time.
     "p6_conversations": f"""{_SESSIONS},
