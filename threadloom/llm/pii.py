@@ -42,35 +42,45 @@ def tagger(path: str = WEIGHTS) -> Tagger:
     return _TAGGERS[path]
 
 
-def _windows(codes: np.ndarray, model: Tagger, first: int, last: int) -> np.ndarray:
-    """Scores (tags, characters) of a text from the centre of its window ``first`` to that of window ``last - 1``."""
-    starts = [k * STRIDE for k in range(first, last)]
-    lengths = np.array([min(WINDOW, len(codes) - s) for s in starts])
-    x = np.full((len(starts), int(lengths.max()) + int(lengths.max()) % 2), PAD, np.uint8)
-    for j, s in enumerate(starts):
-        x[j, : lengths[j]] = codes[s : s + lengths[j]]
-    e = model.emissions(np.ascontiguousarray(x.T))
-    cut = lambda j, s: e[:, (MARGIN if s else 0) : lengths[j] - (MARGIN if s + lengths[j] < len(codes) else 0), j]
-    return np.concatenate([cut(j, s) for j, s in enumerate(starts)], axis=1)
+def _scored(windows: list[tuple[np.ndarray, int]], model: Tagger) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(scores (tags, characters, windows), characters that may lie in a span (windows, characters), [(start, end, start and end of the
+    centre)]) of windows (text, start)."""
+    ranges = []
+    for codes, s in windows:
+        e = min(len(codes), s + WINDOW)
+        ranges.append((s, e, s + (MARGIN if s else 0), e - (MARGIN if e < len(codes) else 0)))
+    x = np.full((len(windows), WINDOW), PAD, np.uint8)
+    for i, ((codes, _), (s, e, _, _)) in enumerate(zip(windows, ranges)):
+        x[i, : e - s] = codes[s:e]
+    scores = model.emissions(np.ascontiguousarray(x.T))
+    unsure = model.unsure(scores, np.array([e - s for s, e, _, _ in ranges]), np.array([s > 0 for s, _, _, _ in ranges]))
+    return scores, unsure, ranges
+
+
+def _starts(codes: np.ndarray) -> list[int]:
+    return list(range(0, max(1, len(codes) - 2 * MARGIN), STRIDE))
 
 
 def _long(codes: np.ndarray, model: Tagger) -> np.ndarray:
-    """Tags of a text of several windows: ``STRIPE`` windows are scored at a time, and decoded up to a character that is surely in no span."""
-    count = 1 + -(-(len(codes) - WINDOW) // STRIDE)
-    out, left = [], np.zeros((model.w["start"].size, 0), np.float32)
-    for first in range(0, count, STRIPE):
-        left = np.concatenate([left, _windows(codes, model, first, min(count, first + STRIPE))], axis=1)
+    """Tags of a text of many windows: ``STRIPE`` windows are scored at a time, and decoded up to a character that is surely in no span."""
+    out, starts = [], _starts(codes)
+    base, left, maybe = 0, np.zeros((model.w["start"].size, 0), np.float32), np.zeros(0, bool)
+    for first in range(0, len(starts), STRIPE):
+        scores, unsure, ranges = _scored([(codes, s) for s in starts[first : first + STRIPE]], model)
+        left = np.concatenate([left, *[scores[:, lo - s : hi - s, i] for i, (s, _, lo, hi) in enumerate(ranges)]], axis=1)
         size = left.shape[1]
-        got = model.decode_emissions(left[:, :, None], np.array([size]))[0]
+        maybe = np.r_[maybe, np.zeros(size - maybe.size, bool)]
+        for i, (s, e, _, _) in enumerate(ranges):
+            a, b = max(s, base), min(e, base + size)
+            maybe[a - base : b - base] |= unsure[i, a - s : b - s]
         cut = size
-        if first + STRIPE < count:
-            sure = np.flatnonzero(~model._unsure(left[:, :, None], np.array([size]))[0][: max(1, size - WINDOW)])
+        if first + STRIPE < len(starts):
+            sure = np.flatnonzero(~maybe[: max(1, size - WINDOW)])
             if not sure.size:
                 continue
             cut = int(sure[-1])
-        out.append(got[:cut])
-        left = left[:, cut:].copy()
-        left[1:, :1] = -1e4
+        out.append(model.decode_emissions(left[:, :, None], np.array([size]), maybe[None])[0, :cut])
+        base, left, maybe = base + cut, left[:, cut:], maybe[cut:]
     return np.concatenate(out)
 
 
@@ -92,25 +102,22 @@ def tags(texts: list[str], model: Tagger) -> list[np.ndarray]:
     order = sorted((k for k, c in enumerate(codes) if len(c) > WINDOW), key=lambda k: len(codes[k]))
     at = 0
     while at < len(order):
-        part, windows = [], 0
-        while at < len(order) and (not part or windows < STRIPE):
-            windows += 1 + -(-(len(codes[order[at]]) - WINDOW) // STRIDE)
+        part, windows = [], []
+        while at < len(order) and (not part or len(windows) + len(_starts(codes[order[at]])) <= STRIPE):
+            windows += [(len(part), s) for s in _starts(codes[order[at]])]
             part.append(order[at])
             at += 1
-        if len(part) == 1:
+        if len(windows) > STRIPE:
             out[part[0]] = _long(codes[part[0]], model)
             continue
-        cuts = [(j, s, min(len(codes[k]), s + WINDOW)) for j, k in enumerate(part) for s in range(0, max(1, len(codes[k]) - MARGIN * 2), STRIDE)]
-        x = np.full((len(cuts), WINDOW), PAD, np.uint8)
-        for i, (j, s, e) in enumerate(cuts):
-            x[i, : e - s] = codes[part[j]][s:e]
-        scores = model.emissions(np.ascontiguousarray(x.T))
+        scores, unsure, ranges = _scored([(codes[part[j]], s) for j, s in windows], model)
         lengths = np.array([len(codes[k]) for k in part])
         joined = np.zeros((scores.shape[0], int(lengths.max()), len(part)), np.float32)
-        for i, (j, s, e) in enumerate(cuts):
-            lo, hi = s + (MARGIN if s else 0), e - (MARGIN if e < lengths[j] else 0)
+        maybe = np.zeros((len(part), int(lengths.max())), bool)
+        for i, ((j, _), (s, e, lo, hi)) in enumerate(zip(windows, ranges)):
             joined[:, lo:hi, j] = scores[:, lo - s : hi - s, i]
-        for k, n, got in zip(part, lengths, model.decode_emissions(joined, lengths)):
+            maybe[j, s:e] |= unsure[i, : e - s]
+        for k, n, got in zip(part, lengths, model.decode_emissions(joined, lengths, maybe)):
             out[k][:] = got[:n]
     return out
 

@@ -108,11 +108,11 @@ class Tagger:
         """Best tag paths (batch, characters) as uint8; positions beyond a window's length are 0."""
         return self.decode_emissions(self.emissions(x), lengths) if x.size else np.zeros(x.shape[::-1], np.uint8)
 
-    def decode_emissions(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """``decode`` from scores (tags, characters, batch)."""
+    def decode_emissions(self, e: np.ndarray, lengths: np.ndarray, unsure: np.ndarray | None = None) -> np.ndarray:
+        """``decode`` from scores (tags, characters, batch).  ``unsure`` (batch, characters): those that may lie outside O, if known."""
         _, steps, b = e.shape
         tags = np.zeros((b, steps), np.uint8)
-        unsure = self._unsure(e, lengths)
+        unsure = self.unsure(e, lengths) if unsure is None else unsure
         edge = np.diff(np.pad(unsure, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1]  # rows come in order, so begins and ends pair up
@@ -123,8 +123,9 @@ class Tagger:
             self._viterbi(e, row[part], first[part], size[part], lengths, tags)
         return tags
 
-    def _unsure(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(batch, characters): whether a stretch outside O that holds the character may gain over O."""
+    def unsure(self, e: np.ndarray, lengths: np.ndarray, inner: np.ndarray | None = None) -> np.ndarray:
+        """(batch, characters): whether a stretch outside O that holds the character may gain over O.  ``inner`` (batch): begins inside
+        a text, so that a stretch may come in from the left."""
         trans, start = self.w["trans"], self.w["start"]
         _, steps, b = e.shape
         own = {"B": slice(1, None, 2), "I": slice(2, None, 2)}
@@ -138,7 +139,7 @@ class Tagger:
         leave = {k: np.float32(trans[own[k], 0].max() - stay) for k in own}
         fore, hind = {k: np.empty_like(m[k]) for k in own}, {k: np.empty_like(m[k]) for k in own}
         for k in own:
-            fore[k][0] = m[k][0] + np.float32(start[own[k]].max() - start[0])
+            fore[k][0] = m[k][0] + (np.float32(start[own[k]].max() - start[0]) if inner is None else np.where(inner, np.float32(0), np.float32(start[own[k]].max() - start[0])))
             hind[k][steps - 1] = 0
         last = lengths - 1
         for t in range(1, steps):
@@ -157,18 +158,17 @@ class Tagger:
     def _viterbi(self, e: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, lengths: np.ndarray, tags: np.ndarray) -> None:
         """Viterbi over islands, whose neighbours are in O; sets their tags."""
         trans, n, longest = self.w["trans"], row.size, int(size.max())
-        back = np.zeros((longest, n, TAGS), np.uint8)
-        score = np.where((first == 0)[:, None], self.w["start"], trans[0]) + e[:, first, row].T
+        scores = np.empty((longest, TAGS, n), np.float32)
+        scores[0] = np.where(first == 0, self.w["start"][:, None], trans[0][:, None]) + e[:, first, row]
         for t in range(1, longest):
-            live = np.flatnonzero(size > t)  # islands are sorted by length, so this is a tail
-            lo = live[0]
-            best = score[lo:, :, None] + trans[None]
-            back[t, lo:] = best.argmax(axis=1)
-            score[lo:] = best.max(axis=1) + e[:, first[lo:] + t, row[lo:]].T
-        tag = (score + np.where((first + size < lengths[row])[:, None], trans[:, 0], 0)).argmax(axis=1)
-        rows = np.arange(n)
+            lo = int(np.searchsorted(size, t, side="right"))  # islands are sorted by length, so those that go on are a tail
+            best = (scores[t - 1, :, None, lo:] + trans[:, :, None]).max(axis=0)
+            np.add(best, e[:, first[lo:] + t, row[lo:]], out=scores[t, :, lo:])
+        # Backwards each island asks for its own tag's best predecessor only.
+        leave = np.where(first + size < lengths[row], trans[:, 0][:, None], 0)
+        tag = np.zeros(n, np.int64)
         for t in range(longest - 1, -1, -1):
-            live = size > t
-            tags[row[live], first[live] + t] = tag[live]
-            if t:
-                tag = np.where(live, back[t, rows, tag], tag)
+            lo, on = int(np.searchsorted(size, t, side="right")), int(np.searchsorted(size, t + 1, side="right"))
+            tag[on:] = (scores[t, :, on:] + trans[:, tag[on:]]).argmax(axis=0)
+            tag[lo:on] = (scores[t, :, lo:on] + leave[:, lo:on]).argmax(axis=0)
+            tags[row[lo:], first[lo:] + t] = tag[lo:]
