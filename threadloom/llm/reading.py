@@ -82,7 +82,7 @@ class Passages:
 
     def hold(self, sentence: str, rough: list[str]) -> bool:
         """Whether a good part of the sentence runs along a passage; ``rough``: its words, for a test that most sentences fail."""
-        if sum(x in self.vocabulary for x in rough) < max(2, 0.25 * len(rough)):
+        if sum(map(self.vocabulary.__contains__, rough)) < max(2, 0.25 * len(rough)):
             return False
         w = words(sentence)
         hits = sum(" ".join(w[k : k + GRAM]) in self.grams for k in range(max(0, len(w) - GRAM + 1)))
@@ -99,19 +99,21 @@ class Profile:
 
     def __init__(self, languages: Languages | None = None):
         self.languages = languages
-        self.known: dict[str, tuple] = {}
-
-    def _traits(self, word: str) -> tuple:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, 8 + (len(languages.names) if languages else 0)))
+
+    def _row(self, word: str) -> int:
+        """The row of the table that holds a word's traits."""
+        row = self.known.get(word)
+        if row is None:
+            row = self.known[word] = len(self.known)
+            if row >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             n = len(word)
-            got = self.known[word] = (
-                n, n >= 7, n >= 11, n <= 3, n > 6 and _NOMINAL.search(word) is not None, n > 7 and _VERBAL.search(word) is not None, word in _CONNECTIVE, word in _PREPOSITION,
-                *(self.languages.scores(word).tolist() if self.languages else ()),
-            )
-        return got
+            self.table[row, :8] = (n, n >= 7, n >= 11, n <= 3, n > 6 and _NOMINAL.search(word) is not None, n > 7 and _VERBAL.search(word) is not None, word in _CONNECTIVE, word in _PREPOSITION)
+            if self.languages:
+                self.table[row, 8:] = self.languages.scores(word)
+        return row
 
     def features(self, sentences: list[list[str]]) -> tuple[bool, int, list[float] | None]:
         """(is English, words, features) of sentences of :func:`prose`."""
@@ -121,15 +123,18 @@ class Profile:
             count.update(s)
             commas += len(s[-1])
             count[s[-1]] -= 1
-        pairs = [(c, self._traits(x)) for x, c in count.items() if c > 0 and x and x[0] != ","]
-        n = sum(c for c, _ in pairs)
-        if not n:
+        if len(self.known) > 400_000:  # the rows of one text stay together
+            self.known.clear()
+        held = [(c, self._row(x)) for x, c in count.items() if c > 0 and x and x[0] != ","]
+        if not held:
             return False, 0, None
-        total = [sum(c * t[k] for c, t in pairs) for k in range(len(pairs[0][1]))]
+        weights = np.array([c for c, _ in held], float)
+        n = int(weights.sum())
+        total = weights @ self.table[[row for _, row in held]]
         english = self.languages is None or int(np.argmax(total[8:])) == self.languages.english
         k = len(sentences)
         subordinate = sum(not _SUBORDINATE.isdisjoint(s) for s in sentences) / k
-        chars, long_, very, short, nominal, verbal, connective, preposition = (x / n for x in total[:8])
+        chars, long_, very, short, nominal, verbal, connective, preposition = (total[:8] / n).tolist()
         return english, n, [float(np.log1p(n / k)), chars / 10, long_, very, short, subordinate, commas / n, nominal, verbal, connective, preposition]
 
 
