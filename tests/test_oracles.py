@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"threadloom.{m}") for m in ("queries_pipeline", "queries_search", "queries_sessions")]
+MODULES = [importlib.import_module(f"threadloom.{m}") for m in ("queries_pipeline", "queries_search", "queries_sessions", "queries_functions")]
 CASES = [(m, n) for m in MODULES for n in m.ORACLE]
 
 

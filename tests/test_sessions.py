@@ -48,9 +48,15 @@ def test_visibility(spark):
     assert {r.k for r in df.where(projection.visible(F.col("m"), projection.Display())).collect()} == {"tool", "plan"}
     assert projection.SHOW_ALL.hidden() == 0 and projection.Display().hidden() == 16 + 64 + 512
     every, seen, not_seen = (set(projection.default_masks(m, projection.Display())) for m in ("all", "visible", "hidden"))
-    assert seen | not_seen == every and not seen & not_seen and 512 in not_seen
-    t = spark.createDataFrame([("user", "# AGENTS.md instructions x", False), ("user", "hi", True), ("user", "<environment_context>", None), ("assistant", None, None), ("user", "<skill>x", None)], "r string, t string, c boolean")
-    assert [r.m for r in t.select(projection.message_mask(F.col("r"), F.col("t"), F.col("c")).alias("m")).collect()] == [16, 64, 64, 2, 32]
+    assert seen | not_seen == every and not seen & not_seen and 512 in not_seen and not_seen == {512, 16, 64, 66, 17, 65} and len(projection.masks()) == 15
+    cases = [
+        ("user", "# AGENTS.md instructions for /x\ny", False, None, 17), ("system", " CLAUDE.md instructions", None, None, 16), ("user", "# AGENTS.md instructions x", False, None, 1), ("user", "hi", True, None, 65), ("assistant", "hi", True, None, 2),
+        ("user", "<codex_internal_context a='1'>x</codex_internal_context>\n<goal_context>y</goal_context> ", None, None, 65), ("user", "<goal_context>y</goal_context> and more", None, None, 1), ("assistant", None, None, None, 2), ("user", "<skill>x</skill>", None, None, 33),
+        ("user", "<skill>x", None, None, 1), ("user", "<task-notification>x</task-notification>", None, None, 8), ("system", "x", None, "checkpoint", 2), ("summary", "x", None, "task_reminder", 64), ("summary", "x", None, None, 0), ("user", "<INSTRUCTIONS>x</INSTRUCTIONS>", None, None, 17),
+    ]
+    t = spark.createDataFrame(cases, "r string, t string, c boolean, k string, m int")
+    got = t.select("m", projection.message_mask(F.col("r"), F.col("t"), F.col("c"), F.col("k")).alias("n")).collect()
+    assert [r.n for r in got] == [r.m for r in got]
     foot = spark.createDataFrame([("a\n<oai-mem-citation>x</oai-mem-citation>\n",), ("```\n<oai-mem-citation>x</oai-mem-citation>",)], "t string").select(projection.citation_footer(F.col("t")).alias("x")).collect()
     assert tuple(foot[0].x) == ("a", "<oai-mem-citation>x</oai-mem-citation>") and foot[1].x.footer is None
     assert spark.createDataFrame([(" ", "b\nc", None)], "a string, b string, c string").select(projection.preview(F.col("a"), F.col("b"), F.col("c")).alias("p")).first().p == "b c"
@@ -78,6 +84,11 @@ def test_superseded_copies(spark):
     assert siblings == {"a": "C"}
 
 
+def test_successors_are_followed(spark):
+    chain = [node("a", "transcript", [], ["1"], own=1), node("b", "transcript", ["A"], ["2"], ["1"], own=1), node("c", "transcript", ["B"], ["3"], ["2"], own=1)]
+    assert superseded(spark, *chain) == {"a": "C", "b": "C"}
+
+
 def test_superseded_rollouts(spark):
     a = node("a", "rollout", [], ["1", "2", "3"], aborted=(["3"], False, "h"))
     assert superseded(spark, a, node("b", "rollout", ["A"], ["1", "2", "3", "4"])) == {"a": "B"}
@@ -205,6 +216,9 @@ def test_sinks(spark):
     turns = spark.createDataFrame([("s", 2, "assistant", "````\ncode", None), ("s", 1, "user", "hi", None)], "session_id string, turn_no int, speaker string, content string, timestamp timestamp")
     text = sinks.markdown(turns).first().text
     assert text.index("## User") < text.index("## Assistant") and "turns: 2" in text
+    tool = turns.withColumn("speaker", F.when(F.col("turn_no") == 2, "tool_result").otherwise(F.col("speaker")))
+    assert "`````\n````\ncode\n`````" in sinks.markdown(tool).first().text
+    assert sorted((r.part, r.text.count("##")) for r in sinks.markdown(turns, size=1).collect()) == [(0, 1), (1, 1)]
     assert sinks.plain_text(turns).first().text == "[user] hi\n[assistant] ````\ncode"
     assert turns.where("turn_no = 2").select(sinks.fence(F.col("content")).alias("f")).first().f == "`" * 5
     d = spark.createDataFrame([(1, "2026-01-02", "a", "0123456789", "Ünï: title!  " + "x" * 60), (2, "2026-01-02", "a", "0123456700", None), (3, "2026-01-02", "a", "0123456711", " ")], "k int, d string, a string, i string, t string")

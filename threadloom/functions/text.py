@@ -111,18 +111,22 @@ def model_from_settings(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, r"(?s)\bto\s+(.*?)\. ", 1)), F.lit(""))
 
 
-# Labels under which tools of all producers are listed.
+# Labels under which tools are listed, by their names in lower case with hyphens as underscores.
 TOOL_LABELS = {
-    "bash": "bash", "shell": "bash", "shell_command": "bash", "exec_command": "bash", "run_command": "bash", "read": "read", "view_file": "read", "read_file": "read",
-    "write": "write", "write_to_file": "write", "edit": "edit", "multiedit": "edit", "replace_file_content": "edit", "glob": "glob", "find_by_name": "glob",
-    "grep": "grep", "grep_search": "grep", "apply_patch": "patch", "task": "agent", "agent": "agent", "websearch": "search", "web_search": "search",
-    "search_web": "search", "webfetch": "fetch", "web_fetch": "fetch", "read_url_content": "fetch",
+    "bash": "bash", "exec_command": "bash", "shell": "bash", "shell_command": "bash", "execute": "bash", "terminal": "bash", "read": "read", "readfile": "read", "read_file": "read",
+    "write": "write", "writefile": "write", "write_file": "write", "edit": "edit", "editfile": "edit", "edit_file": "edit", "glob": "glob", "grep": "grep", "apply_patch": "patch", "patch": "patch",
+    "agent": "agent", "web_search": "search", "websearch": "search", "web_fetch": "fetch", "webfetch": "fetch",
 }
 
 
+def label_of(name: str | None) -> str:
+    """The label of a tool name, or the name itself, trimmed."""
+    return TOOL_LABELS.get((name or "").strip().lower().replace("-", "_"), (name or "").strip())
+
+
 def tool_label(name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in TOOL_LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), F.trim(name))
+    return F.coalesce(F.try_element_at(table, F.translate(F.lower(F.trim(name)), "-", "_")), F.trim(name))
 
 
 def derivation(path: Column, sidechain: Column) -> Column:
@@ -145,10 +149,17 @@ def decode_project_dir(name: Column) -> Column:
     return F.when(name.rlike("^[A-Za-z]--"), drive).otherwise(F.regexp_replace(name, "-", "/"))
 
 
-def line_fingerprint(lines: Column) -> Column:
-    """Hash of a multiset of lines: empty lines dropped, sorted, each with its length before it."""
+def line_fingerprint(text: Column) -> Column:
+    """SHA-256 of the multiset of a text's lines: empty lines dropped, the others sorted by their bytes, each with its length as eight bytes,
+    the lowest first, before it."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
     kept = F.array_sort(F.filter(lines, lambda x: x != ""))
-    return F.sha2(F.array_join(F.transform(kept, lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)), ""), 256)
+
+    def sized(x: Column) -> Column:
+        size = F.lpad(F.hex(F.octet_length(x).cast("bigint")), 16, "0")
+        return F.concat(*[F.substring(size, k, 2) for k in range(15, 0, -2)], F.hex(F.encode(x, "utf-8")))
+
+    return F.sha2(F.unhex(F.array_join(F.transform(kept, sized), "")), 256)
 
 
 def signature(*columns: Column) -> Column:

@@ -103,7 +103,15 @@ def superseded(sessions: DataFrame) -> DataFrame:
     best = strict.join(targets, "key").groupBy("source").agg(F.max_by(F.coalesce("session_id", "key"), F.struct("n", "modified", F.coalesce("session_id", F.lit("")), "key")).alias("superseded_by"))
     best = checkpoint(best)
     hidden = groups.where("key <> keeper").join(best.select(F.col("source").alias("key")), "key", "left_anti").select("key", F.col("keeper_id").alias("superseded_by"))
-    return hidden.unionByName(best.select(F.col("source").alias("key"), "superseded_by"))
+    direct = checkpoint(hidden.unionByName(best.select(F.col("source").alias("key"), "superseded_by")))
+    # A successor may itself be superseded: the chain is followed to the session that is kept; a chain that runs in a loop keeps all.
+    names = state.select("key", "agent", F.coalesce("session_id", "key").alias("id"))
+    by_id = names.groupBy("agent", "id").agg(F.max("key").alias("next"))
+    on = direct.join(names.select("key", "agent"), "key").join(by_id.withColumnRenamed("id", "superseded_by"), ["agent", "superseded_by"])
+    ends = followed(on.select(F.col("key").alias("v"), F.col("next").alias("to")))
+    followed_ = ends.join(names.select(F.col("key").alias("last"), "id"), "last", "left").select(F.col("v").alias("key"), F.col("last").isNotNull().alias("ends"), F.col("id").alias("end"))
+    out = direct.join(followed_, "key", "left").where("coalesce(ends, true)")
+    return out.select("key", F.coalesce("end", "superseded_by").alias("superseded_by"))
 
 
 def ambiguous_ids(members: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.util import numbered
+
+#: Segments or turns in a part of a long session's text.
+PART = 2_000
+
 # The visibility bits.
 USER, AGENT, TOOL_CALL, TOOL_RESULT, PROJECT_DOCS, SKILL, INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_RESULT, AGENT_THINKING = (1 << k for k in range(10))
 
@@ -38,29 +43,48 @@ def visible(mask: Column, display: Display) -> Column:
     return mask.bitwiseAND(F.lit(display.hidden())) == 0
 
 
+# What opens generated blocks within a user's messages.
+_DOCS = r"(?s)^\s*(?:(?:# )?(?:AGENTS|CLAUDE)\.md instructions(?: for [^\n]*)?[^\S\n]*(?:\n|$)|<INSTRUCTIONS>.*</INSTRUCTIONS>)"
+_SKILL = r"(?is)^\s*<skill>.*</skill>"
+_INTERNAL = r"(?is)^(?:\s*<(codex_internal_context|goal_context)(?:>|\s[^>]*>).*?</\1>)+\s*$"
+# Generated kinds of the third producer, by the bit they need.
+_KINDS = {
+    "directory_rules": PROJECT_DOCS, "checkpoint": AGENT, "agent_message": AGENT, "error": TOOL_RESULT, "task_canceled": TOOL_RESULT, "task_finished": TOOL_RESULT, "task_stalled": TOOL_RESULT,
+    "subagent_error": TOOL_RESULT, "task_reminder": INTERNAL_CONTEXT, "restart_notice": INTERNAL_CONTEXT, "hook_feedback": INTERNAL_CONTEXT,
+}
+
+
 def is_project_docs(text: Column) -> Column:
-    return text.rlike(r"(?is)^\s*(?:# AGENTS\.md instructions|<project-docs>|<user_instructions>)")
+    return text.rlike(_DOCS)
 
 
 def is_skill(text: Column) -> Column:
-    return text.rlike(r"(?is)^\s*(?:<skill>|base directory for this skill:)")
+    return text.rlike(_SKILL)
 
 
 def is_internal(text: Column) -> Column:
-    return text.rlike(r"(?is)^\s*<(?:environment_context|system-reminder|permissions instructions|turn_context|ide_context|internal_context)\b")
+    """A message that is made of generated context blocks only."""
+    return text.rlike(_INTERNAL)
 
 
 def is_task_notification(text: Column) -> Column:
     return text.rlike(r"(?s)^\s*<task-notification>.*</task-notification>\s*$")
 
 
-def message_mask(role: Column, text: Column, compact_summary: Column) -> Column:
-    """Bits a message needs: summaries and notifications first, then documents, skills and context, then its role."""
-    t = F.coalesce(text, F.lit(""))
+def message_mask(role: Column, text: Column, compact_summary: Column, kind: Column | None = None, notification: Column | None = None) -> Column:
+    """Bits a message needs.  A user's: a compact summary counts as context beside the user, a notification as a tool result, documents, skills and
+    context blocks as such beside the user.  ``kind``: the generated kind of system messages of the third producer.  Other system messages
+    and summaries need no bit; documents that the system gives need theirs alone."""
+    t, user = F.coalesce(text, F.lit("")), F.coalesce(role == "user", F.lit(False))
+    told = notification if notification is not None else is_task_notification(t)
+    out = F.when(user & F.coalesce(compact_summary, F.lit(False)), USER | INTERNAL_CONTEXT).when(user & told, TOOL_RESULT)
+    if kind is not None:
+        for name, bit in _KINDS.items():
+            out = out.when(role.isin("system", "summary") & (kind == name), bit)
     return (
-        F.when(F.coalesce(compact_summary, F.lit(False)), INTERNAL_CONTEXT).when(is_task_notification(t), INTERNAL_CONTEXT).when(is_project_docs(t), PROJECT_DOCS)
-        .when(is_skill(t), SKILL).when(is_internal(t), INTERNAL_CONTEXT).when(role == "user", USER).when(role.isin("assistant", "agent"), AGENT)
-        .when(role == "tool_call", TOOL_CALL).when(role == "tool_result", TOOL_RESULT).when(role == "thinking", AGENT_THINKING).otherwise(INTERNAL_CONTEXT)
+        out.when(user & is_project_docs(t), USER | PROJECT_DOCS).when((role == "system") & is_project_docs(t), PROJECT_DOCS).when(user & is_skill(t), USER | SKILL)
+        .when(user & is_internal(t), USER | INTERNAL_CONTEXT).when(user, USER).when(role.isin("assistant", "agent"), AGENT)
+        .when(role == "tool_call", TOOL_CALL).when(role == "tool_result", TOOL_RESULT).when(role == "thinking", AGENT_THINKING).otherwise(0)
     )
 
 
@@ -73,7 +97,10 @@ def block_mask(kind: Column, role: Column) -> Column:
 
 def masks() -> list[int]:
     """The masks that segments can have; each is a search field of its own."""
-    return [0, USER, AGENT, TOOL_CALL, TOOL_RESULT, TOOL_CALL | TOOL_RESULT, PROJECT_DOCS, SKILL, INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_RESULT, USER_TOOL_CALL | USER_TOOL_RESULT, AGENT_THINKING]
+    return [
+        0, USER, AGENT, AGENT_THINKING, TOOL_CALL, TOOL_RESULT, TOOL_CALL | TOOL_RESULT, PROJECT_DOCS, INTERNAL_CONTEXT, AGENT | INTERNAL_CONTEXT, USER | PROJECT_DOCS, USER | SKILL,
+        USER | INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_CALL | USER_TOOL_RESULT,
+    ]
 
 
 def default_masks(mode: str, display: Display) -> list[int]:
@@ -94,11 +121,14 @@ def segments(rows: DataFrame) -> DataFrame:
     return out.where("text IS NOT NULL AND trim(text) <> ''")
 
 
-def search_fields(rows: DataFrame) -> DataFrame:
-    """(session, mask, text): the text of each session by mask, joined in delivery order with blank lines."""
-    s = segments(rows).where("session IS NOT NULL")
-    grouped = s.groupBy("session", "mask").agg(F.sort_array(F.collect_list(F.struct("row_id", "part", "name", "text"))).alias("t"))
-    return grouped.select("session", "mask", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+def search_fields(rows: DataFrame, size: int = PART) -> DataFrame:
+    """(session, mask, part, text): the text of each session by mask, joined in delivery order with blank lines, ``size`` segments a part; so
+    a session of any length is built by many tasks."""
+    s = numbered(segments(rows).where("session IS NOT NULL"), ["session", "mask", "row_id", "part", "name"], "__nth")
+    first = s.groupBy("session", "mask").agg(F.min("__nth").alias("__first"))
+    placed = s.join(first, ["session", "mask"]).withColumn("__part", F.floor((F.col("__nth") - F.col("__first")) / size).cast("bigint"))
+    grouped = placed.groupBy("session", "mask", F.col("__part").alias("part")).agg(F.sort_array(F.collect_list(F.struct("__nth", "text"))).alias("t"))
+    return grouped.select("session", "mask", "part", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def preview(first_user: Column, first: Column, last: Column) -> Column:

@@ -12,7 +12,7 @@ import html
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, date, datetime, time, tzinfo
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,8 @@ from threadloom.functions.text import GAP, compact, normal_path, path_suffixes,
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
+#: Rows by output: None is no limit.
+LIMITS = {"json": 20, "screen": 2_000, "markdown": 2_000, "zip": None}
 PHRASE_BOOST = 5.0
 WEEK = 604_800.0
 SNIPPET, LEAD = 240, 60
@@ -60,6 +62,7 @@ class Request:
     sort: str = "time"
     limit: int = 20
     now: int = 0
+    mode: str = "all"  # visibility of bare words where the query names none
 
 
 def parse_date(raw: str, end_of_day: bool, zone: tzinfo = UTC) -> int:
@@ -102,6 +105,66 @@ def matching(documents: DataFrame, text: str, defaults: tuple[str, ...] = ("cont
     return documents.where(ql.condition(ql.fold(ql.parse(text, defaults).tree)))
 
 
+# Fields of words without a prefix, by visibility: ``visible`` and ``hidden`` stand for the content that is shown and the content that is not.
+MODES = {"all": ("content",), "visible": ("_visible",), "hidden": ("_hidden",)}
+
+
+def parsed(text: str, mode: str = "all", modes: dict[str, tuple[str, ...]] | None = None) -> ql.Query:
+    """The query, its bare words over the fields of its visibility mode (``mode`` where it names none); conflicting modes are an error."""
+    q = ql.parse(text, lambda named: (modes or MODES)[named or mode])
+    if q.error:
+        raise ValueError(q.error)
+    return q
+
+
+def sessions_matching(parts: DataFrame, key: str, text: str, mode: str = "visible") -> DataFrame:
+    """Keys whose parts together match.  parts: key, the analyzed fields (``indexed``), and ``shown``: whether the part is visible.
+
+    Each part is tested for every leaf alone and the outcomes are joined by ``bool_or``, so the text of a session is never put together and a
+    session of any length is tested by many tasks.  Words with a field prefix are not limited by visibility.  Phrases lie within one part.
+    """
+    tree = ql.fold(parsed(text, mode).tree)
+    leaves = ql.every_leaf(tree)
+    if not leaves:
+        return parts.select(key).distinct() if tree is True else parts.select(key).limit(0)
+
+    def on_part(leaf: ql.Leaf) -> Column:
+        if leaf.field not in ("_visible", "_hidden"):
+            return ql.leaf_condition(leaf)
+        return ql.leaf_condition(replace(leaf, field="content")) & (F.col("shown") if leaf.field == "_visible" else ~F.col("shown"))
+
+    flags = parts.groupBy(key).agg(*[F.bool_or(on_part(leaf)).alias(f"__{k}") for k, leaf in enumerate(leaves)])
+    return flags.where(ql.condition(tree, lambda leaf: F.coalesce(F.col(f"__{leaves.index(leaf)}"), F.lit(False)))).select(key)
+
+
+def matches_document(documents: DataFrame, text: str, key: str, value: object) -> DataFrame:
+    """The document with the key if it matches, else none."""
+    return matching(documents.where(F.col(key) == value), text).limit(1)
+
+
+def find(documents: DataFrame, expression: str, key: str = "doc_id", column: str = "text", regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """(key, nth, start, end): byte ranges of a text's occurrences of an expression, literal or regular, as a reader looks through one text.
+
+    A leading ``(?j)`` or ``(?-j)`` (whether to jump to the first hit) is no part of the expression, unless a back slash stands before it.
+    Nothing to look for, and matches of no length, give no rows; an expression that is none is an error.
+    """
+    rest = expression
+    while m := re.match(r"\(\?-?j\)", rest):
+        rest = rest[m.end() :]
+    rest = rest[1:] if re.match(r"\\\(\?-?j\)", rest) else rest
+    if not rest:
+        return documents.where(F.lit(False)).select(key, F.lit(0).alias("nth"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    if regex:
+        re.compile(rest)
+    pattern = ("" if case_sensitive else "(?iu)") + (rest if regex else ql._q(rest))
+    between, held = F.split(column, pattern, -1), F.regexp_extract_all(column, F.lit(f"({pattern})"), 1)
+    sizes = F.transform(F.arrays_zip(between.alias("b"), held.alias("h")), lambda x: F.struct(F.octet_length(x["b"]).alias("b"), F.octet_length(x["h"]).alias("h")))
+    kind = "struct<at:int,out:array<struct<start:int,end:int>>>"
+    step = lambda a, x: F.struct((a["at"] + x["b"] + F.coalesce(x["h"], F.lit(0))).alias("at"), F.when(x["h"] > 0, F.array_append(a["out"], F.struct((a["at"] + x["b"]).alias("start"), (a["at"] + x["b"] + x["h"]).alias("end")))).otherwise(a["out"]).alias("out"))
+    ranges = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step, lambda a: a["out"])
+    return documents.select(key, F.posexplode(ranges).alias("nth", "r")).select(key, "nth", "r.start", "r.end")
+
+
 def filter_condition(f: Filters, columns: list[str], live: Column | None = None) -> Column:
     """Metadata filters; a filter on a column the table lacks is an error of the caller, defaults on lacking columns hold."""
     c = F.lit(True)
@@ -186,9 +249,16 @@ def scored(documents: DataFrame, text: str, defaults: tuple[str, ...] = ("conten
     return documents.where(ql.condition(tree)).withColumn("score", score)
 
 
-def search(documents: DataFrame, request: Request, key: str = "doc_id", defaults: tuple[str, ...] = ("content",), live: DataFrame | None = None) -> DataFrame:
-    """The best ``limit`` documents (at least 1): time order, or relevance times recency; an empty query lists the most recent."""
+def search(
+    documents: DataFrame, request: Request, key: str = "doc_id", defaults: tuple[str, ...] = ("content",), live: DataFrame | None = None, modes: dict[str, tuple[str, ...]] | None = None
+) -> DataFrame:
+    """The best ``limit`` documents (at least 1): time order, or relevance times recency; an empty query lists the most recent.
+
+    ``modes``: fields of bare words by visibility mode, over columns of the documents; the query's own mode goes before the request's.
+    """
     columns = documents.columns
+    if modes is not None:
+        defaults = modes[parsed(request.query, request.mode, modes).mode or request.mode]
     c = filter_condition(request.filters, columns, F.col("is_live") if live is not None else None)
     if request.scope is not None:
         c = c & scope_condition(request.scope, columns, request.case_sensitive_scope)

@@ -178,7 +178,7 @@ def plan_items(arguments: Column) -> Column:
 
 
 def patch_files(patch: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, op, path, added, removed) of each file section of patches in the marked text form."""
+    """(key, n, op, path, added, removed, body) of each file section of patches in the marked text form; body: the text of an added file."""
     lines = patch.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
     mark = r"^\*\*\* (Add|Update|Delete) File: (.*?)\s*$"
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -187,7 +187,8 @@ def patch_files(patch: DataFrame, key: str, text: str) -> DataFrame:
     return marked.groupBy(key, "n").agg(
         F.max(F.when(head, F.lower(F.regexp_extract("line", mark, 1)))).alias("op"), F.max(F.when(head, F.regexp_extract("line", mark, 2))).alias("path"),
         F.count_if(~head & F.col("line").startswith("+")).alias("added"), F.count_if(~head & F.col("line").startswith("-")).alias("removed"),
-    )
+        F.sort_array(F.collect_list(F.when(~head & F.col("line").startswith("+"), F.struct("at", F.substring("line", 2, 1 << 30).alias("line"))))).alias("body"),
+    ).withColumn("body", F.when(F.col("op") == "add", F.array_join(F.transform("body", lambda x: x["line"]), "\n")))
 
 
 def two_source_merge(full: DataFrame, regular: DataFrame, key: str = "step_index") -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import TOOL_LABELS
+from threadloom.functions.text import label_of
 from threadloom.operators import sessions, structure
 
 
@@ -77,7 +77,7 @@ def _brief(value: object) -> str:
 def call_summary(name: str | None, arguments: str | None) -> str:
     """What a call does, in a line: its command, path, pattern or patch, else its first four plain arguments."""
     value = loads(arguments)
-    label = TOOL_LABELS.get((name or "").strip().lower(), "")
+    label = label_of(name)
     args = value if isinstance(value, dict) else {}
     text = lambda *keys: next((args[k].strip() for k in keys if isinstance(args.get(k), str) and args[k].strip()), None)
     found = None

@@ -57,6 +57,7 @@ class Query:
     diagnostics: list[str] = field(default_factory=list)
     certain: bool = True
     bare: bool = False
+    error: str | None = None  # the one thing that a search refuses: visibility modifiers that conflict
 
 
 def analyze(text: str) -> list[str]:
@@ -276,12 +277,13 @@ def _wildcard(word: str) -> str:
     return "".join(out)
 
 
-def parse(text: str, defaults: tuple[str, ...] = ("content",)) -> Query:
+def parse(text: str, defaults: tuple[str, ...] | Callable[[str | None], tuple[str, ...]] = ("content",)) -> Query:
+    """``defaults``: the fields of words without a prefix, or a function that gives them for the query's visibility mode (None: none named)."""
     rest, mode, error = extract_mode(text)
-    p = _Parser(rest, defaults)
+    p = _Parser(rest, defaults(mode) if callable(defaults) else defaults)
     tree = p.parse()
     bare = bool(re.fullmatch(r"[^\W_]+(?:\s+[^\W_]+)+", rest.strip())) and not re.search(r"\b(?:AND|OR|NOT|IN|TO)\b", rest)
-    return Query(rest, mode, ALL if tree is NONE else tree, ([error] if error else []) + p.diagnostics, p.certain, bare)
+    return Query(rest, mode, ALL if tree is NONE else tree, ([error] if error else []) + p.diagnostics, p.certain, bare, error)
 
 
 def fold(tree):
@@ -360,23 +362,32 @@ def word_condition(leaf: Leaf) -> Callable[[Column], Column]:
     return inside
 
 
-def condition(tree) -> Column:
-    """The matching condition of a folded tree."""
+def condition(tree, on: Callable[[Leaf], Column] = leaf_condition) -> Column:
+    """The matching condition of a folded tree; ``on``: that of a leaf."""
     if isinstance(tree, bool):
         return F.lit(tree)
     if isinstance(tree, Leaf):
-        return leaf_condition(tree)
+        return on(tree)
     out = None
     for x in tree.must:
-        out = condition(x) if out is None else out & condition(x)
+        out = condition(x, on) if out is None else out & condition(x, on)
     if not tree.must and tree.should:
         for x in tree.should:
-            out = condition(x) if out is None else out | condition(x)
+            out = condition(x, on) if out is None else out | condition(x, on)
     for x in tree.must_not:
-        out = ~condition(x) if out is None else out & ~condition(x)
+        out = ~condition(x, on) if out is None else out & ~condition(x, on)
     return F.lit(True) if out is None else out
 
 
+def every_leaf(tree) -> list[Leaf]:
+    """Leaves of all clauses, excluding ones too, each once."""
+    if isinstance(tree, bool):
+        return []
+    if isinstance(tree, Leaf):
+        return [tree]
+    return list(dict.fromkeys(x for part in (tree.must, tree.should, tree.must_not) for n in part for x in every_leaf(n)))
+
+
 def leaves(tree, positive: bool = True) -> list[Leaf]:
     """Leaves of the positive clauses, in order."""
     if isinstance(tree, bool):

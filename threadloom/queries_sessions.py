@@ -168,11 +168,52 @@ def search_fields(spark: SparkSession, sf: str) -> DataFrame:
     return projection.search_fields(table(spark, sf, "rich_content"))
 
 
+# What generated messages begin with, set round a row's text by the flags that the row has, so that each rule of J4 meets rows.
+_FORMED = """CASE WHEN isSidechain THEN concat('# AGENTS.md instructions for /x', chr(10), coalesce(message.content, '')) WHEN isMeta THEN '<skill>x</skill> and more' WHEN gitBranch IS NULL THEN '<goal_context>x</goal_context>'
+  WHEN slug IS NULL THEN ' <task-notification>x</task-notification>' ELSE message.content END"""
+
+
 def message_masks(spark: SparkSession, sf: str) -> DataFrame:
     """J4."""
-    rows = _basic(spark, sf).where("message IS NOT NULL")
-    mask = projection.message_mask(F.coalesce("message.role", "type"), F.col("message.content"), F.col("isCompactSummary"))
-    return rows.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = _basic(spark, sf).where("message IS NOT NULL").withColumn("text", F.expr(_FORMED))
+    mask = projection.message_mask(F.coalesce("message.role", "type"), F.col("text"), F.col("isCompactSummary"))
+    return rows.select("row_id", mask.alias("mask"))
+
+
+def _shown_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as parts of sessions: analyzed content, the user's own words, and whether they show by default."""
+    rows = _basic(spark, sf).where("message IS NOT NULL AND sessionId IS NOT NULL")
+    role = F.coalesce("message.role", "type")
+    mask = projection.message_mask(role, F.col("message.content"), F.col("isCompactSummary"))
+    parts = rows.select(F.lower("sessionId").alias("session_id"), F.col("message.content").alias("text"), F.when(role == "user", F.col("message.content")).alias("said"), projection.visible(mask, projection.Display()).alias("shown"))
+    return search.indexed(parts, {"content": "text", "user": "said"})
+
+
+# Each query text beside the SQL condition over h(x): some part of the session holds the word x, with s = shown, c = padded words, u = the user's.
+VISIBLE = {
+    "q02_visible": ("visible: summary parser", "bool_or(s AND c LIKE '% summary %') AND bool_or(s AND c LIKE '% parser %')"),
+    "q02_hidden": ("hidden: the", "bool_or(NOT s AND c LIKE '% the %')"),
+    "q02_all": ("all: session NOT cache", "bool_or(c LIKE '% session %') AND NOT bool_or(c LIKE '% cache %')"),
+    "q02_default": ("parser AND NOT ledger", "bool_or(s AND c LIKE '% parser %') AND NOT bool_or(s AND c LIKE '% ledger %')"),
+    "q02_prefixed": ("hidden: the OR user:parser", "bool_or(NOT s AND c LIKE '% the %') OR bool_or(u LIKE '% parser %')"),
+}
+
+
+def _seen(text: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return search.sessions_matching(_shown_parts(spark, sf), "session_id", text)
+
+    return run
+
+
+def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """S9, JN8: sessions found that are running: those of the last delivery."""
+    rows = _basic(spark, sf)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    live = rows.where((F.col("batch_id") == F.lit(last)) & F.col("sessionId").isNotNull()).select(F.lit("transcript").alias("agent"), F.lower("sessionId").alias("session_id"))
+    found = sessions.transcript_sessions(rows)
+    hits = search.search(found, search.Request(filters=search.Filters(live_only=True, include_sub_agents=True), limit=100_000), key="session_id", live=live)
+    return hits.select("session_id", "is_live", "modified_ts")
 
 
 def tool_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +224,7 @@ def tool_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Hash of the multiset of lines of each text."""
-    return table(spark, sf, "documents").select("doc_id", tx.line_fingerprint(F.split("text", "\n")).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", tx.line_fingerprint(F.col("text")).alias("hash"))
 
 
 def query_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,6 +249,11 @@ def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.markdown(_messages(spark, sf))
 
 
+def export_text(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: role, time and text of each turn."""
+    return sinks.plain_text(_messages(spark, sf))
+
+
 def export_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """K1."""
     return sinks.compact_json(sessions.transcript_sessions(_basic(spark, sf)).select("session_id", "cwd", "branch", "first_user_msg_content", "lines"))
@@ -272,7 +318,7 @@ _ALL = (
     history_headers, history_tips, thread_names, sync_changes, sync_statistics, sync_whole, sync_whole_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
     query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in (*_ALL, live_sessions, export_text)} | {name: _seen(text) for name, (text, _) in VISIBLE.items()}
 
 _LINES = "SELECT DISTINCT ON (file_id, line_no) * FROM {t} ORDER BY file_id, line_no, ingested_at, row_id"
 _ROLE = "coalesce(message.role, type)"
@@ -368,19 +414,19 @@ e0 AS (SELECT DISTINCT lower(sessionId) AS a, lower(forkedFrom.sessionId) AS b F
 e AS (SELECT a, b FROM e0 WHERE b IN (SELECT v FROM v) UNION SELECT b, a FROM e0 WHERE b IN (SELECT v FROM v)),
 r AS (SELECT v AS s, v AS x FROM v UNION SELECT r.s, e.b FROM r JOIN e ON r.x = e.a)
 SELECT s AS session_id, min(x) AS family FROM r GROUP BY 1""",
-    "message_masks": r"""
-SELECT CASE WHEN coalesce(isCompactSummary, false) THEN 64 WHEN regexp_matches(t, '(?s)^\s*<task-notification>.*</task-notification>\s*$') THEN 64
-  WHEN regexp_matches(t, '(?is)^\s*(?:# AGENTS\.md instructions|<project-docs>|<user_instructions>)') THEN 16 WHEN regexp_matches(t, '(?is)^\s*(?:<skill>|base directory for this skill:)') THEN 32
-  WHEN regexp_matches(t, '(?is)^\s*<(?:environment_context|system-reminder|permissions instructions|turn_context|ide_context|internal_context)\b') THEN 64
-  WHEN role = 'user' THEN 1 WHEN role IN ('assistant', 'agent') THEN 2 ELSE 64 END AS mask, count(*) AS rows
-FROM (SELECT isCompactSummary, coalesce(message.content, '') AS t, coalesce(message.role, type) AS role FROM basic_session WHERE message IS NOT NULL) GROUP BY 1""",
+    # Bits: 1 user, 2 agent, 8 tool result, 16 documents, 32 skill, 64 context.
+    "message_masks": """
+SELECT row_id, CASE WHEN role = 'user' THEN CASE WHEN isCompactSummary THEN 65 WHEN form = 'docs' THEN 17 WHEN form = 'skill' THEN 33 WHEN form = 'context' THEN 65 WHEN form = 'told' THEN 8 ELSE 1 END
+  WHEN role = 'assistant' THEN 2 WHEN role = 'system' AND form = 'docs' THEN 16 ELSE 0 END AS mask
+FROM (SELECT row_id, isCompactSummary, coalesce(message.role, type) AS role, CASE WHEN isSidechain THEN 'docs' WHEN isMeta THEN 'skill' WHEN gitBranch IS NULL THEN 'context' WHEN slug IS NULL THEN 'told' END AS form FROM basic_session WHERE message IS NOT NULL)""",
     "query_history": """
 SELECT query, CAST(floor(epoch(saved_at)) AS BIGINT) AS saved_at FROM (SELECT title AS query, max(created_at) AS saved_at FROM documents WHERE title IS NOT NULL GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 100)""",
     "rule_proposals": f"""
 SELECT 'short' AS rule, lower(sessionId) AS session_id, 'trash' AS action, count(*) FILTER ({_ROLE} = 'user') || ' user turns' AS reason FROM basic_session
 WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant') GROUP BY lower(sessionId) HAVING count(*) FILTER ({_ROLE} = 'user') <= 3""",
     "line_fingerprints": """
-SELECT doc_id, sha256(array_to_string(list_transform(list_sort(list_filter(string_split(text, chr(10)), lambda x: x <> '')), lambda x: strlen(x) || ':' || x), '')) AS hash FROM documents""",
+SELECT doc_id, sha256(unhex(array_to_string(list_transform(list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda l: rtrim(l, chr(13))), lambda l: l <> '')),
+  lambda l: rpad(printf('%02X%02X%02X', strlen(l) % 256, strlen(l) // 256 % 256, strlen(l) // 65536), 16, '0') || hex(l)), ''))) AS hash FROM documents""",
     "activity_spans": """
 WITH b AS (SELECT lower(sessionId) AS s, epoch_us(timestamp) AS t FROM basic_session WHERE sessionId IS NOT NULL AND timestamp IS NOT NULL),
 g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY s ORDER BY t) <= 1800000000 THEN 0 ELSE 1 END AS starts FROM b),
@@ -389,9 +435,10 @@ SELECT s AS session_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count
     "step_merge": """
 WITH a AS (SELECT row_id, file_id % 1000000 * 1000 + line_no AS step_index, 'full' AS src FROM latest_format), b AS (SELECT row_id, file_id % 1000000 * 1000 + line_no AS step_index, 'regular' AS src FROM new_format)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE step_index NOT IN (SELECT step_index FROM a)""",
-    "tool_labels": "SELECT CASE lower(trim(name)) "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.TOOL_LABELS.items())
-    + " ELSE trim(name) END AS label, count(*) AS calls FROM (SELECT unnest(message.content).name AS name FROM rich_content) WHERE name IS NOT NULL GROUP BY 1",
+    "tool_labels": """
+SELECT CASE WHEN n IN ('bash', 'shell', 'shell_command', 'exec_command', 'execute', 'terminal') THEN 'bash' WHEN n IN ('read', 'write', 'edit', 'glob', 'grep', 'agent') THEN n WHEN n IN ('readfile', 'read_file') THEN 'read' WHEN n IN ('writefile', 'write_file') THEN 'write'
+  WHEN n IN ('editfile', 'edit_file') THEN 'edit' WHEN n IN ('patch', 'apply_patch') THEN 'patch' WHEN n IN ('websearch', 'web_search') THEN 'search' WHEN n IN ('webfetch', 'web_fetch') THEN 'fetch' ELSE trim(name) END AS label, count(*) AS calls
+FROM (SELECT name, replace(lower(trim(name)), '-', '_') AS n FROM (SELECT unnest(message.content).name AS name FROM rich_content)) WHERE name IS NOT NULL GROUP BY 1""",
     "sync_statistics": """
 WITH a AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id > 1 GROUP BY 1),
 b AS (SELECT lower(sessionId) AS path, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m, count(*) AS n FROM basic_session WHERE sessionId IS NOT NULL AND batch_id <= 5 GROUP BY 1),
@@ -399,10 +446,53 @@ c AS (SELECT a.path AS p, b.path AS q, a.m IS DISTINCT FROM b.m OR a.n <> b.n AS
 SELECT count(*) FILTER (p IS NOT NULL) AS scanned, count(*) FILTER (p IS NOT NULL AND (q IS NULL OR differs)) AS updated,
   count(*) FILTER (p IS NOT NULL AND q IS NOT NULL AND NOT differs) AS skipped, count(*) FILTER (p IS NULL) AS removed FROM c""",
     "visibility": _SEGMENTS + """ SELECT mask, count(*) AS parts, CAST(sum(length(text)) AS BIGINT) AS chars, (mask & 592) = 0 AS shown FROM s GROUP BY 1""",
-    "search_fields": _SEGMENTS + """ SELECT session, mask, string_agg(text, chr(10) || chr(10) ORDER BY row_id, part, name) AS text FROM s WHERE session IS NOT NULL GROUP BY 1, 2""",
+    "search_fields": _SEGMENTS + """, o AS (SELECT *, (row_number() OVER (PARTITION BY session, mask ORDER BY row_id, part, name) - 1) // 2000 AS chunk FROM s WHERE session IS NOT NULL)
+SELECT session, mask, CAST(chunk AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY row_id, part, name) AS text FROM o GROUP BY session, mask, chunk""",
+    "export_markdown": f"""
+WITH t AS (SELECT lower(sessionId) AS session_id, row_id, {_ROLE} AS r, coalesce(message.content, '') AS c, coalesce(' · ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S'), '') AS tm FROM basic_session WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant')),
+o AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1) // 2000 AS p, count(*) OVER (PARTITION BY session_id) AS n FROM t)
+SELECT session_id, CAST(p AS BIGINT) AS part, CASE WHEN p = 0 THEN '# Session ' || session_id || chr(10) || chr(10) || '- turns: ' || min(n) || chr(10) || chr(10) ELSE '' END ||
+  string_agg('## ' || upper(left(r, 1)) || substr(r, 2) || tm || chr(10) || chr(10) || c || chr(10), chr(10) ORDER BY row_id) AS text FROM o GROUP BY session_id, p""",
+    "export_text": f"""
+WITH t AS (SELECT lower(sessionId) AS session_id, row_id, '[' || {_ROLE} || coalesce(' ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ'), '') || '] ' || coalesce(message.content, '') AS line FROM basic_session WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant')),
+o AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1) // 2000 AS p FROM t)
+SELECT session_id, CAST(p AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY row_id) AS text FROM o GROUP BY session_id, p""",
+    "export_names": r"""
+WITH d AS (SELECT doc_id, concat_ws('-', strftime(created_at, '%Y-%m-%d'), split_part(source, '/', 1), left(regexp_replace(coalesce(session_id, 'none'), '[^\w-]', '', 'g'), 8),
+  nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), '-+$', ''), '')) AS stem FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) - 1 AS k FROM d)
+SELECT doc_id, stem || CASE WHEN k > 0 THEN '-' || k ELSE '' END || '.md' AS file_name FROM n""",
+    "live_sessions": f"""
+SELECT lower(sessionId) AS session_id, true AS is_live, greatest(coalesce(CAST(floor(epoch(max(timestamp))) AS BIGINT), 0), 0) AS modified_ts FROM basic_session
+WHERE sessionId IS NOT NULL GROUP BY 1 HAVING max(batch_id) = (SELECT max(batch_id) FROM basic_session) AND count(*) FILTER ({_SAID} AND {_ROLE} IN ('user', 'assistant')) > 0""",
+    "history_tips": """
+WITH j AS (SELECT CAST(file_id AS VARCHAR) AS path, line_no, TRY_CAST(line AS JSON) AS v FROM rollout_raw),
+m AS (SELECT path, line_no, v ->> '$.type' AS type, coalesce(v ->> '$.payload.id', CASE WHEN line_no = 1 THEN v ->> '$.id' END) AS thread_id, v ->> '$.payload.history_base.thread_id' AS base_id FROM j WHERE v IS NOT NULL),
+h AS (SELECT DISTINCT ON (path) path, thread_id, base_id FROM m WHERE thread_id IS NOT NULL AND (type = 'session_meta' OR type IS NULL) ORDER BY path, line_no),
+b AS (SELECT h.*, EXISTS (SELECT 1 FROM h x WHERE x.thread_id = h.thread_id AND x.base_id = h.thread_id AND x.path <> h.path) AS is_base FROM h),
+c AS (SELECT * FROM b WHERE NOT is_base OR NOT EXISTS (SELECT 1 FROM b y WHERE y.thread_id = b.thread_id AND NOT y.is_base))
+SELECT thread_id, path, CASE WHEN count(*) OVER (PARTITION BY thread_id) > 1 THEN 'ambiguous' ELSE 'complete' END AS status FROM c""",
+    "discovery_records": f"""
+WITH s AS (SELECT lower(sessionId) AS session_id, arg_min(cwd, row_id) FILTER (cwd IS NOT NULL) AS cwd, arg_min(gitBranch, row_id) FILTER (gitBranch IS NOT NULL) AS branch, arg_max(slug, row_id) FILTER (slug IS NOT NULL) AS slug, count(*) AS lines,
+  bool_and(coalesce(isSidechain, false)) AS is_sidechain, arg_min({_ROLE}, row_id) FILTER ({_SAID}) AS first_msg_role, arg_max({_ROLE}, row_id) FILTER ({_SAID}) AS last_msg_role, arg_max(message.content, row_id) FILTER ({_SAID}) AS lm,
+  arg_min(message.content, row_id) FILTER ({_SAID} AND {_ROLE} = 'user' AND NOT coalesce(isCompactSummary, false)) AS fu, count(*) FILTER ({_SAID} AND {_ROLE} IN ('user', 'assistant')) AS turns FROM basic_session WHERE sessionId IS NOT NULL GROUP BY 1),
+f AS (SELECT *, trim(regexp_replace(fu, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(lm, '\\s+', ' ', 'g')) AS l, lower(coalesce(cwd, session_id)) AS p FROM s WHERE turns > 0)
+SELECT session_id, 'transcript' AS agent, coalesce(cwd, session_id) AS project, branch, cwd, lines, first_msg_role, CASE WHEN length(t) > 512 THEN left(t, 511) || '…' ELSE t END AS first_user_msg_content, last_msg_role,
+  CASE WHEN length(l) > 512 THEN left(l, 511) || '…' ELSE l END AS last_msg_content, CASE WHEN is_sidechain OR regexp_matches(p, '(^|/)subagents(/|$)') THEN 'sub_agent' WHEN contains(p, 'trimmed') THEN 'trimmed' WHEN contains(p, 'continued') THEN 'continued'
+       WHEN contains(p, 'rollover') THEN 'rollover' ELSE 'original' END AS derivation_type, is_sidechain, slug FROM f""",
     "history_headers": """
 WITH j AS (SELECT CAST(file_id AS VARCHAR) AS path, line_no, TRY_CAST(line AS JSON) AS v FROM rollout_raw),
 m AS (SELECT path, line_no, v ->> '$.type' AS type, coalesce(v ->> '$.payload.id', CASE WHEN line_no = 1 THEN v ->> '$.id' END) AS thread_id, v ->> '$.payload.history_base.thread_id' AS base_id,
   CAST(v ->> '$.payload.history_base.end_ordinal_exclusive' AS BIGINT) AS base_end_ordinal, v ->> '$.payload.history_mode' AS mode FROM j WHERE v IS NOT NULL)
 SELECT DISTINCT ON (path) path, thread_id, base_id, base_end_ordinal, mode FROM m WHERE thread_id IS NOT NULL AND (type = 'session_meta' OR type IS NULL) ORDER BY path, line_no""",
 }
+ORACLE |= {
+    name: f"""
+WITH r AS (SELECT lower(sessionId) AS session_id, coalesce(message.content, '') AS t, coalesce(message.role, type) AS role, coalesce(isCompactSummary, false) AS k FROM basic_session WHERE message IS NOT NULL AND sessionId IS NOT NULL),
+p AS (SELECT session_id, ' ' || array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), ' ') || ' ' AS c, role,
+  NOT (role = 'user' AND (k OR regexp_matches(t, '^\\s*(?:(?:# )?(?:AGENTS|CLAUDE)\\.md instructions(?: for [^\\n]*)?[ \\t\\r]*(?:\\n|$)|<INSTRUCTIONS>)') OR regexp_matches(t, '(?i)^\\s*<(?:codex_internal_context|goal_context)'))
+    OR role = 'system' AND regexp_matches(t, '^\\s*(?:(?:# )?(?:AGENTS|CLAUDE)\\.md instructions|<INSTRUCTIONS>)')) AS s FROM r),
+q AS (SELECT *, CASE WHEN role = 'user' THEN c ELSE '' END AS u FROM p)
+SELECT session_id FROM q GROUP BY session_id HAVING {condition}"""
+    for name, (_, condition) in VISIBLE.items()
+}
