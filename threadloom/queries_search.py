@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.operators import search
-from threadloom.util import table
+from threadloom.operators import index, search
+from threadloom.util import ensure_checkpoint_dir, table
 
 NOW = 1_780_000_000
 
@@ -149,8 +151,76 @@ def k10_find(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?i)time ?stamp|ledger\w*")).cast("bigint").alias("n")).where("n > 0")
 
 
-_EXTRA = (search_relevance, s11_bm25, s02_relevance, s04_time, s05_recent, s08_filters, s07_scope, q24_occurrences, index_postings, q09_by_postings, j11_compact, j13_suffixes, k10_find)
+def _stored(spark: SparkSession, sf: str) -> index.Index:
+    """The index of the documents in the shared folder, built once for a session: all documents, then an update by which those of the first half
+    are replaced by themselves."""
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/index-{zlib.crc32(f'{spark.sparkContext.applicationId} {sf}'.encode()):08x}"
+    stored = index.Index(spark, at, "doc_id", {"content": "text", "user": "title"})
+    if not stored.manifest()["segments"]:
+        d = table(spark, sf, "documents").select("doc_id", "text", "title", "lang", F.unix_timestamp("created_at").alias("modified_ts"), F.split_part("source", F.lit("/"), F.lit(1)).alias("agent"))
+        half = d.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0] or 0
+        stored.update(d.withColumn("title", F.when(F.col("doc_id") > half, F.col("title")).otherwise("old title")))
+        stored.update(d.where(F.col("doc_id") <= half))
+    return stored
+
+
+def _indexed(text: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _stored(spark, sf).matching(text).select("doc_id")
+
+    return run
+
+
+# The queries that are answered from the stored index as well, with the same SQL.
+STORED = ("q04_term", "q06_boolean", "q07_pure_negative", "q03_field", "q09_phrase", "q10_sloppy", "q11_phrase_prefix", "q12_wildcard", "q13_term_regex", "q17_term_range", "q18_set", "q20_all")
+
+
+def i_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """S1-S3 and S11 from the stored index."""
+    request = search.Request("ledger OR observability", sort="relevance", limit=50, now=NOW)
+    return _stored(spark, sf).search(request).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def i_time(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 and S8 from the stored index."""
+    request = search.Request("parser NOT ledger", search.Filters(agent="wiki", after=1_768_000_000), limit=25)
+    return _stored(spark, sf).search(request).select("doc_id", "modified_ts")
+
+
+def i_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and words that the index holds after an update."""
+    m = _stored(spark, sf).manifest()
+    return spark.createDataFrame([(m["version"], m["n"], m["total"]["content"])], "version bigint, n bigint, total bigint")
+
+
+def q21_boost(spark: SparkSession, sf: str) -> DataFrame:
+    """Q21: a boosted word."""
+    return search.scored(corpus(spark, sf), "ledger^3 OR observability").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def q22_phrase_boost(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22: two bare words; documents that hold them as a phrase rank higher."""
+    return search.scored(corpus(spark, sf), "trash folder").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def k10_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte ranges of a literal, without letter case, and of a regular expression, with it."""
+    d = table(spark, sf, "documents")
+    literal = search.find(d, "(?-j)The Ledger").withColumn("how", F.lit("literal"))
+    return literal.unionByName(search.find(d, "led(g)er\\w*", regex=True, case_sensitive=True).withColumn("how", F.lit("regex")))
+
+
+def s10_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the newest document that names the parser matches."""
+    d = corpus(spark, sf)
+    newest = d.where(F.col("norm_content").contains(" parser ")).agg(F.max("doc_id")).first()[0]
+    return search.matches_document(d, "parser", "doc_id", newest).select("doc_id").unionByName(search.matches_document(d, "NOT parser", "doc_id", newest).select("doc_id"))
+
+
+_EXTRA = (i_relevance, i_time, i_manifest, q21_boost, q22_phrase_boost, k10_ranges, s10_document, search_relevance, s11_bm25, s02_relevance, s04_time, s05_recent, s08_filters, s07_scope, q24_occurrences, index_postings, q09_by_postings, j11_compact, j13_suffixes, k10_find)
 QUERIES |= {f.__name__: f for f in _EXTRA} | {name: _places(text) for name, (text, *_) in PLACES.items()}
+QUERIES |= {f"i{name[1:]}": _indexed(MATCHES[name][0]) for name in STORED}
 
 _BM25 = (
     _CORPUS
@@ -161,7 +231,26 @@ b AS (SELECT doc_id, modified_ts,
    CASE WHEN ta > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * ta * 2.2 / (ta + 1.2 * (0.25 + 0.75 * dl / al)) ELSE 0 END
  + CASE WHEN tb > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * tb * 2.2 / (tb + 1.2 * (0.25 + 0.75 * dl / al)) ELSE 0 END AS score FROM t WHERE ta > 0 OR tb > 0)"""
 )
+ORACLE |= {f"i{name[1:]}": ORACLE[name] for name in STORED}
+
+
+def _two_words(a: str, b: str, boost: float) -> str:
+    return _BM25.replace("ledger", a).replace("observability", b).replace("CASE WHEN ta > 0 THEN ln", f"CASE WHEN ta > 0 THEN {boost} * ln")
+
+
 ORACLE |= {
+    "q21_boost": _two_words("ledger", "observability", 3.0) + " SELECT doc_id, round(score, 6) AS score FROM b",
+    "q22_phrase_boost": _two_words("trash", "folder", 1.0).replace("WHERE ta > 0 OR tb > 0", "WHERE ta > 0 AND tb > 0")
+    + """, h AS (SELECT doc_id, CAST(len(regexp_extract_all(c, ' trash folder(?: |$)')) AS DOUBLE) AS tp, dl, al, n, da, db FROM t)
+SELECT b.doc_id, round(b.score + CASE WHEN tp > 0 THEN 5 * (ln(1 + (n - da + 0.5) / (da + 0.5)) + ln(1 + (n - db + 0.5) / (db + 0.5))) * tp * 2.2 / (tp + 1.2 * (0.25 + 0.75 * dl / al)) ELSE 0 END, 6) AS score FROM b JOIN h ON b.doc_id = h.doc_id""",
+    "i_manifest": _CORPUS + " SELECT CAST(2 AS BIGINT) AS version, count(*) AS n, CAST(sum(len(list_filter(string_split(trim(c), ' '), lambda t: t <> '' AND t <> chr(1)))) AS BIGINT) AS total FROM d",
+    "s10_document": _CORPUS + " SELECT max(doc_id) AS doc_id FROM d WHERE c LIKE '% parser %'",
+    "k10_ranges": r"""
+WITH m AS (SELECT doc_id, 'literal' AS how, regexp_extract_all(text, '(?i)the ledger') AS h, regexp_split_to_array(text, '(?i)the ledger') AS b FROM documents
+  UNION ALL SELECT doc_id, 'regex', regexp_extract_all(text, 'ledger\w*'), regexp_split_to_array(text, 'ledger\w*') FROM documents),
+u AS (SELECT doc_id, how, h, b, unnest(range(1, len(h) + 1)) AS k FROM m),
+z AS (SELECT doc_id, how, k, strlen(h[k]) AS size, list_sum(list_transform(b[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: strlen(x))), 0) AS s FROM u)
+SELECT doc_id, how, CAST(k - 1 AS INT) AS nth, CAST(s AS INT) AS start, CAST(s + size AS INT) AS "end" FROM z""",
     "s11_bm25": _BM25 + " SELECT doc_id, round(score, 6) AS score FROM b",
     "s02_relevance": _BM25
     + f", r AS (SELECT doc_id, modified_ts, score * (1 + exp(-greatest({NOW} - modified_ts, 0) / 604800.0)) AS score FROM b) SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM r ORDER BY score DESC, modified_ts DESC, doc_id LIMIT 50)",
@@ -182,6 +271,7 @@ SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term
 SELECT cwd, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT cwd, string_split(regexp_replace(cwd, '/+$', ''), '/') AS p FROM basic_session WHERE cwd IS NOT NULL))) WHERE suffix <> ''""",
     "k10_find": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)time ?stamp|ledger\w*')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)time ?stamp|ledger\w*')",
 }
+ORACLE |= {"i_relevance": ORACLE["s02_relevance"], "i_time": ORACLE["s04_time"]}
 ORACLE |= {
     name: f"""{_CORPUS}, w AS (SELECT doc_id, string_split(trim({words}), ' ') AS t FROM d WHERE {condition}), o AS (SELECT doc_id, t, unnest({places}) AS r FROM w)
 SELECT doc_id, '{field}' AS field, array_to_string(t[r.i:r.e], ' ') AS term, CAST(r.i - 1 AS INT) AS position, CAST(r.e - r.i + 1 AS INT) AS words FROM o"""
