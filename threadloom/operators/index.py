@@ -33,25 +33,6 @@ class Busy(Exception):
     """Another writer committed first."""
 
 
-def entries(documents: DataFrame, key: str, fields: dict[str, str], keep: tuple[str, ...] = ("modified_ts",)) -> DataFrame:
-    """(term, field, key, tf, positions, len, *keep): the postings of each document, made inside its row; nothing is shuffled."""
-
-    def of(column: str) -> Column:
-        places = F.transform(words(F.col(column)), lambda w, k: F.struct(w.alias("w"), k.alias("k")))
-        return F.array_sort(F.filter(places, lambda x: F.octet_length(x["w"]) < LONG_TOKEN_BYTES))
-
-    out = None
-    for name, column in fields.items():
-        rows = documents.select(F.col(key), *keep, F.explode(F.array(of(column))).alias("__s")).withColumn("len", F.size("__s")).where("len > 0")
-        starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("__s", i)["w"] != F.get("__s", i - 1)["w"]))
-        rows = rows.withColumn("__b", F.explode(F.array(starts)))
-        runs = F.transform(F.arrays_zip(F.col("__b").alias("a"), F.array_append(F.slice("__b", F.lit(2), F.size("__b")), F.col("len")).alias("z")), lambda r: F.struct(
-            F.get("__s", r["a"])["w"].alias("term"), (r["z"] - r["a"]).alias("tf"), F.transform(F.slice("__s", r["a"] + 1, r["z"] - r["a"]), lambda x: x["k"]).alias("positions")))
-        part = rows.select(key, *keep, "len", F.lit(name).alias("field"), F.inline(runs))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -104,7 +85,7 @@ class Index:
         name = f"segment-{before['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.directory}/{name}"
         timed = fresh if "modified_ts" in fresh.columns else fresh.withColumn("modified_ts", F.lit(0).cast("bigint"))
-        made = entries(timed, self.key, self.fields).withColumn("bucket", bucket(F.col("term")))
+        made = search.entries(timed, self.key, self.fields, ("modified_ts",)).withColumn("bucket", bucket(F.col("term")))
         made.repartition(BUCKETS, "bucket", "term").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
         lengths = {f: F.size(F.filter(words(F.col(c)), lambda w: F.octet_length(w) < LONG_TOKEN_BYTES)).cast("bigint").alias(f"len_{f}") for f, c in self.fields.items()}
         timed.select("*", *lengths.values()).drop(*set(self.fields.values())).write.parquet(f"{at}/catalog")

@@ -18,7 +18,7 @@ from datetime import UTC, date, datetime, time, tzinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import GAP, compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
+from threadloom.functions.text import GAP, LONG_TOKEN_BYTES, compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
 from threadloom.plans import query as ql
 
 K1, B = 1.2, 0.75
@@ -351,10 +351,28 @@ def occurrences(documents: DataFrame, text: str, key: str = "doc_id", defaults:
     return out
 
 
+def entries(documents: DataFrame, key: str, fields: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, field, key, tf, positions, len, *keep): the postings of each document, made inside its row; nothing is shuffled."""
+
+    def of(column: str) -> Column:
+        places = F.transform(words(F.col(column)), lambda w, k: F.struct(w.alias("w"), k.alias("k")))
+        return F.array_sort(F.filter(places, lambda x: F.octet_length(x["w"]) < LONG_TOKEN_BYTES))
+
+    out = None
+    for name, column in fields.items():
+        rows = documents.select(F.col(key), *keep, F.explode(F.array(of(column))).alias("__s")).withColumn("len", F.size("__s")).where("len > 0")
+        starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("__s", i)["w"] != F.get("__s", i - 1)["w"]))
+        rows = rows.withColumn("__b", F.explode(F.array(starts)))
+        runs = F.transform(F.arrays_zip(F.col("__b").alias("a"), F.array_append(F.slice("__b", F.lit(2), F.size("__b")), F.col("len")).alias("z")), lambda r: F.struct(
+            F.get("__s", r["a"])["w"].alias("term"), (r["z"] - r["a"]).alias("tf"), F.transform(F.slice("__s", r["a"] + 1, r["z"] - r["a"]), lambda x: x["k"]).alias("positions")))
+        part = rows.select(key, *keep, "len", F.lit(name).alias("field"), F.inline(runs))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def postings(documents: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, positions): the inverted index, to be written partitioned by a hash of the term."""
-    every = documents.select(key, F.posexplode(words(text)).alias("position", "term")).where(F.octet_length("term") < 40)
-    return every.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """(term, key, tf, positions): the inverted index of one text."""
+    return entries(documents.select(key, text.alias("__text")), key, {"content": "__text"}).select("term", key, "tf", "positions")
 
 
 def _minus(k: int):

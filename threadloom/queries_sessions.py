@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import rules, sinks
 from threadloom.functions import text as tx
-from threadloom.operators import history, lineage, projection, search, sessions, sync, tools
+from threadloom.operators import cells, history, lineage, projection, search, sessions, sync, tools
 from threadloom.streaming import ingest
 from threadloom.util import table
 
@@ -206,6 +206,20 @@ def _seen(text: str):
     return run
 
 
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.parse([("transcript", table(spark, sf, "rich_content")), *[("rollout", table(spark, sf, t)) for t in ("old_format", "new_format", "latest_format")]])
+
+
+def parse_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of all producers and formats."""
+    return _cells(spark, sf)
+
+
+def session_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of cells by session."""
+    return cells.metrics(_cells(spark, sf))
+
+
 def live_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """S9, JN8: sessions found that are running: those of the last delivery."""
     rows = _basic(spark, sf)
@@ -318,7 +332,7 @@ _ALL = (
     history_headers, history_tips, thread_names, sync_changes, sync_statistics, sync_whole, sync_whole_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
     query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
 )
-QUERIES = {f.__name__: f for f in (*_ALL, live_sessions, export_text)} | {name: _seen(text) for name, (text, _) in VISIBLE.items()}
+QUERIES = {f.__name__: f for f in (*_ALL, live_sessions, export_text, parse_cells, session_metrics)} | {name: _seen(text) for name, (text, _) in VISIBLE.items()}
 
 _LINES = "SELECT DISTINCT ON (file_id, line_no) * FROM {t} ORDER BY file_id, line_no, ingested_at, row_id"
 _ROLE = "coalesce(message.role, type)"
@@ -496,3 +510,40 @@ q AS (SELECT *, CASE WHEN role = 'user' THEN c ELSE '' END AS u FROM p)
 SELECT session_id FROM q GROUP BY session_id HAVING {condition}"""
     for name, (_, condition) in VISIBLE.items()
 }
+
+_LABEL = """CASE WHEN n IN ('bash', 'shell', 'shell_command', 'exec_command', 'execute', 'terminal') THEN 'bash' WHEN n IN ('read', 'write', 'edit', 'glob', 'grep', 'agent') THEN n WHEN n IN ('readfile', 'read_file') THEN 'read' WHEN n IN ('writefile', 'write_file') THEN 'write'
+  WHEN n IN ('editfile', 'edit_file') THEN 'edit' WHEN n IN ('patch', 'apply_patch') THEN 'patch' WHEN n IN ('websearch', 'web_search') THEN 'search' WHEN n IN ('webfetch', 'web_fetch') THEN 'fetch' ELSE trim(name) END"""
+_JOINED = "nullif(array_to_string(list_filter(list_transform({c}, lambda x: x.text), lambda x: x IS NOT NULL), chr(10)), '')"
+_CELLS = f"""
+WITH o AS ({_LINES.format(t="old_format")}), w AS ({_LINES.format(t="new_format")}), l AS ({_LINES.format(t="latest_format")}),
+e AS (
+  SELECT 'old' AS src, file_id, line_no, CASE WHEN record_type = 'state' THEN 'state' ELSE coalesce(type, 'session_meta') END AS kind, role, coalesce({_JOINED.format(c="content")}, {_JOINED.format(c="summary")}) AS text, name, arguments, call_id, output, NULL::INT AS exit_code FROM o
+  UNION ALL SELECT 'new', file_id, line_no, coalesce(payload.type, type), payload.role, coalesce(payload.message, payload.text, {_JOINED.format(c="payload.content")}, {_JOINED.format(c="payload.summary")}), payload.name, payload.arguments, payload.call_id, payload.output, NULL FROM w
+  UNION ALL SELECT 'latest', file_id, line_no, coalesce(payload.type, type), payload.role, coalesce(payload.message, payload.text, {_JOINED.format(c="payload.content")}, {_JOINED.format(c="payload.summary")}), payload.name, coalesce(payload.arguments, payload.input), payload.call_id,
+    coalesce(payload.output, payload.aggregated_output), payload.exit_code FROM l
+), r AS (SELECT *, replace(lower(trim(name)), '-', '_') AS n, kind IN ('function_call', 'custom_tool_call') AS is_call, kind LIKE '%call_output' AS is_out, kind IN ('exec_command_end', 'patch_apply_end', 'web_search_end') AS is_end FROM e),
+p AS (SELECT DISTINCT ON (src, file_id, call_id) src, file_id, call_id, output FROM r WHERE is_out AND call_id IS NOT NULL ORDER BY src, file_id, call_id, line_no),
+d AS (SELECT DISTINCT ON (src, file_id, call_id) src, file_id, call_id, output, exit_code FROM r WHERE is_end AND call_id IS NOT NULL ORDER BY src, file_id, call_id, line_no),
+c AS (
+  SELECT r.src, r.file_id, line_no, CASE {_LABEL} WHEN 'bash' THEN 'exec' WHEN 'patch' THEN 'patch' WHEN 'search' THEN 'web_search' ELSE CASE WHEN name = 'update_plan' THEN 'plan' ELSE 'tool_call' END END AS cell, NULL AS role, {_LABEL} AS tool, r.call_id, NULL AS header, arguments AS text,
+    coalesce(d.output, p.output) AS output, d.exit_code, CASE WHEN p.src IS NULL AND d.src IS NULL THEN 'pending' WHEN d.exit_code <> 0 THEN 'failed' ELSE 'done' END AS status
+    FROM r LEFT JOIN p ON p.src = r.src AND p.file_id = r.file_id AND p.call_id = r.call_id LEFT JOIN d ON d.src = r.src AND d.file_id = r.file_id AND d.call_id = r.call_id WHERE is_call
+  UNION ALL SELECT src, file_id, line_no, 'tool_result', NULL, NULL, call_id, NULL, NULL, output, exit_code, 'done' FROM r WHERE (is_out OR is_end) AND NOT EXISTS (SELECT 1 FROM r x WHERE x.is_call AND x.src = r.src AND x.file_id = r.file_id AND x.call_id = r.call_id)
+  UNION ALL SELECT src, file_id, line_no, 'message', coalesce(role, CASE kind WHEN 'user_message' THEN 'user' WHEN 'agent_message' THEN 'assistant' END), NULL, call_id, NULL, text, NULL, NULL, NULL FROM r WHERE kind IN ('message', 'user_message', 'agent_message') AND trim(coalesce(text, '')) <> ''
+  UNION ALL SELECT src, file_id, line_no, 'reasoning', NULL, NULL, call_id, nullif(trim(regexp_extract(text, '^\\*\\*([^*\\n]+)\\*\\*\\s*\\n\\n', 1)), ''), regexp_replace(text, '^\\*\\*[^*\\n]+\\*\\*\\s*\\n\\n', ''), NULL, NULL, NULL FROM r WHERE kind IN ('reasoning', 'agent_reasoning') AND trim(coalesce(text, '')) <> ''
+  UNION ALL SELECT src, file_id, line_no, CASE kind WHEN 'token_count' THEN 'metrics' ELSE 'session_info' END, NULL, NULL, call_id, NULL, NULL, NULL, NULL, NULL FROM r WHERE kind IN ('session_meta', 'turn_context', 'token_count')
+), a AS (SELECT *, row_number() OVER v AS k, lag(cell) OVER v AS c0, lag(role) OVER v AS r0, lag(call_id) OVER v AS i0, lag(text) OVER v AS t0 FROM c WINDOW v AS (PARTITION BY src, file_id ORDER BY line_no)),
+b AS (SELECT row_id, lower(sessionId) AS session, coalesce(message.role, type) AS role, unnest(message.content) AS b, unnest(range(1, len(message.content) + 1)) - 1 AS place FROM rich_content WHERE sessionId IS NOT NULL),
+q AS (SELECT *, b.name AS name, replace(lower(trim(b.name)), '-', '_') AS n, CASE b.type WHEN 'thinking' THEN 'reasoning' WHEN 'tool_use' THEN 'tool_call' WHEN 'tool_result' THEN 'tool_result' ELSE 'message' END AS cell FROM b WHERE b IS NOT NULL),
+f AS (
+  SELECT 'rollout' AS agent, CAST(file_id AS VARCHAR) AS session, CAST(line_no AS BIGINT) AS line_no, 0::INT AS place, cell, role, tool, call_id, header, text, output, exit_code, status FROM a
+  WHERE k = 1 OR c0 IS DISTINCT FROM cell OR r0 IS DISTINCT FROM role OR i0 IS DISTINCT FROM call_id OR t0 IS DISTINCT FROM text
+  UNION ALL SELECT 'transcript', session, row_id, place::INT, cell, CASE WHEN cell = 'message' THEN role END, {_LABEL}, coalesce(b.id, b.tool_use_id), NULL, coalesce(b.text, b.thinking, b.input),
+    CASE WHEN cell = 'tool_result' AND b.content IS NOT NULL THEN coalesce(array_to_string(list_filter(list_transform(b.content, lambda x: x.text), lambda x: x IS NOT NULL), chr(10) || chr(10)), '') END, NULL,
+    CASE WHEN cell = 'tool_result' THEN CASE WHEN coalesce(b.is_error, false) THEN 'failed' ELSE 'done' END END FROM q
+)"""
+ORACLE |= {
+    "parse_cells": f"{_CELLS} SELECT * FROM f",
+    "session_metrics": f"""{_CELLS} SELECT agent, session, count(*) FILTER (cell = 'message' AND role = 'user') AS user_messages, count(*) FILTER (cell = 'message' AND role = 'assistant') AS agent_messages, count(*) FILTER (cell = 'reasoning') AS reasoning,
+  count(*) FILTER (cell IN ('tool_call', 'exec', 'patch', 'web_search', 'plan')) AS calls, count(*) FILTER (cell = 'exec') AS commands, count(*) FILTER (status = 'failed') AS failures, count(*) FILTER (status = 'pending') AS pending FROM f GROUP BY 1, 2""",
+}
