@@ -126,9 +126,14 @@ def test_plans(spark):
     moved, _ = lineage.plan(m, seed("p5"), "trash")
     assert {r.path for r in moved.collect()} == {"p5"}
     moved, blocked = lineage.plan(m, seed("p7"), "restore")
-    assert {r.path for r in moved.collect()} == {"p7"} and {r.blocker for r in blocked.collect()} == {"missing required history"}
+    assert {r.path for r in moved.collect()} == {"p7"} and {r.blocker for r in blocked.collect()} == {"history it needs is gone"}
+    t = spark.createDataFrame([(f"q{k}", "rollout", "t", f"q{k}", None, None, k > 1) for k in range(5)], MEMBERS)
+    assert {r.path for r in lineage.plan(t, seed("q4"), "restore")[0].collect()} == {"q2", "q3", "q4"} and {r.path for r in lineage.plan(t, seed("q1"), "trash")[0].collect()} == {"q0", "q1"}
+    policies = spark.createDataFrame([(1, "skip"), (2, "include")], "group int, policy string")
+    chosen = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", False)], "group int, member string, chosen boolean")
+    assert [tuple(r) for r in lineage.skipped_groups(chosen, policies).collect()] == [(1, "b")]
     live = spark.createDataFrame([("rollout", "t2", "running")], "agent string, session_id string, protection string")
-    assert {r.blocker for r in lineage.plan(m, seed("p1"), "trash", live)[1].collect()} == {"protected: running"}
+    assert {r.blocker for r in lineage.plan(m, seed("p1"), "trash", live)[1].collect()} == {"in use: running"}
     assert {r.path for r in lineage.related(m, seed("p4")).collect()} == {"p1", "p2", "p3", "p4", "p5"}
     assert {r.rollout_id for r in lineage.ambiguous_ids(m).collect()} == {"r1"}
     g = spark.createDataFrame([(1, "trash", "a"), (2, "trash", "a"), (3, "trash", "b"), (4, "untrash", "b")], "group int, op string, member string")

@@ -120,11 +120,21 @@ def ambiguous_ids(members: DataFrame) -> DataFrame:
 
 
 def dependencies(members: DataFrame) -> DataFrame:
-    """(a, b, why): b is of a's thread, b needs a's history, or b was forked from a.  members: path, agent, thread_id, rollout_id, history_base, fork_parent."""
+    """(a, b, why): b is of a's thread, b needs a's history, or b was forked from a.  members: path, agent, thread_id, rollout_id, history_base, fork_parent.
+
+    A thread's members are tied to its first one, both ways, and not each to each: what is reached from any of them is the same.  Members in
+    the trash are tied to the first of theirs, and the two first ones to each other, so that those in the trash reach each other by themselves.
+    """
     m = members.where("agent = 'rollout'")
     l, r = m.alias("l"), m.alias("r")
     pick = lambda why: [F.col("l.path").alias("a"), F.col("r.path").alias("b"), F.lit(why).alias("why")]
-    thread = l.join(r, (F.col("l.thread_id") == F.col("r.thread_id")) & (F.col("l.path") != F.col("r.path"))).select(*pick("same_thread"))
+    away = F.coalesce("trashed", F.lit(False)) if "trashed" in members.columns else F.lit(False)
+    placed = m.where("thread_id IS NOT NULL").select("thread_id", "path", away.alias("away"))
+    hubs = placed.groupBy("thread_id", "away").agg(F.min("path").alias("hub"))
+    spokes = placed.join(hubs, ["thread_id", "away"]).where("path <> hub").select(F.col("path").alias("a"), F.col("hub").alias("b"), F.lit("same_thread").alias("why"))
+    between = hubs.groupBy("thread_id").agg(F.min("hub").alias("a"), F.max("hub").alias("b")).where("a <> b").select("a", "b", F.lit("same_thread").alias("why"))
+    spokes = spokes.unionByName(between)
+    thread = spokes.unionByName(spokes.select(F.col("b").alias("a"), F.col("a").alias("b"), "why"))
     needs = l.join(r, F.col("l.rollout_id") == F.col("r.history_base")).where("l.path <> r.path").select(*pick("requires"))
     a, b = members.alias("l"), members.alias("r")
     forks = a.join(b, (F.col("l.agent") == F.col("r.agent")) & (F.col("l.thread_id") == F.col("r.fork_parent"))).where("l.path <> r.path").select(*pick("fork"))
@@ -141,15 +151,15 @@ def related(members: DataFrame, seeds: DataFrame) -> DataFrame:
 def plan(members: DataFrame, seeds: DataFrame, operation: str, live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((path, reason) of all members an operation moves, (path, blocker)); operation: trash, delete or restore.
 
-    The closure adds the seeds' threads always; trash and delete add dependents, restore adds the trashed history that no active copy
-    provides.  Members already in the trash still connect dependents to removed history but are not moved again.
+    From the seeds on, threads are taken whole.  Trash and delete go on to what depends on a member; members that lie in the trash already pass
+    this on but are not moved.  Restore goes back to the history a member needs, where that lies in the trash and no copy outside it stands in.
     """
     graph = checkpoint(dependencies(members).where("why <> 'fork'"))
     flags = members.select("path", "trashed")
     eligible = F.lit(True) if operation == "delete" else F.col("trashed") if operation == "restore" else ~F.col("trashed")
     chosen = seeds.select("path").distinct().join(flags, "path", "left")
     good = chosen.where(F.coalesce(eligible, F.lit(False)))
-    blockers = chosen.where(~F.coalesce(eligible, F.lit(False))).select("path", F.when(F.col("trashed").isNull(), "selected file is unavailable").otherwise(f"not eligible for {operation}").alias("blocker"))
+    blockers = chosen.where(~F.coalesce(eligible, F.lit(False))).select("path", F.when(F.col("trashed").isNull(), "seed is not known").otherwise(f"seed cannot be taken by {operation}").alias("blocker"))
     if operation == "restore":
         active = members.where("NOT trashed").select(F.col("rollout_id").alias("r")).distinct()
         provided = graph.where("why = 'requires'").join(members.select(F.col("path").alias("a"), "rollout_id"), "a").join(active, F.col("rollout_id") == F.col("r"), "left_semi").select("a", "b")
@@ -173,17 +183,24 @@ def plan(members: DataFrame, seeds: DataFrame, operation: str, live: DataFrame |
         reached = checkpoint(reached.unionByName(edge))
     moved = reached.join(flags, "path").where(eligible).select("path", "reason")
     if missing is not None:
-        blockers = blockers.unionByName(moved.join(missing.select("path"), "path", "left_semi").select("path", F.lit("missing required history").alias("blocker")))
+        blockers = blockers.unionByName(moved.join(missing.select("path"), "path", "left_semi").select("path", F.lit("history it needs is gone").alias("blocker")))
     if live is not None:
         known = members.select("path", "agent", F.col("thread_id").alias("session_id"))
-        held = moved.join(known, "path").join(live, ["agent", "session_id"]).select("path", F.concat(F.lit("protected: "), "protection").alias("blocker"))
+        held = moved.join(known, "path").join(live, ["agent", "session_id"]).select("path", F.concat(F.lit("in use: "), "protection").alias("blocker"))
         blockers = blockers.unionByName(held)
     return moved, blockers.distinct()
 
 
 def merged_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((group, merged) of overlapping groups of one operation, members that opposite operations touch).  groups: group, op, member."""
-    shared = groups.select(F.col("group").alias("a"), "op", "member").join(groups.select(F.col("group").alias("b"), "op", "member"), ["op", "member"]).where("a < b").select("a", "b").distinct()
+    first = groups.groupBy("op", "member").agg(F.min("group").alias("b"))  # all groups of a member are tied to its first one
+    shared = groups.join(first, ["op", "member"]).where("`group` <> b").select(F.col("group").alias("a"), "b").distinct()
     merged = components(groups.select(F.col("group").alias("v")), shared).select(F.col("v").alias("group"), F.col("root").alias("merged"))
     clash = groups.groupBy("member").agg(F.countDistinct("op").alias("ops")).where("ops > 1").select("member")
     return merged, clash
+
+
+def skipped_groups(groups: DataFrame, policies: DataFrame) -> DataFrame:
+    """(group, member): members that a group's policy 'skip' forbids to add to those chosen; such a group is not carried out.  groups: group,
+    member, chosen (named by the rule itself).  policies: group, policy ('include' or 'skip')."""
+    return groups.where("NOT chosen").join(policies.where("policy = 'skip'").select("group"), "group", "left_semi").select("group", "member")

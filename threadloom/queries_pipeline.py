@@ -74,6 +74,14 @@ def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(_all_lines(spark, sf))
 
 
+def p3_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the unified table: kinds, and the typed branches of two fields whose type drifts, one inside an object."""
+    wide = drift.unified(_all_lines(spark, sf))
+    names = ("arguments", "arguments__object", "arguments__string", "sandbox_policy.network_access", "sandbox_policy.network_access__boolean", "sandbox_policy.network_access__string")
+    columns = [(F.col(f"`{c}`") if c in wide.columns else F.lit(None)).cast("string").alias(c.replace("sandbox_policy.", "")) for c in names]
+    return wide.select("src_table", "src_file_id", "src_line_no", "record_kind", *columns)
+
+
 def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
     """The union schema of all formats, with every alternative type of a field."""
     return drift.fused(_all_lines(spark, sf).withColumn("producer", F.col("src_table")).withColumn("file_seq", F.lit(0)))
@@ -93,7 +101,7 @@ def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.blocks(table(spark, sf, "rich_content"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p2_deliver, p3_found, p3_unified, p3_fused, p4_found, p4_nodes, p4_blocks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p1_paths, p1_all_paths, p1_descendants, p2_found, p2_once, p2_deliver, p3_found, p3_unified, p3_branches, p3_fused, p4_found, p4_nodes, p4_blocks)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -169,6 +177,17 @@ q AS (SELECT row_id, i, substr(f, 2) AS f, substr(regexp_extract(regexp_replace(
 SELECT row_id, 'content[' || i || ']' AS node_path, '' AS parent_path FROM k
 UNION ALL SELECT row_id, 'content[' || i || '].content[' || j || ']', 'content[' || i || ']' FROM c WHERE x IS NOT NULL
 UNION ALL SELECT row_id, 'content[' || i || '].input' || f, 'content[' || i || ']' || CASE WHEN up = '' THEN '' ELSE '.input' || up END FROM q""",
+    "p3_branches": r"""
+WITH l AS (
+  SELECT 'rollout_raw' AS src, file_id, line_no, CAST(line AS JSON) AS j FROM rollout_raw WHERE json_valid(line)
+  UNION ALL SELECT 'old_format', file_id, line_no, to_json(struct_pack(record_type, type, arguments)) FROM old_format
+  UNION ALL SELECT 'new_format', file_id, line_no, to_json(struct_pack(type, payload)) FROM new_format
+  UNION ALL SELECT 'latest_format', file_id, line_no, to_json(struct_pack(type, payload)) FROM latest_format
+), r AS (SELECT src, file_id, line_no, coalesce(nullif(j ->> '$.payload.type', ''), nullif(j ->> '$.type', ''), nullif(j ->> '$.record_type', ''), 'session_meta') AS kind,
+  CASE WHEN json_type(j, '$.payload') = 'OBJECT' THEN j -> '$.payload' ELSE j END AS b FROM l WHERE json_type(j) = 'OBJECT'),
+v AS (SELECT *, b ->> '$.arguments' AS a, json_type(b, '$.arguments') AS ty, b ->> '$.sandbox_policy.network_access' AS n, json_type(b, '$.sandbox_policy.network_access') AS nt FROM r)
+SELECT src AS src_table, file_id AS src_file_id, line_no AS src_line_no, kind AS record_kind, a AS arguments, CASE WHEN ty = 'OBJECT' THEN a END AS arguments__object, CASE WHEN ty = 'VARCHAR' THEN a END AS arguments__string,
+  n AS network_access, CASE WHEN nt = 'BOOLEAN' THEN n END AS network_access__boolean, CASE WHEN nt = 'VARCHAR' THEN n END AS network_access__string FROM v""",
     "p3_fused": r"""
 WITH l AS (
   SELECT 'rollout_raw' AS src, file_id, CAST(line AS JSON) AS j FROM rollout_raw WHERE json_valid(line)
