@@ -28,6 +28,28 @@ def test_lines(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in scan] == ["y z.jsonl.zst", "x.jsonl"] and not any(r.trashed for r in scan)
 
 
+def test_damaged_files_are_told(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a").mkdir()
+    whole = zstandard.compress(b"".join(b'{"i":%d}\n' % (i * 7919) for i in range(90_000)))
+    (tmp_path / "a/good.jsonl.zst").write_bytes(zstandard.compress(b'{"i":2}\n'))
+    (tmp_path / "a/cut.jsonl.zst").write_bytes(whole[: len(whole) // 2])
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in files.damaged_files(spark, [str(tmp_path / "a"), str(tmp_path / "no")]).collect()] == [("cut.jsonl.zst", "the file ends early")]
+    with pytest.raises(Exception):
+        files.read_lines(spark, [str(tmp_path / "a")]).count()
+    assert files.read_lines(spark, [str(tmp_path / "a")], skip_damaged=True).where("path LIKE '%good%'").count() == 1
+
+
+def test_trash_and_archive(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/s1.jsonl").write_text("{}\n")
+    (tmp_path / "t/x.json").write_text(json.dumps({"agent": "a", "members": [{"stored_path": "s1.jsonl", "original_path": "/home/s1.jsonl"}]}))
+    assert [(r.agent, r.size, r.trashed, r.original_path) for r in files.scan_trash(spark, str(tmp_path / "t")).collect()] == [("a", 3, True, "/home/s1.jsonl")]
+    assert files.scan_trash(spark, str(tmp_path / "no")).count() == 0
+    assert [r.eligible for r in files.scan_archived(spark, str(tmp_path / "t")).collect()] == [False]
+
+
 def test_bundles_metadata_and_history(spark, tmp_path):
     for name, two in (("id1", True), ("id2", False)):
         d = tmp_path / f"brain/{name}/.system_generated/logs"
@@ -80,5 +102,7 @@ def test_stream_stores_each_message_once(spark, tmp_path):
             put(more)
         ingest.store_once(ingest.stream_rows(spark, source, schema), target, log).awaitTermination()
     assert sorted(r.row_id for r in spark.read.parquet(target).collect()) == [1, 3, 5]
+    ids = spark.read.parquet(target + "-ids")
+    assert {r.ident for r in ids.collect()} == {"a", "b", "c"} and "bucket" in ids.columns
     rows = spark.createDataFrame([("S", 0), ("s", 600), ("s", 9000), (None, 1)], "sessionId string, t long").select("sessionId", F.timestamp_seconds("t").alias("timestamp"))
     assert sorted(r.rows for r in ingest.activity(rows).collect()) == [1, 2]

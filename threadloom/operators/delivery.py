@@ -97,7 +97,12 @@ def once(rows: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
 
 def deliver(stored: DataFrame, batch: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     """The rows of ``batch`` to be appended to ``stored``: those kept of messages that ``stored`` does not hold yet."""
-    held = identities(stored).select(F.col("id_kind").alias("__tl_kind"), F.col("ident").alias("__tl_ident")).distinct()
+    return deliver_unless(identities(stored), batch, order)
+
+
+def deliver_unless(held: DataFrame, batch: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``deliver`` against the identifiers (ident, id_kind) that are stored."""
+    held = held.select(F.col("id_kind").alias("__tl_kind"), F.col("ident").alias("__tl_ident")).distinct()
     new = once(batch, order)
     fresh = _by_identity(new).join(held, _KEY, "left_anti")
     return new.where(F.size(identity(new)) == 0).unionByName(_each_row_once(fresh, batch.columns, order))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.operators import history, lineage, projection, search, sessions
-from threadloom.util import table
+from threadloom.util import ensure_checkpoint_dir, table
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,14 +202,37 @@ def branch_values(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", history.branch(F.col("paginated"), F.lit(True), F.col("db"), F.col("header")).alias("branch"))
 
 
+def scanned_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """SC1, SC2, SC8, O5: lines written as compressed files, a directory for each producer, and read back as a tree; damaged lines are no records."""
+    from threadloom.sources import files
+
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex[:8]}"
+    table(spark, sf, "rollout_raw").where("producer IS NOT NULL AND line IS NOT NULL").select("producer", "line").write.partitionBy("producer").option("compression", "gzip").text(at)
+    lines = files.read_records(files.read_lines(spark, [at, f"{at}/missing"], "*.txt.gz")).withColumn("producer", F.regexp_extract("path", "producer=([^/]+)/", 1))
+    last = lines.groupBy("producer", "path").agg(F.max("line_no").alias("last"), F.count(F.lit(1)).alias("n"), F.count("record").alias("r"), F.sum(F.octet_length("line")).alias("b"))
+    return last.groupBy("producer").agg(F.sum("n").alias("lines"), F.sum("last").alias("numbered"), F.sum("r").alias("records"), F.sum("b").alias("bytes"))
+
+
+def history_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """SC4, SC5, JN4: sessions of even batches keep their directory, the others take the last one of the history."""
+    from threadloom.sources import files
+
+    rows = table(spark, sf, "basic_session").where("sessionId IS NOT NULL").withColumn("id", F.lower("sessionId"))
+    s = rows.groupBy("id").agg(F.when(F.max("batch_id") % 2 == 0, F.min("cwd")).alias("cwd"))
+    return files.with_history_fallback(s, rows.select(F.col("id").alias("conversationId"), F.col("cwd").alias("workspace"), F.col("row_id").alias("line_no")))
+
+
 _ALL = (
-    wrappers_stripped, exec_outputs, reasoning_headers, shell_commands, settings_models, path_ids, project_dirs, source_signatures, merged_ranges, citation_footers, previews, field_masks, patches, plans, settings,
+    scanned_tree, history_fallback, wrappers_stripped, exec_outputs, reasoning_headers, shell_commands, settings_models, path_ids, project_dirs, source_signatures, merged_ranges, citation_footers, previews, field_masks, patches, plans, settings,
     fingerprints, checksums, upserts, valid_relations, forked_sessions, equivalent_copies, ambiguous_ids, branch_values,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NL = "chr(10)"
 ORACLE = {
+    "scanned_tree": """SELECT producer, count(*) AS lines, count(*) AS numbered, count(*) FILTER (json_valid(line)) AS records, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM rollout_raw WHERE producer IS NOT NULL AND line IS NOT NULL GROUP BY 1""",
+    "history_fallback": """SELECT lower(sessionId) AS id, coalesce(CASE WHEN max(batch_id) % 2 = 0 THEN min(cwd) END, arg_max(cwd, row_id) FILTER (cwd IS NOT NULL)) AS cwd FROM basic_session WHERE sessionId IS NOT NULL GROUP BY 1""",
     "wrappers_stripped": r"""SELECT doc_id, trim(regexp_replace('/' || source || ' ' || title, '\s+', ' ', 'g')) AS stripped, 'say <bash-input>' || source || '</bash-input>' AS kept FROM documents""",
     "exec_outputs": """SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(doc_id % 200 AS INT) END AS exit_code, CASE WHEN text IS NOT NULL THEN doc_id % 100 + CAST(0.5 AS DOUBLE) END AS wall_seconds, text AS output FROM documents
 UNION ALL SELECT doc_id, CAST(-(doc_id % 7) AS INT), NULL, 'Process exited with code -' || (doc_id % 7) || chr(10) || 'no output' FROM documents""",

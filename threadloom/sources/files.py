@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import sqlite3
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,27 +13,60 @@ from pyspark.sql.window import Window
 LINES = "path string, line_no bigint, line string"
 
 
-def _have(patterns: list[str]) -> list[str]:
-    """Local patterns that match something; remote ones are left to Spark."""
-    return [p for p in patterns if "://" in p or glob.glob(p)]
+def _have(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that match something on the file system they name, or on the default one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in patterns:
+        found = path(p).getFileSystem(conf).globStatus(path(p))
+        if found is not None and len(found):
+            out.append(p)
+    return out
 
 
-def read_lines(spark: SparkSession, directories: list[str], suffix: str = "*.{jsonl,jsonl.zst}") -> DataFrame:
+def read_lines(spark: SparkSession, directories: list[str], suffix: str = "*.{jsonl,jsonl.zst}", skip_damaged: bool = False) -> DataFrame:
     """(path, line_no, line) of all files below the directories; missing directories are empty.
 
     Large plain files are read in splits: a line's number is its place in its split plus the lines of the splits before, one small
-    row for each split.
+    row for each split.  A file that cannot be read to its end is an error; ``skip_damaged`` takes what can be read of it, and
+    ``damaged_files`` lists such files.
     """
-    have = _have(directories)
+    have = _have(spark, directories)
     if not have:
         return spark.createDataFrame([], LINES)
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).option("ignoreCorruptFiles", "true").text(have)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).option("ignoreCorruptFiles", str(skip_damaged).lower()).text(have)
     lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     splits = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return lines.join(splits.select("path", "block", "first", before.alias("before")), ["path", "block"]).select(F.url_decode(F.regexp_replace("path", "^file:(//)?", "")).alias("path"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
+def damaged_files(spark: SparkSession, directories: list[str]) -> DataFrame:
+    """(path, error) of compressed files below the directories that do not read to their end."""
+    have = _have(spark, directories)
+    if not have:
+        return spark.createDataFrame([], "path string, error string")
+
+    def test(contents: pd.Series) -> pd.Series:
+        import zstandard
+
+        def fault(content: bytes) -> str | None:
+            try:
+                reader = zstandard.ZstdDecompressor().decompressobj()
+                reader.decompress(content)
+                return None if reader.eof else "the file ends early"
+            except zstandard.ZstdError as error:
+                return str(error)
+
+        return contents.map(fault)
+
+    test.__annotations__ = {"contents": pd.Series, "return": pd.Series}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zst").load(have)
+    found = files.select(F.url_decode(F.regexp_replace("path", "^file:(//)?", "")).alias("path"), F.pandas_udf(test, "string")("content").alias("error"))
+    return found.where("error IS NOT NULL")
+
+
 def read_records(lines: DataFrame) -> DataFrame:
     """Adds ``record`` (variant); lines that are no JSON have null."""
     return lines.withColumn("record", F.try_parse_json("line"))
@@ -43,7 +76,7 @@ def scan_files(spark: SparkSession, roots: dict[str, list[str]], trash: str | No
     """(path, agent, mtime, size, trashed) of the session files below each producer's roots, in path order."""
     out = None
     for agent, directories in {**roots, **({"trash": [trash]} if trash else {})}.items():
-        have = _have(directories)
+        have = _have(spark, directories)
         if not have:
             continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,jsonl.zst}").load(have)
@@ -59,7 +92,7 @@ def scan_files(spark: SparkSession, roots: dict[str, list[str]], trash: str | No
 def scan_bundles(spark: SparkSession, directory: str) -> DataFrame:
     """(id, transcript, full, mtime, size): one row for each bundle that has a transcript; time is the latest, size the sum."""
     # The directory's name begins with a dot, which listings pass over unless it is named.
-    have = _have([f"{directory}/brain/*/.system_generated/logs"])
+    have = _have(spark, [f"{directory}/brain/*/.system_generated/logs"])
     if not have:
         return spark.createDataFrame([], "id string, transcript string, full string, mtime bigint, size bigint")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "transcript*.jsonl").load(have)
@@ -87,12 +120,28 @@ def with_history_fallback(sessions: DataFrame, history: DataFrame) -> DataFrame:
 def trash_items(spark: SparkSession, directory: str) -> DataFrame:
     """Sidecars of the trash store with an explicit schema; items without a producer are left out."""
     schema = "schema_version int, agent string, trashed_at timestamp, session_path string, members array<struct<stored_path:string,original_path:string>>, reason struct<kind:string,text:string>"
-    have = _have([directory])
+    have = _have(spark, [directory])
     if not have:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").json(have).where("agent IS NOT NULL")
 
 
+def scan_trash(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, agent, mtime, size, trashed, original_path) of the files that the sidecars of the trash store name."""
+    empty = "path string, agent string, mtime bigint, size bigint, trashed boolean, original_path string"
+    if not _have(spark, [directory]):
+        return spark.createDataFrame([], empty)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,jsonl.zst}").load(directory)
+    payload = files.select(F.url_decode(F.regexp_replace("path", "^file:(//)?", "")).alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size")).withColumn("stored_path", F.substring_index("path", "/", -1))
+    members = trash_items(spark, directory).select("agent", F.explode("members").alias("m")).select("agent", F.substring_index("m.stored_path", "/", -1).alias("stored_path"), "m.original_path")
+    return payload.join(members, "stored_path").select("path", "agent", "mtime", "size", F.lit(True).alias("trashed"), "original_path")
+
+
+def scan_archived(spark: SparkSession, directory: str, agent: str = "rollout") -> DataFrame:
+    """Files of the archive: read as history of others, not eligible as sessions of their own."""
+    return scan_files(spark, {agent: [directory]}).withColumn("eligible", F.lit(False))
+
+
 def thread_selections(spark: SparkSession, database: str, thread: str | None = None, timeout_ms: int = 250) -> DataFrame:
     """(thread_id, selected_path, paginated, branch) of the provider's thread table, read on the driver: a small lookup table of one
     machine.  Columns the table lacks come out null; a missing database is empty."""
@@ -110,7 +159,7 @@ def thread_selections(spark: SparkSession, database: str, thread: str | None = N
 
 def rollout_summaries(spark: SparkSession, directory: str) -> DataFrame:
     """(thread_id, rollout_path, updated_at, body) of Markdown files with a key-value head, a blank line and a body; incomplete ones dropped."""
-    have = _have([directory])
+    have = _have(spark, [directory])
     schema = "thread_id string, rollout_path string, updated_at string, body string"
     if not have:
         return spark.createDataFrame([], schema)
@@ -131,7 +180,7 @@ def summary_sidecars(spark: SparkSession, directory: str) -> DataFrame:
 
 def search_history(spark: SparkSession, path: str) -> DataFrame:
     """(query, saved_at) of a JSON list; invalid entries are skipped, a broken file is empty."""
-    have = _have([path])
+    have = _have(spark, [path])
     schema = "query string, saved_at timestamp"
     if not have:
         return spark.createDataFrame([], schema)

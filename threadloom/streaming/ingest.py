@@ -14,15 +14,30 @@ def stream_rows(spark: SparkSession, directory: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(directory)
 
 
+BUCKETS = 256
+
+
 def store_once(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends the rows of each micro-batch whose message is not stored yet; a batch run again after a failure adds nothing."""
-    spark = rows.sparkSession
+    """Stores the rows of each micro-batch whose message is not stored yet, as ``target/batch=<number>``; a batch run again after a failure
+    takes the place of its first run.
+
+    The identifiers stored are kept beside the target by a hash, so a batch reads the files of its own identifiers' buckets and
+    not the messages stored so far.
+    """
+    spark, ids = rows.sparkSession, f"{target.rstrip('/')}-ids"
 
     def put(batch: DataFrame, number: int) -> None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        fresh = delivery.deliver(spark.read.parquet(target), batch) if there else delivery.once(batch)
-        fresh.write.mode("append").parquet(target)
+        batch = batch.persist()
+        named = delivery.identities(batch).withColumn("bucket", F.pmod(F.xxhash64("id_kind", "ident"), F.lit(BUCKETS)).cast("int")).distinct()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ids)
+        fresh = delivery.once(batch)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            touched = [r["bucket"] for r in named.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            held = spark.read.option("basePath", ids).parquet(ids).where((F.col("batch") != number) & F.col("bucket").isin(*touched))
+            fresh = delivery.deliver_unless(held, batch)
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        named.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ids}/batch={number}")
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
