@@ -302,10 +302,11 @@ def _located(value: Column, keys: tuple[str, ...]) -> tuple[Column, str]:
     return value, path
 
 
-def unified(lines: DataFrame) -> DataFrame:
+def unified(lines: DataFrame, split: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One consistent table of (src_table, file_id, line_no, line): record_kind and, for each field of any format, within objects at any
     depth too (``<object>.<field>``, as ``changes`` names them), the canonical text in ``<field>`` and, where formats differ in its type, a
-    branch ``<field>__<type>`` for each alternative.  Arrays are not entered.
+    branch ``<field>__<type>`` for each alternative.  Arrays are not entered.  ``split``: fields with types for which there is a branch in
+    any case, so that tables of different data agree.
 
     The column list is the fused schema (metadata: one entry for each path) and is read to plan the table.
     """
@@ -334,8 +335,9 @@ def unified(lines: DataFrame) -> DataFrame:
         holder, path = _located(F.col("__b"), keys)
         value = F.try_variant_get(holder, path, "variant")
         columns.append(F.try_variant_get(holder, path, "string").alias(free(name)))
-        if len(types) > 1:
-            for t in types:
+        wanted = sorted({*(types if len(types) > 1 else ()), *(split or {}).get(name, ())})
+        if wanted:
+            for t in wanted:
                 shape = F.schema_of_variant(value)
                 is_t = shape.startswith(prefix[t]) if t in prefix else shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
                 branch = F.try_variant_get(holder, path, {"number": "double", "boolean": "boolean"}.get(t, "string"))

@@ -76,7 +76,7 @@ def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_branches(spark: SparkSession, sf: str) -> DataFrame:
     """Of the unified table: kinds, and the typed branches of two fields whose type drifts, one inside an object."""
-    wide = drift.unified(_all_lines(spark, sf))
+    wide = drift.unified(_all_lines(spark, sf), {"arguments": ("object", "string"), "sandbox_policy.network_access": ("boolean", "string")})
     names = ("arguments", "arguments__object", "arguments__string", "sandbox_policy.network_access", "sandbox_policy.network_access__boolean", "sandbox_policy.network_access__string")
     columns = [(F.col(f"`{c}`") if c in wide.columns else F.lit(None)).cast("string").alias(c.replace("sandbox_policy.", "")) for c in names]
     return wide.select("src_table", "src_file_id", "src_line_no", "record_kind", *columns)

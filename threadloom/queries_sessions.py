@@ -543,6 +543,13 @@ f AS (
     CASE WHEN cell = 'tool_result' THEN CASE WHEN coalesce(b.is_error, false) THEN 'failed' ELSE 'done' END END FROM q
 )"""
 ORACLE |= {
+    # Few sessions of the tables hold all of a parent's events; forked_sessions and equivalent_copies make such sessions.
+    "supersession": """
+WITH r AS (SELECT lower(sessionId) AS s, lower(uuid) AS u, lower(forkedFrom.sessionId) AS p, lower(forkedFrom.messageUuid) AS i, timestamp FROM basic_session WHERE sessionId IS NOT NULL AND uuid IS NOT NULL),
+k AS (SELECT s, count(DISTINCT u) AS n, count(*) FILTER (i IS NULL) AS own, CAST(floor(epoch(max(timestamp))) AS BIGINT) AS m FROM r GROUP BY s),
+e AS (SELECT DISTINCT s AS child, p AS parent FROM r WHERE p IS NOT NULL AND p <> s AND p IN (SELECT s FROM r)),
+c AS (SELECT e.* FROM e JOIN k ON k.s = e.child WHERE own > 0 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.s = e.parent AND x.u NOT IN (SELECT i FROM r y WHERE y.s = e.child AND i IS NOT NULL)))
+SELECT parent AS key, arg_max(child, (n, m, child)) AS superseded_by FROM c JOIN k ON k.s = c.child GROUP BY 1""",
     "parse_cells": f"{_CELLS} SELECT * FROM f",
     "session_metrics": f"""{_CELLS} SELECT agent, session, count(*) FILTER (cell = 'message' AND role = 'user') AS user_messages, count(*) FILTER (cell = 'message' AND role = 'assistant') AS agent_messages, count(*) FILTER (cell = 'reasoning') AS reasoning,
   count(*) FILTER (cell IN ('tool_call', 'exec', 'patch', 'web_search', 'plan')) AS calls, count(*) FILTER (cell = 'exec') AS commands, count(*) FILTER (status = 'failed') AS failures, count(*) FILTER (status = 'pending') AS pending FROM f GROUP BY 1, 2""",
