@@ -223,7 +223,7 @@ def test_sinks(spark):
     assert text.index("## User") < text.index("## Assistant") and "turns: 2" in text
     tool = turns.withColumn("speaker", F.when(F.col("turn_no") == 2, "tool_result").otherwise(F.col("speaker")))
     assert "`````\n````\ncode\n`````" in sinks.markdown(tool).first().text
-    assert sorted((r.part, r.text.count("##")) for r in sinks.markdown(turns, size=1).collect()) == [(0, 1), (1, 1)]
+    assert sorted((r.part, r.text.count("# ")) for r in sinks.markdown(turns, size=1).collect()) == [(1, 2), (2, 1)]
     assert sinks.plain_text(turns).first().text == "[user] hi\n[assistant] ````\ncode"
     assert turns.where("turn_no = 2").select(sinks.fence(F.col("content")).alias("f")).first().f == "`" * 5
     d = spark.createDataFrame([(1, "2026-01-02", "a", "0123456789", "Ünï: title!  " + "x" * 60), (2, "2026-01-02", "a", "0123456700", None), (3, "2026-01-02", "a", "0123456711", " ")], "k int, d string, a string, i string, t string")

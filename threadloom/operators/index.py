@@ -27,6 +27,7 @@ from threadloom.plans import query as ql
 
 FORMAT = 1
 BUCKETS = 64
+SPREAD = 2_000_000
 
 
 class Busy(Exception):
@@ -86,7 +87,9 @@ class Index:
         at = f"{self.directory}/{name}"
         timed = fresh if "modified_ts" in fresh.columns else fresh.withColumn("modified_ts", F.lit(0).cast("bigint"))
         made = search.entries(timed, self.key, self.fields, ("modified_ts",)).withColumn("bucket", bucket(F.col("term")))
-        made.repartition(BUCKETS, "bucket", "term").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
+        # A bucket is one file for each ``SPREAD`` documents: few files for few documents, and no task for all postings of a word.
+        files = 1 + fresh.count() // SPREAD
+        made.repartition(BUCKETS * files, "bucket", F.pmod(F.xxhash64(self.key), F.lit(files))).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
         lengths = {f: F.size(F.filter(words(F.col(c)), lambda w: F.octet_length(w) < LONG_TOKEN_BYTES)).cast("bigint").alias(f"len_{f}") for f, c in self.fields.items()}
         timed.select("*", *lengths.values()).drop(*set(self.fields.values())).write.parquet(f"{at}/catalog")
         keys = fresh.select(self.key) if gone is None else fresh.select(self.key).unionByName(gone.select(self.key))

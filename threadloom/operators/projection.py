@@ -7,10 +7,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.util import numbered
-
-#: Segments or turns in a part of a long session's text.
-PART = 2_000
+#: Row ids or turn numbers in a part of a long session's text.
+PART = 10_000
 
 # The visibility bits.
 USER, AGENT, TOOL_CALL, TOOL_RESULT, PROJECT_DOCS, SKILL, INTERNAL_CONTEXT, USER_TOOL_CALL, USER_TOOL_RESULT, AGENT_THINKING = (1 << k for k in range(10))
@@ -122,13 +120,11 @@ def segments(rows: DataFrame) -> DataFrame:
 
 
 def search_fields(rows: DataFrame, size: int = PART) -> DataFrame:
-    """(session, mask, part, text): the text of each session by mask, joined in delivery order with blank lines, ``size`` segments a part; so
-    a session of any length is built by many tasks."""
-    s = numbered(segments(rows).where("session IS NOT NULL"), ["session", "mask", "row_id", "part", "name"], "__nth")
-    first = s.groupBy("session", "mask").agg(F.min("__nth").alias("__first"))
-    placed = s.join(first, ["session", "mask"]).withColumn("__part", F.floor((F.col("__nth") - F.col("__first")) / size).cast("bigint"))
-    grouped = placed.groupBy("session", "mask", F.col("__part").alias("part")).agg(F.sort_array(F.collect_list(F.struct("__nth", "text"))).alias("t"))
-    return grouped.select("session", "mask", "part", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+    """(session, mask, part, text): the text of each session by mask, joined in delivery order with blank lines.  A part holds the session's
+    rows of one stretch of ``size`` row ids, so a session of any length is built by many tasks; parts follow each other by number."""
+    s = segments(rows).where("session IS NOT NULL")
+    grouped = s.groupBy("session", "mask", F.floor(F.col("row_id") / size).cast("bigint").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("row_id", "part", "name", "text"))).alias("t"))
+    return grouped.select("session", "mask", F.col("chunk").alias("part"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def preview(first_user: Column, first: Column, last: Column) -> Column:

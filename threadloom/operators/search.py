@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import GAP, LONG_TOKEN_BYTES, compact, normal_path, path_suffixes, raw_form, token_count, with_gaps, words
 from threadloom.plans import query as ql
+from threadloom.util import dealt
 
 K1, B = 1.2, 0.75
 #: Rows by output: None is no limit.
@@ -360,7 +361,7 @@ def entries(documents: DataFrame, key: str, fields: dict[str, str], keep: tuple[
 
     out = None
     for name, column in fields.items():
-        rows = documents.select(F.col(key), *keep, F.explode(F.array(of(column))).alias("__s")).withColumn("len", F.size("__s")).where("len > 0")
+        rows = dealt(documents).select(F.col(key), *keep, F.explode(F.array(of(column))).alias("__s")).withColumn("len", F.size("__s")).where("len > 0")
         starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("__s", i)["w"] != F.get("__s", i - 1)["w"]))
         rows = rows.withColumn("__b", F.explode(F.array(starts)))
         runs = F.transform(F.arrays_zip(F.col("__b").alias("a"), F.array_append(F.slice("__b", F.lit(2), F.size("__b")), F.col("len")).alias("z")), lambda r: F.struct(

@@ -460,17 +460,15 @@ c AS (SELECT a.path AS p, b.path AS q, a.m IS DISTINCT FROM b.m OR a.n <> b.n AS
 SELECT count(*) FILTER (p IS NOT NULL) AS scanned, count(*) FILTER (p IS NOT NULL AND (q IS NULL OR differs)) AS updated,
   count(*) FILTER (p IS NOT NULL AND q IS NOT NULL AND NOT differs) AS skipped, count(*) FILTER (p IS NULL) AS removed FROM c""",
     "visibility": _SEGMENTS + """ SELECT mask, count(*) AS parts, CAST(sum(length(text)) AS BIGINT) AS chars, (mask & 592) = 0 AS shown FROM s GROUP BY 1""",
-    "search_fields": _SEGMENTS + """, o AS (SELECT *, (row_number() OVER (PARTITION BY session, mask ORDER BY row_id, part, name) - 1) // 2000 AS chunk FROM s WHERE session IS NOT NULL)
-SELECT session, mask, CAST(chunk AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY row_id, part, name) AS text FROM o GROUP BY session, mask, chunk""",
+    "search_fields": _SEGMENTS + """ SELECT session, mask, row_id // 10000 AS part, string_agg(text, chr(10) || chr(10) ORDER BY row_id, s.part, name) AS text FROM s WHERE session IS NOT NULL GROUP BY session, mask, row_id // 10000""",
     "export_markdown": f"""
 WITH t AS (SELECT lower(sessionId) AS session_id, row_id, {_ROLE} AS r, coalesce(message.content, '') AS c, coalesce(' · ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S'), '') AS tm FROM basic_session WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant')),
-o AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1) // 2000 AS p, count(*) OVER (PARTITION BY session_id) AS n FROM t)
-SELECT session_id, CAST(p AS BIGINT) AS part, CASE WHEN p = 0 THEN '# Session ' || session_id || chr(10) || chr(10) || '- turns: ' || min(n) || chr(10) || chr(10) ELSE '' END ||
+o AS (SELECT *, row_id // 10000 AS p, count(*) OVER (PARTITION BY session_id) AS n, min(row_id) OVER (PARTITION BY session_id) // 10000 AS lead FROM t)
+SELECT session_id, p AS part, CASE WHEN p = min(lead) THEN '# Session ' || session_id || chr(10) || chr(10) || '- turns: ' || min(n) || chr(10) || chr(10) ELSE '' END ||
   string_agg('## ' || upper(left(r, 1)) || substr(r, 2) || tm || chr(10) || chr(10) || c || chr(10), chr(10) ORDER BY row_id) AS text FROM o GROUP BY session_id, p""",
     "export_text": f"""
-WITH t AS (SELECT lower(sessionId) AS session_id, row_id, '[' || {_ROLE} || coalesce(' ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ'), '') || '] ' || coalesce(message.content, '') AS line FROM basic_session WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant')),
-o AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1) // 2000 AS p FROM t)
-SELECT session_id, CAST(p AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY row_id) AS text FROM o GROUP BY session_id, p""",
+SELECT lower(sessionId) AS session_id, row_id // 10000 AS part, string_agg('[' || {_ROLE} || coalesce(' ' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ'), '') || '] ' || coalesce(message.content, ''), chr(10) ORDER BY row_id) AS text
+FROM basic_session WHERE sessionId IS NOT NULL AND type IN ('user', 'assistant') GROUP BY 1, 2""",
     "export_names": r"""
 WITH d AS (SELECT doc_id, concat_ws('-', strftime(created_at, '%Y-%m-%d'), split_part(source, '/', 1), left(regexp_replace(coalesce(session_id, 'none'), '[^\w-]', '', 'g'), 8),
   nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), '-+$', ''), '')) AS stem FROM documents),

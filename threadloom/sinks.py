@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.text import compact
 from threadloom.operators.projection import PART
-from threadloom.util import numbered
 
 CAP = 512
 
@@ -48,15 +47,12 @@ def fence(text: Column) -> Column:
     return F.repeat(F.lit("`"), longest + 1)
 
 
-def _in_parts(turns: DataFrame, key: str, size: int) -> DataFrame:
-    """Turns with ``nth`` in their session and ``part``, ``size`` turns each; so a session of any length is written by many tasks."""
-    placed = numbered(turns, [key, "turn_no"], "__nth")
-    first = placed.groupBy(key).agg(F.min("__nth").alias("__first"), F.count(F.lit(1)).alias("n"))
-    return placed.join(first, key).withColumn("nth", F.col("__nth") - F.col("__first")).withColumn("part", F.floor(F.col("nth") / size).cast("bigint"))
-
-
-def _joined(turns: DataFrame, key: str, line: Column, between: str) -> DataFrame:
-    return turns.select(key, "part", "n", F.struct("nth", line.alias("t")).alias("s")).groupBy(key, "part").agg(F.max("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["t"]), between).alias("text"))
+def _joined(turns: DataFrame, key: str, line: Column, between: str, size: int) -> DataFrame:
+    """(key, part, n, text): lines of each session joined in the order of ``turn_no``.  A part holds the turns of one stretch of ``size`` numbers, so a
+    session of any length is written by many tasks; parts follow each other by number."""
+    of = F.floor(F.col("turn_no") / size).cast("bigint")
+    parts = turns.select(key, of.alias("part"), F.struct("turn_no", line.alias("t")).alias("s")).groupBy(key, "part")
+    return parts.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["t"]), between).alias("text"))
 
 
 def markdown(turns: DataFrame, key: str = "session_id", size: int = PART) -> DataFrame:
@@ -67,14 +63,15 @@ def markdown(turns: DataFrame, key: str = "session_id", size: int = PART) -> Dat
     shown = F.when(F.col("speaker").startswith("tool"), F.concat(mark, F.lit("\n"), content, F.lit("\n"), mark)).otherwise(content)
     block = F.concat(F.lit("## "), F.initcap("speaker"), F.coalesce(F.concat(F.lit(" · "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), F.lit("")), F.lit("\n\n"), shown, F.lit("\n"))
     head = F.concat(F.lit("# Session "), F.col(key), F.lit("\n\n- turns: "), F.col("n").cast("string"), F.lit("\n\n"))
-    parts = _joined(_in_parts(turns, key, size), key, block, "\n")
-    return parts.select(key, "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), F.col("text")).alias("text"))
+    parts = _joined(turns, key, block, "\n", size)
+    whole = parts.groupBy(key).agg(F.min("part").alias("first"), F.sum("n").alias("n"))  # one small row for each part
+    return parts.drop("n").join(whole, key).select(key, "part", F.concat(F.when(F.col("part") == F.col("first"), head).otherwise(""), F.col("text")).alias("text"))
 
 
 def plain_text(turns: DataFrame, key: str = "session_id", size: int = PART) -> DataFrame:
     """(key, part, text): '[role time] text' lines of each session."""
     line = F.concat(F.lit("["), F.col("speaker"), F.coalesce(F.concat(F.lit(" "), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("")), F.lit("] "), F.coalesce("content", F.lit("")))
-    return _joined(_in_parts(turns, key, size), key, line, "\n").select(key, "part", "text")
+    return _joined(turns, key, line, "\n", size).select(key, "part", "text")
 
 
 def history_updated(history: DataFrame, fresh: DataFrame, limit: int) -> DataFrame:
