@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.sampling import sampled
+from threadloom.util import dealt
 
 SAMPLE, BUCKETS, LANGUAGES = 4_000, 1 << 14, 16
 LONGEST = 4
@@ -70,7 +71,7 @@ def fit(documents: DataFrame, words: Callable[[str | None], Counter[str]], sampl
             yield pa.RecordBatch.from_arrays([pa.array([name] * at.size, pa.string()), pa.array(at, pa.int64()), pa.array(table[at])], names=["lang", "bucket", "n"])
 
     some = sampled(named, "doc_id", sample)
-    totals = some.select("lang", "text").mapInArrow(count, "lang string, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    totals = dealt(some.select("lang", "text")).mapInArrow(count, "lang string, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most BUCKETS rows for each two- or three-letter label that the sample holds.
     tables: dict[str, np.ndarray] = {}
     for r in totals.toLocalIterator():
