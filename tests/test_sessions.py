@@ -208,6 +208,21 @@ def test_rules(spark):
     assert {x.session_id for x in rules.evaluate(s, m, r, startup=True).collect()} == {"s1", "s3"}
     kept = rules.evaluate(s, m, r, protected=s.where("session_id = 's1'"), known=s.where("session_id = 's3'").select("session_id", "fingerprint"))
     assert {x.session_id for x in kept.collect()} == {"s2"}
+    slow = rules.Rules()
+
+    @slow.rule("slow")
+    def endless(context):
+        if context["session"]["session_id"] == "s1":
+            while True:
+                pass
+        return endless(context) if context["session"]["session_id"] == "s2" else rules.trash("ok")
+
+    found = {x.session_id: (x.action, (x.error or "").split(":")[0]) for x in rules.evaluate(s, m, slow, seconds=0.3).collect()}
+    assert found == {"s1": (None, "TimeoutError"), "s2": (None, "RecursionError"), "s3": ("trash", "")}
+    proposals = spark.createDataFrame([("r", "s3", "trash"), ("r", "s1", "trash"), ("r", "s2", "trash"), ("r", "s4", "trash")], "rule string, session_id string, action string")
+    prints = lambda *rows: spark.createDataFrame(list(rows), "session_id string, fingerprint long")
+    ready, skipped = rules.rechecked(proposals, s.where("session_id = 's2'"), prints(("s1", 1), ("s2", 1), ("s3", 1), ("s4", 1)), prints(("s1", 1), ("s2", 1), ("s3", 2)))
+    assert [x.session_id for x in ready.collect()] == ["s1"] and {(x.session_id, x.skipped) for x in skipped.collect()} == {("s2", "in use"), ("s3", "changed"), ("s4", "changed")}
     assert rules.exported(s, m).count() == 3
     for bad in ({"name": ""}, {"name": "few"}, {"name": "n", "min_turns": -1}, {"name": "n", "min_turns": 3, "max_turns": 2}, {"name": "n", "color": 1}, {"name": "n", "dependency_policy": "x"}):
         try:

@@ -286,6 +286,19 @@ def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return rules.report(rules.evaluate(s, m, r))["proposals"].select("rule", "session_id", "action", "reason")
 
 
+def rule_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule over sessions of at least ten lines that are no sub-agents' ones."""
+    r = rules.Rules()
+
+    @r.rule("few", max_turns=8)
+    def few(context: dict) -> dict:
+        return rules.trash(f"{context['session']['lines']} lines")
+
+    found = sessions.transcript_sessions(_basic(spark, sf)).select("session_id", "agent", "lines", "derivation_type")
+    out = rules.evaluate(found, _messages(spark, sf), r, filters=search.Filters(agent="transcript", min_lines=10))
+    return rules.report(out)["proposals"].select("session_id", "reason")
+
+
 def activity_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of activity closed after 30 minutes, the batch form of the streaming operator."""
     a = ingest.activity(_basic(spark, sf))
@@ -332,7 +345,7 @@ _ALL = (
     history_headers, history_tips, thread_names, sync_changes, sync_statistics, sync_whole, sync_whole_statistics, session_families, supersession, visibility, search_fields, message_masks, tool_labels, line_fingerprints,
     query_history, export_names, export_markdown, export_jsonl, rule_proposals, activity_spans, step_merge,
 )
-QUERIES = {f.__name__: f for f in (*_ALL, live_sessions, export_text, parse_cells, session_metrics)} | {name: _seen(text) for name, (text, _) in VISIBLE.items()}
+QUERIES = {f.__name__: f for f in (*_ALL, rule_filters, live_sessions, export_text, parse_cells, session_metrics)} | {name: _seen(text) for name, (text, _) in VISIBLE.items()}
 
 _LINES = "SELECT DISTINCT ON (file_id, line_no) * FROM {t} ORDER BY file_id, line_no, ingested_at, row_id"
 _ROLE = "coalesce(message.role, type)"
@@ -541,6 +554,10 @@ f AS (
     CASE WHEN cell = 'tool_result' THEN CASE WHEN coalesce(b.is_error, false) THEN 'failed' ELSE 'done' END END FROM q
 )"""
 ORACLE |= {
+    "rule_filters": f"""
+WITH s AS (SELECT lower(sessionId) AS session_id, arg_min(cwd, row_id) FILTER (cwd IS NOT NULL) AS cwd, count(*) AS lines, bool_and(coalesce(isSidechain, false)) AS side, count(*) FILTER ({_SAID}) AS said,
+  count(*) FILTER (type IN ('user', 'assistant') AND {_ROLE} = 'user') AS turns FROM basic_session WHERE sessionId IS NOT NULL GROUP BY 1)
+SELECT session_id, lines || ' lines' AS reason FROM s WHERE said > 0 AND lines >= 10 AND turns <= 8 AND NOT side AND NOT regexp_matches(lower(coalesce(cwd, session_id)), '(^|/)subagents(/|$)')""",
     # Few sessions of the tables hold all of a parent's events; forked_sessions and equivalent_copies make such sessions.
     "supersession": """
 WITH r AS (SELECT lower(sessionId) AS s, lower(uuid) AS u, lower(forkedFrom.sessionId) AS p, lower(forkedFrom.messageUuid) AS i, timestamp FROM basic_session WHERE sessionId IS NOT NULL AND uuid IS NOT NULL),

@@ -7,13 +7,17 @@ decided by column expressions before any context is built; callables run in ``ma
 from __future__ import annotations
 
 import json
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.search import Filters, filter_condition, scope_condition
+
 ACTIONS = ("nothing", "trash", "untrash")
 
 
@@ -108,12 +112,46 @@ def eligible(messages: DataFrame, rules: Rules, startup: bool = False) -> DataFr
 _RESULT = "rule string, session_id string, action string, reason string, dependency_policy string, error string"
 
 
-def evaluate(sessions: DataFrame, messages: DataFrame, rules: Rules, startup: bool = False, protected: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+#: Seconds that a rule may take for one session.
+SECONDS = 30.0
+
+
+@contextmanager
+def limited(seconds: float) -> Iterator[None]:
+    """Ends what runs longer with a TimeoutError; where no timer can be set (outside a main thread) it runs on."""
+
+    def stop(*_: object) -> None:
+        raise TimeoutError(f"longer than {seconds} seconds")
+
+    try:
+        before = signal.signal(signal.SIGALRM, stop)
+    except ValueError:
+        yield
+        return
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def evaluate(
+    sessions: DataFrame, messages: DataFrame, rules: Rules, startup: bool = False, protected: DataFrame | None = None, known: DataFrame | None = None,
+    filters: Filters | None = None, scope: str | None = None, seconds: float = SECONDS,
+) -> DataFrame:
     """(rule, session_id, action, reason, dependency_policy, error): all outcomes; an error in a rule is a row, not a failure.
 
-    protected: session ids that must not be touched.  known: (session_id, fingerprint) of results that still hold.
+    protected: session ids that must not be touched.  known: (session_id, fingerprint) of results that still hold.  filters, scope: as for a search,
+    over the columns of sessions.  A rule that takes more than ``seconds`` for a session, or recurses without end, is such an error.
     """
+    if filters is not None:
+        sessions = sessions.where(filter_condition(filters, sessions.columns))
+    if scope is not None:
+        sessions = sessions.where(scope_condition(scope, sessions.columns))
     wanted = eligible(messages, rules, startup).select("session_id")
+    if filters is not None or scope is not None:
+        wanted = wanted.join(sessions.select("session_id"), "session_id", "left_semi")
     if protected is not None:
         wanted = wanted.join(protected.select("session_id"), "session_id", "left_anti")
     if known is not None:
@@ -132,7 +170,9 @@ def evaluate(sessions: DataFrame, messages: DataFrame, rules: Rules, startup: bo
                     if startup and not r.at_startup or r.min_turns is not None and row.user_turns < r.min_turns or r.max_turns is not None and row.user_turns > r.max_turns:
                         continue
                     try:
-                        out += [(r.name, row.session_id, x["action"], x["reason"], r.dependency_policy, None) for x in outcomes(r.call({"session": session, "turns": turns, "user_turns": row.user_turns}))]
+                        with limited(seconds):
+                            result = r.call({"session": session, "turns": turns, "user_turns": row.user_turns})
+                        out += [(r.name, row.session_id, x["action"], x["reason"], r.dependency_policy, None) for x in outcomes(result)]
                     except Exception as e:  # noqa: BLE001
                         out.append((r.name, row.session_id, None, None, r.dependency_policy, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["rule", "session_id", "action", "reason", "dependency_policy", "error"])
@@ -149,6 +189,15 @@ def report(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def rechecked(proposals: DataFrame, protected: DataFrame, before: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(proposals that may be carried out, in the order of their sessions; (rule, session_id, skipped)): a session that has come under
+    protection since, or whose fingerprint is another one or gone, is left alone.  before, now: session_id, fingerprint."""
+    state = proposals.join(protected.select("session_id").distinct().withColumn("__held", F.lit(True)), "session_id", "left")
+    same = before.join(now, ["session_id", "fingerprint"], "left_semi").select("session_id").distinct().withColumn("__same", F.lit(True))
+    state = state.join(same, "session_id", "left").withColumn("skipped", F.when(F.col("__held"), "in use").when(F.col("__same").isNull(), "changed"))
+    return state.where("skipped IS NULL").select(proposals.columns).orderBy("session_id", "rule"), state.where("skipped IS NOT NULL").select("rule", "session_id", "skipped")
+
+
 def exported(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """(session_id, json): what a rule would see, with all text."""
     return contexts(messages).join(sessions, "session_id").select("session_id", F.to_json(F.struct("*")).alias("json"))
