@@ -39,7 +39,7 @@ def test_long_texts_are_tagged_over_their_whole_length(model):
 
 PLAIN = [
     ("write to bob@uni.edu now", ["bob@uni.edu"]), ("maria.gonzalez@acme.org", ["maria.gonzalez@acme.org"]), ("Ask John Smith about it", ["John Smith"]), ("Wei Chen wrote this", ["Wei Chen"]), ("by Pedro Almeida", ["Pedro Almeida"]),
-    ("My SSN is SSN 078-05-1120.", ["SSN 078-05-1120"]), ("742 Evergreen Terrace, Springfield", ["742 Evergreen Terrace, Springfield"]), ("call 06 12 34 56 78", ["06 12 34 56 78"]), ("Visual Studio is slow", []), ("I use Visual Studio", []),
+    ("My SSN is SSN 078-05-1120.", ["SSN 078-05-1120"]), ("742 Evergreen Terrace, Springfield", ["742 Evergreen Terrace, Springfield"]), ("call 06 12 34 56 78", ["06 12 34 56 78"]), ("Visual Studio is slow", []), ("I use Visual Studio", []), ("The call id is call_0098075674 and the port is 2499.", []),
 ]
 
 

@@ -167,6 +167,8 @@ def spans(text: str, tag: np.ndarray) -> list[tuple[int, int, str]]:
         if name == "person_name" and (greeting := _SALUTATION.match(text, s, e)):
             s = greeting.end()
         value = text[s:e]
+        if name in ("phone", "id_number") and text[s - 1 : s] == "_" and s > 1 and text[s - 2].isalnum():  # a number within a name, like call_0098
+            continue
         if _SHAPE[name].match(value) and not (name == "email" and (value.lower().startswith("git@") or text[e : e + 1] == ":" and text[e + 1 : e + 2].isalnum())):
             out.append((int(s), int(e), name))
     return out
